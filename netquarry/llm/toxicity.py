@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from netquarry.llm import common
 
 #: Rows that the model is fitted on at most, and characters of the longest of them.
-MAX_DOCS, MAX_CHARS = 8000, 50_000
+MAX_DOCS, MAX_CHARS = 6000, 50_000
 #: Features are hashed to this many weights, a megabyte.
 SIZE = 1 << 18
 #: Words whose weight a worker remembers.
@@ -49,12 +51,6 @@ def sentences(text: str | None) -> list[str]:
     return [x for x in SENTENCE.split(text or "") if x.strip()] or [""]
 
 
-def _spans(starts: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The numbers from starts[k] up to starts[k + 1], for each k in `of`, one after the other."""
-    n = starts[of + 1] - starts[of]
-    return np.repeat(starts[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
 @dataclass
 class Model:
     weights: np.ndarray
@@ -74,35 +70,38 @@ def fit(texts: list[str], labels: list[int], epochs: int = 40, rate: float = 0.2
         rate_of = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(SIZE), float(np.log(rate_of / (1 - rate_of))))
     vocabulary: dict[str, int] = {}
-    tokens, per_sentence, per_doc = [], [], []
-    for t in texts:
-        own = sentences(t)
+    flat, per_sentence, per_doc, places = array("i"), array("i"), array("i"), []
+    # Documents of each label that have a feature: the smoothed log odds tell telling words from those that just stand beside them.
+    ones, zeros = np.zeros(SIZE), np.zeros(SIZE)
+    for t, label in zip(texts, labels, strict=True):
+        own = sentences(t.lower())
         per_doc.append(len(own))
+        start = len(flat)
         for s in own:
-            ids = {vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(s.lower())}
-            tokens.append(np.fromiter(ids, np.int32, len(ids)))
+            ids = {vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(s)}
+            flat.extend(ids)
             per_sentence.append(len(ids))
-    flat = np.concatenate(tokens)
-    sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
-    doc = np.repeat(np.arange(len(per_doc)), per_doc)
-    places = [features(w) for w in vocabulary]
-    place = np.fromiter((p for x in places for p in x), np.int64)
-    word = np.repeat(np.arange(len(places)), [len(x) for x in places])
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in places])])
-    # Start from the smoothed log odds of each place among documents, which tell telling words from those that just stand beside them.
-    pairs = np.unique(np.repeat(doc[sentence], np.diff(starts)[flat]) * SIZE + place[_spans(starts, flat)])
-    ones, zeros = (np.bincount((pairs % SIZE)[y[pairs // SIZE] == k], minlength=SIZE) for k in (1, 0))
+        for w in islice(vocabulary, len(places), None):
+            places.append(array("i", features(w)))
+        (ones if label else zeros)[list({p for w in set(flat[start:]) for p in places[w]})] += 1
+    flat, per_sentence, per_doc = (np.frombuffer(x, np.int32) for x in (flat, per_sentence, per_doc))
+    sentence = np.repeat(np.arange(len(per_sentence), dtype=np.int32), per_sentence)
+    doc = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)
+    word = np.repeat(np.arange(len(places), dtype=np.int32), [len(x) for x in places])
+    place = np.concatenate([np.frombuffer(x, np.int32) for x in places]) if places else np.zeros(0, np.int32)
+    del vocabulary, places
     odds = np.log((ones + 0.5) / (y.sum() + 1)) - np.log((zeros + 0.5) / (len(y) - y.sum() + 1))
     sure = odds - 2 * np.sqrt(1 / (ones + 0.5) + 1 / (zeros + 0.5))
     w, bias = np.where(sure > 1, np.minimum(odds, 6), 0.0), -8.0
     seen, seen_bias = np.full(SIZE, 1e-8), 1e-8
+    n_words = int(word[-1]) + 1 if len(word) else 0
     for _ in range(epochs):
-        of_word = np.bincount(word, w[place], len(places))
+        of_word = np.bincount(word, w[place], n_words)
         z = bias + np.bincount(sentence, of_word[flat], len(per_sentence))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         whole = np.clip(-np.expm1(-np.bincount(doc, np.logaddexp(0, z), len(per_doc))), 1e-9, 1)
         g = p * np.where(y == 1, -(1 - whole) / whole, 1.0)[doc]
-        by_word = np.bincount(flat, g[sentence], len(places))
+        by_word = np.bincount(flat, g[sentence], n_words)
         grad = np.bincount(place, by_word[word], SIZE) / len(y) + ridge * w / len(y)
         seen += grad * grad
         w = np.maximum(w - rate * grad / np.sqrt(seen), -0.3)  # clean words beside an offending one hardly excuse it
