@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
+from netquarry.llm import bpe, exact_dedup, histogram_sort, jaccard_join, mixing, pii, quality_rules, sst, token_counts, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -25,6 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failed")
+
+
+def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = histogram_sort.shards(table(spark, sf_dir, "documents"), 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents")).drop("shares")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -42,6 +56,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), entropy=0.95, budget=1.0)
 
 
+def op8_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sst.read_back(*sst.write_shards(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), pre_tokens(), end_id=2))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -50,9 +68,35 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "worst_sentence")
 
 
-QUERIES = {f.__name__: f for f in (op4_jaccard_join, op5_bpe, op6_exact_dedup, op7_mixing, op9_toxicity)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), pre_tokens())
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_histogram_sort, op3_pii, op4_jaccard_join, op5_bpe, op6_exact_dedup, op7_mixing, op8_sst, op9_toxicity, op10_token_counts)
+}
 
 ORACLE = {
+    "op1_quality_rules": """
+        with d as (select doc_id, source, coalesce(text, '') as t from documents),
+        w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+        g as (select doc_id, unnest(range(1, len(w) - 3)) as i, w from w),
+        s as (select doc_id, i, count(*) over (partition by doc_id, array_to_string(w[i:i + 4], ' ')) as n from g),
+        c as (select doc_id, i + k as p from s, range(5) r(k) where n > 1 group by all),
+        r as (select doc_id, count(*) as n_repeat_words from c group by doc_id),
+        b as (select w.doc_id, source, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+                length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+              from w left join r on w.doc_id = r.doc_id),
+        f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from b),
+        h as (select source, count(*) as n, cast(sum(base_failed::int) as bigint) as f from f where source is not null group by source),
+        m as (select sum(f) / sum(n) as m, count(*) as h, sum(n) as nn, sum(n * n) as n2, sum(f * f / n) as ff from h),
+        o as (select *, nn - n2 / nn - (h - 1) as free, ((ff - m * m * nn) / nullif(m * (1 - m), 0) - (h - 1)) / nullif(nn - n2 / nn - (h - 1), 0) as r from m),
+        p as (select m, case when free > 0 and r > 1e-9 then greatest(1 / least(r, 1.0) - 1, 2.0) end as weight from o),
+        v as (select source, n, f, case when weight is null then m else (f + m * weight) / (n + weight) end >= 0.5 as rejected from h, p)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(rejected, false) as kept, n as host_docs, f as host_failed
+        from f left join v on f.source = v.source
+    """,
     "op6_exact_dedup": """
         with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents),
         g as (select norm, min(doc_id) as keep_id, count(*) as group_size from n group by norm)
