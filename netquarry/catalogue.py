@@ -1,5 +1,9 @@
 """All queries of the engine, by name, and the SQL that they are held against."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from netquarry.plans import queries_a, queries_b, queries_c
+
+FLAGSHIP = "eval_label_metrics"
+QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES, **queries_c.QUERIES}
+ORACLE = {**queries_a.ORACLE, **queries_b.ORACLE, **queries_c.ORACLE}
