@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from netquarry.llm import common
 
 #: Bytes of text in a block, about; a longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 PACKED = "block long, share int, words binary"
 BLOCK = "block long, doc_ids array<long>, ends array<long>, places binary"
 
@@ -58,7 +58,7 @@ def encoder(path: str):
 def _pack(words: list[str]) -> bytes:
     """A list of words, compressed: lengths in bytes, then the bytes."""
     raw = [w.encode("utf-8", "replace") for w in words]
-    return zstandard.compress(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw), 6)
+    return zstandard.compress(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw), 9)
 
 
 def _unpack(packed: bytes) -> list[bytes]:
@@ -93,7 +93,9 @@ def _blocks(pattern: str, shares: int, block_bytes: int):
             to = np.empty(len(words), np.int32)
             to[order] = np.arange(len(words), dtype=np.int32)
             name, rows = (task << 32) + seq, []
-            rows.append({"block": name, "doc_ids": ids, "ends": ends[1:], "places": _numbers(to[places])})
+            # Words that occur once come last, in the order of the text: of them the place is left out.
+            once = int((often > 1).sum())
+            rows.append({"block": name, "doc_ids": ids, "ends": ends[1:], "places": once.to_bytes(4, "little") + _numbers(np.minimum(to[places], once))})
             # Words of a share are sent in the order of their places, so that ids need no key to come back.
             for s in range(shares):
                 mine = [words[i] for i in order if share[i] == s] if shares == 1 else [words[i] for i in order[share[order] == s]]
@@ -126,7 +128,7 @@ def _numbers(x: np.ndarray) -> bytes:
     """Small numbers, compressed: low and high bytes apart, so that each plane compresses by itself."""
     planes = x.astype("<u4").view(np.uint8).reshape(-1, 4)
     used = 1 + max([k for k in range(4) if planes[:, k].any()], default=0)
-    return zstandard.compress(bytes([used]) + np.ascontiguousarray(planes[:, :used].T).tobytes(), 6)
+    return zstandard.compress(bytes([used]) + np.ascontiguousarray(planes[:, :used].T).tobytes(), 9)
 
 
 def _numbered(packed: bytes) -> np.ndarray:
@@ -138,6 +140,13 @@ def _numbered(packed: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+def _with_once(packed: bytes) -> np.ndarray:
+    places, once = _numbered(packed[4:]), int.from_bytes(packed[:4], "little")
+    left_out = np.flatnonzero(places == once)
+    places[left_out] = once + np.arange(len(left_out), dtype=places.dtype)
+    return places
+
+
 def _encoded(path: str):
     """Packed words of one share, from all blocks, to their ids. Rows come sorted by share, so a share's words are remembered from its first row to its last."""
 
@@ -179,7 +188,7 @@ def _assembled(give):
     def assemble(key: tuple[pa.Scalar, ...], blocks: pa.Table, words: pa.Table) -> pa.Table:
         block = blocks.filter(pc.is_valid(blocks["places"])).slice(0, 1).to_pylist()[0]
         shares = np.frombuffer(zstandard.decompress(blocks.filter(pc.equal(blocks["share"], -1))["words"][0].as_py()), "<u2")
-        places, ends = _numbered(block["places"]), np.array(block["ends"], np.int64)
+        places, ends = _with_once(block["places"]), np.array(block["ends"], np.int64)
         counts, starts, flats, at = np.zeros(len(shares), np.int64), np.zeros(len(shares), np.int64), [], 0
         for row in words.to_pylist():
             mine = np.flatnonzero(shares == row["share"])
