@@ -264,7 +264,7 @@ def expected_tags(t):
     return t("labels").select("doc_id", F.array_join(labels.tags(["quality", "toxic"]), "|").alias("tags"))
 
 
-@query(f"""select p_partkey, case when list_contains(leaves, 'Global') then 0.75 else 0.0 end as "Global", case when list_contains(leaves, 'Cloud') then 1.0 else 0.0 end as "Cloud" from ({_LEAVES})""")
+@query(f"""select p_partkey, case when list_contains(leaves, 'Global') then 0.75 else 0.0 end as "Global", case when list_contains(leaves, 'Cloud') then 1.0 else 0.0 end as "Cloud" from ({_LEAVES})""", doubles=('"Global"', '"Cloud"',))
 def tag_matrix(t):
     scores = F.when(F.array_contains("leaves", "Global"), F.create_map(F.lit("Global"), F.lit(0.75))).otherwise(F.create_map().cast("map<string,double>"))
     return labels.tag_matrix(_leaves(t).withColumn("scores", scores), "p_partkey", "leaves", ["Global", "Cloud"], "scores")

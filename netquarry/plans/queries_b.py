@@ -123,7 +123,7 @@ _VOCAB = {"type": ["Type N", "Type R"], "scope": ["Global"], "policy": ["Open"]}
 @query(f"""with {_SUPPLIERS}, i as (select *, case when k % 4 = 0 then 0 else coalesce(parts, 0) end as pre from s)
     select k as asn, case when none then 0.0 when a then cast(coalesce(n, 0) as double) end as asrank_rank, case when none then 0.0 when a then 0.0 end as asrank_degree_total,
       round(case when none then 0.0 when a then coalesce(coalesce(quantity, 0) / nullif(pre, 0), 0.0) end, 6) as asrank_cone_density, round(case when none then 0.0 when a then coalesce(coalesce(parts, 0) / nullif(k % 2 * 100, 0), 0.0) end, 6) as asrank_peer_customer_ratio,
-      round(case when none then 0.0 when a then ln(1 + coalesce(n, 0)) end, 6) as asrank_cone_size_log, case when none then 0.0 when c then k * 10.0 end as aspop_customer_cone_asns, case when none then 0.0 when c then cast(k % 2 = 0 as int) * 1.0 end as aspop_rir_ripe from i""")
+      round(case when none then 0.0 when a then ln(1 + coalesce(n, 0)) end, 6) as asrank_cone_size_log, case when none then 0.0 when c then k * 10.0 end as aspop_customer_cone_asns, case when none then 0.0 when c then cast(k % 2 = 0 as int) * 1.0 end as aspop_rir_ripe from i""", doubles=('asrank_degree_total', 'aspop_customer_cone_asns', 'aspop_rir_ripe',))
 def feature_numeric(t):
     out = features.features(_suppliers(t), _VOCAB)
     names = ["asn", "asrank_rank", "asrank_degree_total", "asrank_cone_density", "asrank_peer_customer_ratio", "asrank_cone_size_log", "aspop_customer_cone_asns", "aspop_rir_ripe"]
@@ -132,14 +132,14 @@ def feature_numeric(t):
 
 @query(f"""with {_SUPPLIERS} select k as asn, case when none then 0.0 else cast(name is not null as int) * 1.0 end as org_has_name, 0.0 as org_has_website, case when none then 0.0 else cast(country is not null as int) * 1.0 end as org_has_country,
     case when none then 0.0 else cast(lower(name) like '%isp%' as int) * 1.0 end as org_name_isp, case when none then 0.0 else cast(lower(name) like '%edu%' as int) * 1.0 end as org_name_university, case when none then 0.0 else cast(lower(name) like '%network%' as int) * 1.0 end as org_name_network, case when none then 0.0 else cast(length(name) as double) end as org_name_length,
-    case when none then 0.0 else cast(country = 'US' as int) * 1.0 end as org_region_north_america, case when none then 0.0 else cast(country = 'DE' as int) * 1.0 end as org_region_europe from s""")
+    case when none then 0.0 else cast(country = 'US' as int) * 1.0 end as org_region_north_america, case when none then 0.0 else cast(country = 'DE' as int) * 1.0 end as org_region_europe from s""", doubles=('org_has_name', 'org_has_website', 'org_has_country', 'org_name_isp', 'org_name_university', 'org_name_network', 'org_region_north_america', 'org_region_europe',))
 def feature_text_flags(t):
     names = ["asn", *[f"org_{c}" for c in ("has_name", "has_website", "has_country", "name_isp", "name_university", "name_network", "name_length", "region_north_america", "region_europe")]]
     return features.features(_suppliers(t), _VOCAB).select(*names)
 
 
 @query(f"""with {_SUPPLIERS} select k as asn, case when none then 0.0 when p then cast(k % 2 <> 0 as int) * 1.0 end as peeringdb_has_website, case when none then 0.0 when p then cast(k % 2 = 0 as int) * 1.0 end as peeringdb_info_ipv6,
-    case when none then 0.0 when p then coalesce(cast(flag = 'R' as int), 0) * 1.0 end as peeringdb_type_type_r, case when none then 0.0 when p then cast(k % 2 = 0 as int) * 1.0 end as peeringdb_policy_open from s""")
+    case when none then 0.0 when p then coalesce(cast(flag = 'R' as int), 0) * 1.0 end as peeringdb_type_type_r, case when none then 0.0 when p then cast(k % 2 = 0 as int) * 1.0 end as peeringdb_policy_open from s""", doubles=('peeringdb_has_website', 'peeringdb_info_ipv6', 'peeringdb_type_type_r', 'peeringdb_policy_open',))
 def feature_one_hot(t):
     rows = _suppliers(t)
     out = features.features(rows, features.vocabulary(rows))
@@ -148,7 +148,7 @@ def feature_one_hot(t):
     return out.select("asn", "peeringdb_has_website", "peeringdb_info_ipv6", "peeringdb_type_type_r", "peeringdb_policy_open")
 
 
-@query("select s_suppkey as asn, 0.0 as a, 0.0 as b from supplier")
+@query("select s_suppkey as asn, 0.0 as a, 0.0 as b from supplier", doubles=('a', 'b',))
 def feature_minimal(t):
     return features.minimal(t("supplier").select(F.col("s_suppkey").alias("asn")), ["a", "b"])
 
@@ -161,7 +161,7 @@ def _per_part(t):
 
 
 @query(f"""with p as ({_PER_PART}), m as (select avg(quantity) as mq, stddev_pop(quantity) as sq, avg(price) as mp, stddev_pop(price) as sp from p)
-    select l_partkey, round((quantity - mq) / sq, 6) as quantity, round((price - mp) / sp, 6) as price, 0.0 as one from p, m""")
+    select l_partkey, round((quantity - mq) / sq, 6) as quantity, round((price - mp) / sp, 6) as price, 0.0 as one from p, m""", doubles=('one',))
 def standardize_pop(t):
     rows = _per_part(t)
     return _rounded(features.Scaler.fit(rows, ["quantity", "price", "one"]).transform(rows), "quantity", "price", "one")

@@ -53,7 +53,7 @@ def gate_children(t):
     return models.gated(parents, kids, "vec_id", schemas.parents())
 
 
-@query("""select e.vec_id, greatest((vec_id * 7 % 101) / 100.0, case when vec_id % 2 = 0 then (vec_id * 13 % 101) / 100.0 else 0 end) as a, case when vec_id % 2 = 0 then 1.0 else 0.0 end as b from embeddings e""")
+@query("""select e.vec_id, greatest((vec_id * 7 % 101) / 100.0, case when vec_id % 2 = 0 then (vec_id * 13 % 101) / 100.0 else 0 end) as a, case when vec_id % 2 = 0 then 1.0 else 0.0 end as b from embeddings e""", doubles=('b',))
 def combine_scores(t):
     k = F.col("vec_id")
     e = t("embeddings")
@@ -76,7 +76,7 @@ def _asked(t):
     return stage1, subs
 
 
-@query("""select vec_id, 'Access' as category, case when vec_id % 3 = 2 then 'SmallISP' else 'LargeISP' end as subcategory, case when vec_id % 3 = 1 then 0.1 when vec_id % 2 = 0 then 0.7 else 0.8 end as confidence from embeddings""")
+@query("""select vec_id, 'Access' as category, case when vec_id % 3 = 2 then 'SmallISP' else 'LargeISP' end as subcategory, case when vec_id % 3 = 1 then 0.1 when vec_id % 2 = 0 then 0.7 else 0.8 end as confidence from embeddings""", doubles=('confidence',))
 def subcategories(t):
     stage1, subs = _asked(t)
     return models.with_subcategories(stage1, subs, "vec_id", schemas.categories(stage1.sparkSession, extra=True))

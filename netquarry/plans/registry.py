@@ -12,8 +12,10 @@ class Registry:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.oracle: dict[str, str] = {}
 
-    def __call__(self, sql: str | None = None):
-        """Register a function of a table reader: t('orders') is that table."""
+    def __call__(self, sql: str | None = None, doubles: tuple[str, ...] = ()):
+        """Register a function of a table reader: t('orders') is that table. `doubles` are columns that the SQL gives as decimals."""
+        if sql and doubles:
+            sql = f"select * replace ({', '.join(f'cast({c} as double) as {c}' for c in doubles)}) from ({sql})"
 
         def put(f: Callable[..., DataFrame]):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
