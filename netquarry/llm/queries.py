@@ -97,6 +97,15 @@ ORACLE = {
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(rejected, false) as kept, n as host_docs, f as host_failed
         from f left join v on f.source = v.source
     """,
+    "op4_jaccard_join": """
+        with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        s as (select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+        g as (select doc_id, len(s) as n, unnest(s) as g from s),
+        l as (select a.doc_id as a, b.doc_id as b from g a join g b on a.g = b.g and a.doc_id <> b.doc_id and 100 * a.n >= 90 * b.n and 100 * b.n >= 90 * a.n
+              group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        r as (select doc_id, doc_id as r from documents union select r.doc_id, l.b from r join l on r.r = l.a)
+        select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.r) as component_id from s join r on s.doc_id = r.doc_id group by s.doc_id, len(s.s)
+    """,
     "op6_exact_dedup": """
         with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents),
         g as (select norm, min(doc_id) as keep_id, count(*) as group_size from n group by norm)
