@@ -33,7 +33,7 @@ def stratified_split(df: DataFrame, key: str, stratum: str, train: float = 0.7,
     _checked(train, val, test)
     keys = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(stratum).alias(stratum))
     sizes = keys.groupBy(F.col(stratum).alias("_stratum")).agg(F.count("*").alias("_size"))
-    met = keys.join(F.broadcast(sizes), F.col(stratum).eqNullSafe(F.col("_stratum")))
+    met = keys.join(sizes, F.col(stratum).eqNullSafe(F.col("_stratum")))
     drawn = met.withColumn("_drawn_by", F.when(F.col("_size") >= least, F.col(stratum)))
     return ranked(drawn, X.mix(seed, F.col(key)), by=("_drawn_by",)).select(key, stratum, _cut(F.col("rank"), F.col("rank_of"), train, val).alias("split"))
 
