@@ -1,9 +1,11 @@
 """Exact n-gram Jaccard join by a token-group matrix.
 
 A document's set holds its distinct word shingles, as 64-bit hashes. Documents
-with equal sets are one class. Two sets of similarity >= t share a token among
-their first s - ceil(t s) + 1 ones in any common order; here rare tokens come
-first, by a table of counts of fixed size over all documents.
+with equal sets are one class. Two sets of similarity >= t share l tokens or more
+among their first s - ceil(t s) + l ones in any common order, l being that of the
+smaller set; here rare tokens come first, by a table of counts of fixed size over
+all documents, and l grows with the set (`needed`). Classes that share too few of
+their first tokens with all others together link with none.
 
 1. Similar classes are partitioned into groups: each joins the group of the most
    central class that shares one of its first tokens. Groups have a bounded size;
@@ -27,47 +29,51 @@ component null; an empty table gives no rows; extra columns are left alone.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from netquarry.llm import common
 from netquarry.llm.components import connected
 
 #: Places of the table of token counts, and members of a part of a group.
 COUNTS, PART = 1 << 18, 192
-MEMO = 300_000
+MEMO = 150_000
+#: Tokens that a worker gathers before it packs them.
+HELD = 1 << 20
 CHUNK = 1 << 12
-SPLIT = re.compile(r"[\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+class _Hashes(dict):
+    """Hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Sets of a text's word shingles; remembers the hashes of words."""
 
     def __init__(self, k: int):
-        self.k, self.memo = k, {}
+        self.k, self.memo = k, _Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        words = [w for w in SPLIT.split((text or "").translate(LOWER)) if w]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        # Without arguments, bytes are split at runs of the six separators of words.
+        words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
         if not words:
             return np.zeros(0, np.uint64)
-        hashed = []
-        for w in words:
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            hashed.append(h)
-        x = np.array(hashed, np.uint64)
+        x = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
         if (n := len(x) - self.k + 1) < 1:
             return np.array([xxhash.xxh3_64_intdigest(x.tobytes())], np.uint64)
         z = x[:n].copy()
@@ -85,6 +91,11 @@ def least_overlap(size: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-size * percent // 100)
 
 
+def needed(size: int) -> int:
+    """l of a set: one token, and one more for each twenty."""
+    return 1 + size * 5 // 100
+
+
 def linked(common_: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (common_ > 0) & (100 * common_ >= percent * (a + b - common_))
 
@@ -95,7 +106,7 @@ def _counter(k: int):
         for b in batches:
             for t in b.column(0).to_pylist():
                 np.add.at(table, (of(t) % np.uint64(COUNTS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTS // CHUNK), pa.int32()), pa.array([table[i : i + CHUNK].astype("<i8").tobytes() for i in range(0, COUNTS, CHUNK)], pa.binary())], ["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTS // CHUNK), pa.int32()), pa.array([zstandard.compress(table[i : i + CHUNK].astype("<i8").tobytes(), 3) for i in range(0, COUNTS, CHUNK)], pa.binary())], ["chunk", "counts"])
 
     return count
 
@@ -104,7 +115,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            sums[c] = sums.get(c, 0) + np.frombuffer(x, "<i8")
+            sums[c] = sums.get(c, 0) + np.frombuffer(zstandard.decompress(x), "<i8")
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
 
@@ -117,25 +128,98 @@ def token_counts(texts: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def _signer(k: int, percent: int, counts):
+def _signer(k: int, percent: int, counts, shares: int):
+    """Rows (doc_id, text) to rows of documents, and to first tokens packed by share of their hash, told apart by which columns are null."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         of, table = Shingler(k), counts.value
+        row = TaskContext.get().partitionId() << 33
+        tokens, owners, held = [], [], 0
         for b in batches:
-            sizes, digests, firsts = [], [], []
+            n_rows = b.num_rows
+            sizes, digests = [], []
             for t in b.column(1).to_pylist():
                 s = of(t)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                n = len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0
-                f = table[(s % np.uint64(COUNTS)).astype(np.int64)]
-                firsts.append(s[np.lexsort((s, f))[:n]].astype("<u8").view("<i8"))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in firsts])])
-            flat = np.concatenate(firsts) if firsts else np.zeros(0, "<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "n_shingles", "digest", "firsts"])
+                if len(s):
+                    f = table[(s % np.uint64(COUNTS)).astype(np.int64)]
+                    first = s[np.lexsort((s, f))[: len(s) - least_overlap(len(s), percent) + needed(len(s))]]
+                    tokens.append(first)
+                    owners.append(np.full(len(first), row, np.int64))
+                    held += len(first)
+                row += 1
+            yield _signed(range(row - n_rows, row), b.column(0), sizes, digests, [None] * n_rows, [None] * n_rows)
+            if held > HELD:
+                yield _packed_rows(tokens, owners, shares)
+                tokens, owners, held = [], [], 0
+        if held:
+            yield _packed_rows(tokens, owners, shares)
 
     return sign
 
 
+def _signed(uid, doc_id, sizes, digests, share, packed) -> pa.RecordBatch:
+    arrays = [pa.array(uid, pa.int64()), doc_id, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(share, pa.int32()), pa.array(packed, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["uid", "doc_id", "n_shingles", "digest", "share", "packed"])
+
+
+def _packed_rows(tokens: list, owners: list, shares: int) -> pa.RecordBatch:
+    """Tokens are cut to their upper 48 bits: equal tokens stay equal, and the few others that become so are compared like any candidates."""
+    token, owner = np.concatenate(tokens) >> np.uint64(16), np.concatenate(owners)
+    share = (token % np.uint64(shares)).astype(np.int32)
+    order = np.lexsort((token, share))
+    token, owner, share = token[order], owner[order], share[order]
+    out, names = [], []
+    for s in range(shares):
+        lo, hi = np.searchsorted(share, (s, s + 1))
+        if hi > lo:
+            names.append(s)
+            base = int(owner[lo:hi].min())
+            steps = np.diff(token[lo:hi], prepend=np.uint64(0))
+            body = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes() for x, width in ((steps, 6), ((owner[lo:hi] - base).astype("<u8"), 4)))
+            out.append(int(hi - lo).to_bytes(8, "little") + base.to_bytes(8, "little") + zstandard.compress(body, 3))
+    n = len(out)
+    none = pa.array([None] * n, pa.int64())
+    return _signed([None] * n, none, [None] * n, [None] * n, names, out)
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, base = int.from_bytes(packed[:8], "little"), int.from_bytes(packed[8:16], "little")
+    raw, at, out = np.frombuffer(zstandard.decompress(packed[16:]), np.uint8), 0, []
+    for width in (6, 4):
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = raw[at : at + width * n].reshape(width, n).T
+        out.append(x.view("<u8").ravel())
+        at += width * n
+    return np.cumsum(out[0]), out[1].astype(np.int64) + base
+
+
+def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, uid) of the tokens that more than one row has; rows come sorted by share."""
+    share, lists = None, []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if not lists:
+            return
+        token, uid = (np.concatenate(x) for x in zip(*lists, strict=True))
+        order = np.argsort(token, kind="stable")
+        token, uid = token[order], uid[order]
+        same = token[1:] == token[:-1]
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        yield pa.RecordBatch.from_arrays([pa.array(token[several].astype(np.int64)), pa.array(uid[several])], ["token", "uid"])
+
+    for b in batches:
+        for s, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if s != share:
+                yield from out()
+                share, lists = s, []
+            lists.append(_unpacked(packed))
+    yield from out()
+
+
 def _sets(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(k)
@@ -197,11 +281,17 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     spark = common.tune(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = spark.sparkContext.broadcast(token_counts(texts.select("text"), k))
-    signed = common.written(texts.mapInArrow(_signer(k, percent, counts), "doc_id long, n_shingles long, digest binary, firsts array<long>"), "tgm-signed")
+    shares = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = common.written(texts.mapInArrow(_signer(k, percent, counts, shares), "uid long, doc_id long, n_shingles long, digest binary, share int, packed binary"), "tgm-signed")
+    signed = rows.filter("uid is not null").select("uid", "doc_id", "n_shingles", "digest")
     own = signed.filter("digest is not null and doc_id is not null")
-    classes = own.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("firsts").alias("firsts"), F.first("n_shingles").alias("size"))
+    classes = own.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("n_shingles").alias("size"))
     classes = common.written(classes.withColumn("rep", F.monotonically_increasing_id()), "tgm-classes")
-    edges = _links(texts, classes, k, percent, part)
+    # Tokens of several rows, then of several classes.
+    found = rows.filter("share is not null").select("share", "packed").repartition("share").sortWithinPartitions("share").mapInArrow(_shared_tokens, "token long, uid long")
+    named = common.written(common.join_hot(own.select("uid", "digest"), classes, "digest", "n", "uid").select("uid", "rep", "size"), "tgm-rows")
+    posted = common.written(found.join(named, "uid").select("token", "rep", "size").distinct(), "tgm-found-tokens")
+    edges = _links(texts, classes, posted, k, percent, part)
     # A doc_id with several sets joins their classes.
     pairs = own.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("doc_id")
     several = common.written(own.select("doc_id", "digest").join(common.written(pairs, "tgm-several"), "doc_id").distinct().join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"), "tgm-more")
@@ -215,11 +305,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return met.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int, part: int) -> DataFrame:
-    """(a, b) of classes, whose components are those of all links."""
-    tokens = classes.select("rep", "size", F.explode("firsts").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    posted = common.written(common.join_hot(tokens, common.written(shared, "tgm-shared"), "token", "n", "rep").filter("n is not null"), "tgm-posted")
+def _links(texts: DataFrame, classes: DataFrame, tokens: DataFrame, k: int, percent: int, part: int) -> DataFrame:
+    """(a, b) of classes, whose components are those of all links; tokens: (token, rep, size) of the first tokens that several rows have."""
+    # A partner has ceil(t s) tokens at least, and with it as many are shared as `needed` says of that.
+    enough = F.expr(f"1 + 5 * ((size * {percent} + 99) div 100) div 100")
+    shared = common.written(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "tgm-shared")
+    posted = common.written(common.join_hot(tokens, shared, "token", "n", "rep").filter("n is not null"), "tgm-posted")
+    many = common.written(posted.groupBy("rep", "size").agg(F.count("*").alias("k")).filter(F.col("k") >= enough).select("rep"), "tgm-many")
+    posted = common.written(posted.join(many, "rep", "left_semi"), "tgm-posted")
     if posted.isEmpty():
         return posted.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     central = posted.groupBy("rep").agg(F.sum("n").alias("weight"))
@@ -236,10 +329,14 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int, part: int
     copies = parts.groupBy("lead").agg(F.max("of").alias("of")).select(F.col("lead").alias("rep"), "lead", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part"))
     members = common.written(parts.select("rep", "lead", "part").unionByName(copies).distinct(), "tgm-members")
     wanted = common.written(classes.select("rep", "digest", "first_id").join(group.select("rep"), "rep", "left_semi"), "tgm-wanted")
+    # Sets are made once and then go straight to the parts that need them, unless what names these is too long to broadcast.
     ids, _ = common.bounded(wanted.select(F.col("first_id").alias("doc_id")))
-    found = common.written(texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "digest binary, tokens binary"), "tgm-found")
-    sets = common.written(found.join(wanted.select("rep", "digest"), "digest").dropDuplicates(["rep"]).select("rep", "tokens"), "tgm-sets")
-    inner = members.join(sets, "rep").groupBy("lead", "part").applyInArrow(_within(percent), "a long, b long")
+    named, _ = common.bounded(wanted.select("rep", "digest"))
+    found = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "digest binary, tokens binary")
+    sets = common.written(found.join(named, "digest").select("rep", "tokens"), "tgm-sets")
+    if sets.select("rep").count() > wanted.count():  # a doc_id on several rows
+        sets = common.written(sets.dropDuplicates(["rep"]), "tgm-sets")
+    inner = sets.join(common.bounded(members)[0], "rep").groupBy("lead", "part").applyInArrow(_within(percent), "a long, b long")
     inner = common.written(inner, "tgm-inner")
     # Classes that no link has connected to a part yet look up their tokens in it.
     roots = connected(inner)
@@ -252,9 +349,12 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int, part: int
     # only tokens of more than one component are of interest
     mixed = common.written(entries.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x <> y").select("token", "n"), "tgm-mixed")
     entries = common.join_hot(entries, mixed, "token", "n", "rep").filter("n is not null")
-    entries = common.written(entries.select("token", "rep", "size", "root"), "tgm-entries")
-    matrix = entries.join(placed, "rep").groupBy("token", "lead", "part", "root").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    asked = entries.select("token", F.col("rep").alias("query"), F.col("size").alias("own"), F.col("root").alias("own_root"))
+    entries = common.written(entries.select("token", "rep", "size", "root", "n"), "tgm-entries")
+    matrix = entries.join(placed, "rep").groupBy("token", "lead", "part").agg(F.max("root").alias("root"), F.min("size").alias("least"), F.max("size").alias("most"))
+    # A link needs `enough` of a class's tokens here, so one of those that are left without its most frequent `enough` - 1.
+    by_rep = W.partitionBy("rep")
+    rare = entries.withColumn("nth", F.row_number().over(by_rep.orderBy("n", "token"))).withColumn("all", F.count("*").over(by_rep)).filter(F.col("nth") <= F.col("all") - enough + 1)
+    asked = rare.select("token", F.col("rep").alias("query"), F.col("size").alias("own"), F.col("root").alias("own_root"))
     reach = (F.col("own") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("own") * percent)
     hits = asked.join(matrix, "token").filter((F.col("own_root") < F.col("root")) & reach).select("query", "lead", "part").distinct()
     hits = common.written(hits, "tgm-hits")
@@ -263,8 +363,9 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int, part: int
     crowd = hits.groupBy("lead", "part").agg(F.ceil(F.count("*") / F.lit(4 * part)).cast("int").alias("shares"))
     crowd = common.written(crowd, "tgm-crowd")
     dealt = hits.join(crowd, ["lead", "part"]).select(F.col("query").alias("rep"), "lead", "part", F.pmod(F.xxhash64("query"), F.col("shares")).cast("int").alias("share"))
-    queries = dealt.join(sets, "rep")
-    opened = placed.join(crowd, ["lead", "part"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("rep", "lead", "part", "share").join(sets, "rep")
+    queries = sets.join(common.bounded(common.written(dealt, "tgm-dealt"))[0], "rep")
+    opened = placed.join(crowd, ["lead", "part"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("rep", "lead", "part", "share")
+    opened = sets.join(common.bounded(common.written(opened, "tgm-opened"))[0], "rep")
     keys = ("lead", "part", "share")
     outer = common.fresh(queries).groupBy(*keys).cogroup(common.fresh(opened).groupBy(*keys)).applyInArrow(_opened(percent), "a long, b long")
     return common.written(inner.unionByName(outer), "tgm-links")
