@@ -21,18 +21,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm import common
+from netquarry.llm.pretokens import splitter
 
 #: Bytes of text in a block, about; a longer document is a block of its own.
 BLOCK_BYTES = 32 << 20
@@ -78,45 +79,43 @@ def _blocks(pattern: str, shares: int, block_bytes: int):
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        split, task = regex.compile(pattern), TaskContext.get().partitionId()
+        split, task = splitter(pattern), TaskContext.get().partitionId()
         kinds = [("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("places", pa.binary()), ("share", pa.int32()), ("words", pa.binary())]
-        seq, size, ids, ends, table, chunks = 0, 0, [], [0], {}, []
+        seq, size, ids, ends, table, places = 0, 0, [], [0], {}, array("i")
 
         def out() -> pa.RecordBatch:
             # Places follow how often a word occurs, so that the common ones are small numbers.
-            places = np.concatenate(chunks) if chunks else np.zeros(0, np.int32)
+            own = np.frombuffer(places, np.int32) if places else np.zeros(0, np.int32)
             words = list(table)
-            encoded = [w.encode("utf-8", "replace") for w in words]
-            share = np.fromiter((_share(w, shares) for w in encoded), np.int32, len(words))
-            often = np.bincount(places, minlength=len(words))
+            table.clear()
+            share = np.fromiter((_share(w.encode("utf-8", "replace"), shares) for w in words), np.int32, len(words))
+            often = np.bincount(own, minlength=len(words))
             order = np.argsort(-often, kind="stable")
             to = np.empty(len(words), np.int32)
             to[order] = np.arange(len(words), dtype=np.int32)
-            name, rows = (task << 32) + seq, []
             # Words that occur once come last, in the order of the text: of them the place is left out.
             once = int((often > 1).sum())
-            rows.append({"block": name, "doc_ids": ids, "ends": ends[1:], "places": once.to_bytes(4, "little") + _numbers(np.minimum(to[places], once))})
+            name = (task << 32) + seq
+            rows = [{"block": name, "doc_ids": ids, "ends": ends[1:], "places": once.to_bytes(4, "little") + _numbers(np.minimum(to, once)[own])}]
             # Words of a share are sent in the order of their places, so that ids need no key to come back.
             for s in range(shares):
-                mine = [words[i] for i in order if share[i] == s] if shares == 1 else [words[i] for i in order[share[order] == s]]
-                if mine:
-                    rows.append({"block": name, "share": s, "words": _pack(mine)})
+                if len(mine := order[share[order] == s]):
+                    rows.append({"block": name, "share": s, "words": _pack([words[i] for i in mine])})
             # and which share each place belongs to
             rows.append({"block": name, "share": -1, "words": zstandard.compress(share[order].astype("<u2").tobytes(), 3)})
             return pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, t in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True):
                 t = t or ""
                 if ids and size + len(t) > block_bytes:
                     yield out()
-                    seq, size, ids, ends, table, chunks = seq + 1, 0, [], [0], {}, []
-                get, found = table.setdefault, []
-                for w in split.findall(t):
-                    found.append(get(w, len(table)))
-                chunks.append(np.array(found, np.int32))
+                    seq, size, ids, ends, table, places = seq + 1, 0, [], [0], {}, array("i")
+                get = table.setdefault
+                for w in split(t):
+                    places.append(get(w, len(table)))
                 ids.append(i)
-                ends.append(ends[-1] + len(found))
+                ends.append(len(places))
                 size += len(t)
         if ids:
             yield out()
@@ -126,9 +125,9 @@ def _blocks(pattern: str, shares: int, block_bytes: int):
 
 def _numbers(x: np.ndarray) -> bytes:
     """Small numbers, compressed: low and high bytes apart, so that each plane compresses by itself."""
-    planes = x.astype("<u4").view(np.uint8).reshape(-1, 4)
-    used = 1 + max([k for k in range(4) if planes[:, k].any()], default=0)
-    return zstandard.compress(bytes([used]) + np.ascontiguousarray(planes[:, :used].T).tobytes(), 9)
+    x = x.astype("<u4", copy=False)
+    used = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return zstandard.compress(bytes([used]) + b"".join((x >> np.uint32(8 * k)).astype(np.uint8).tobytes() for k in range(used)), 9)
 
 
 def _numbered(packed: bytes) -> np.ndarray:

@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 #: Rows of a table that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Largest Arrow batch handed to Python, in rows and bytes.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+#: Bytes of a row group of a written table; a task holds one in memory.
+ROW_GROUP = 16 << 20
 #: The six separators of words, and what a word is.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches, so that a run of very long texts can't fill a worker's memory."""
+    """Bound the batches of readers and of Arrow, so that a run of very long texts can't fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
     return spark
 
 
@@ -42,7 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table in the shared folder, read again. A lost executor costs no more than its own tasks."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

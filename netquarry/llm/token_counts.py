@@ -19,14 +19,14 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm import bpe, common
+from netquarry.llm.pretokens import splitter
 
 #: Pre-tokens whose count a worker remembers.
-MEMO = 500_000
+MEMO = 200_000
 
 
 class LongestMatch:
@@ -95,11 +95,11 @@ def automaton(path: str) -> LongestMatch:
 
 def _counts(path: str, pattern: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, of, memo = regex.compile(pattern), automaton(path).count, {}
+        split, of, memo = splitter(pattern), automaton(path).count, {}
         for b in batches:
             n_words, n_tokens = [], []
             for t in b.column(1).to_pylist():
-                words = split.findall(t or "")
+                words = split(t or "")
                 total = 0
                 for w in words:
                     n = memo.get(w)

@@ -36,7 +36,7 @@ MAX_DOCS, MAX_CHARS = 6000, 50_000
 #: Features are hashed to this many weights, a megabyte.
 SIZE = 1 << 18
 #: Words whose weight a worker remembers.
-MEMO = 400_000
+MEMO = 150_000
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
