@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -37,7 +38,6 @@ from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -45,12 +45,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm import common, histogram_sort
+from netquarry.llm.pretokens import splitter
 
 #: Bytes of entries in a block before compression, about, and of text in a shard.
 BLOCK_BYTES, SHARD_BYTES = 256 << 10, 48 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 #: Pre-tokens whose ids a worker remembers.
-MEMO = 500_000
+MEMO = 1_200_000
 #: The file's mark and its footer (index place, index length, filter place, filter length, documents, ids, bytes of an id, mark).
 MARK = b"SSTIDS01"
 FOOTER = struct.Struct("<6QI8s")
@@ -194,44 +195,60 @@ class Reader:
         return out
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    """(tokenizer, whether its pre-tokens can be encoded one by one, bytes of an id)."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre = spec.get("pre_tokenizer") or {}
-    plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-    return t, plain, 2 if t.get_vocab_size() <= 1 << 16 else 4
-
-
-_memo: dict[str, list[int]] = {}
+class Encoder:
+    """Whole texts to packed ids by the tokenizers library. Where the pre-tokenizer is byte-level, each distinct pre-token is given to the library once and remembered."""
+
+    def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        self.bytes_of = np.zeros(1 + max(vocabulary.values()), np.int64)  # a byte-level token has a character for each byte
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+        self.split, self.memo = splitter(pattern), {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new pre-tokens, many in a call; the bytes that tokens stand for tell where each ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum([len(w.encode("utf-8", "replace")) for w in words])
+        at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+        if not np.array_equal(np.cumsum(self.bytes_of[ids])[at - 1], ends):
+            self.memo.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True))
+            return
+        raw, cuts = ids.astype(self.kind).tobytes(), [0, *(at * self.kind.itemsize).tolist()]
+        self.memo.update(zip(words, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.plain:
+            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        parts = [self.split(x) for x in texts]
+        memo = self.memo
+        new = list({w for p in parts for w in p if w not in memo})
+        for k in range(0, len(new), 4096):
+            self._learn(new[k : k + 4096])
+        of = memo.__getitem__
+        return [b"".join(map(of, p)) for p in parts]
 
 
-def encoded(texts: list[str], path: str, pattern: str) -> list[list[int]]:
-    """Ids of whole texts by the tokenizers library. Where the pre-tokenizer is byte-level, each distinct pre-token is given to the library once and remembered."""
-    t, plain, _ = _tokenizer(path)
-    if not plain:
-        return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-    split = regex.compile(pattern)
-    parts = [split.findall(x) for x in texts]
-    if len(_memo) > MEMO:
-        _memo.clear()
-    new = list({w for p in parts for w in p if w not in _memo})
-    _memo.update((w, e.ids) for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True))
-    return [[i for w in p for i in _memo[w]] for p in parts]
+@lru_cache(maxsize=1)
+def _encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
 def _encode(path: str, pattern: str, end_id: int, cuts: list[tuple]):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = _tokenizer(path)[2]
-        kind = np.dtype("<u2" if width == 2 else "<u4")
+        of = _encoder(path, pattern)
+        end = np.array([end_id], of.kind).tobytes()
         for b in batches:
             id_, tie, salt = (b.column(k).to_pylist() for k in ("id", "tie", "salt"))
             texts = [x or "" for x in b.column("text").to_pylist()]
@@ -241,7 +258,7 @@ def _encode(path: str, pattern: str, end_id: int, cuts: list[tuple]):
                 while to < len(texts) and (to == at or size < 4 << 20):
                     size += len(texts[to])
                     to += 1
-                values += [np.array([*x, end_id], kind).tobytes() for x in encoded(texts[at:to], path, pattern)]
+                values += [x + end for x in of(texts[at:to])]
                 at = to
             shard = [bisect.bisect_right(cuts, k) for k in zip(id_, tie, salt, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column("id"), b.column("tie"), pa.array(values, pa.binary())], ["shard", "id", "tie", "value"])
@@ -301,7 +318,7 @@ def write_shards(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, fol
         n = -(-s["size"] // shard_bytes)
         levels = [("id", s["low"], s["high"] + 1), ("tie", 0, 1 << 63), ("salt", 0, SALTS)]
         cuts = sorted({(*c, *(0,) * (3 - len(c))) for c in histogram_sort.splitters(light, levels, "size", [(s["size"] * k // n, shard_bytes // 8) for k in range(1, n)])})
-    width = _tokenizer(tokenizer)[2]
+    width = _encoder(tokenizer, pattern).kind.itemsize
     dealt = keys.mapInArrow(_encode(tokenizer, pattern, end_id, cuts), "shard int, id long, tie long, value binary")
     dealt = dealt.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "id", "tie")
     manifest = common.written(dealt.mapInArrow(_write(folder, width), "shard int, file string, n_docs long, n_ids long"), "sst-manifest")

@@ -271,6 +271,20 @@ def test_token_counts(spark):
     assert token_counts.token_counts(docs.limit(0), path, queries.pre_tokens()).count() == 0
 
 
+def test_fast_splitting():
+    import regex
+
+    from netquarry.llm import pretokens
+
+    assert queries.pre_tokens() == pretokens.KNOWN
+    slow, fast = regex.compile(pretokens.KNOWN).findall, pretokens.splitter(pretokens.KNOWN)
+    rng = np.random.default_rng(4)
+    chars = [chr(k) for k in range(pretokens.BELOW)] + list(" \n\t'sdlmretv09aé") * 12
+    for k in range(4000):
+        text = "".join(chars[i] for i in rng.integers(0, len(chars), 40)) + ("\u0420" if k % 9 == 0 else "")
+        assert fast(text) == slow(text), repr(text)
+
+
 def test_registered():
     import __spark_entry__ as e
 
