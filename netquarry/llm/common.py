@@ -73,10 +73,11 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, spread: str, h
     least = max(2.0, total / hot)
     extra = [c for c in right.columns if c != key]
     top = F.broadcast(right.filter(F.col(n) >= least).select(F.col(key).alias("_hot_key"), F.struct(*extra).alias("_hot")))
-    rest = right.filter(F.col(n) < least).select(F.col(key).alias("_cold_key"), F.struct(*extra).alias("_cold"), F.lit(0).alias("_cold_salt"))
-    salt = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 16)).cast("int")).otherwise(0)
-    met = left.join(top, F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", salt)
-    met = met.join(rest, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
+    rest = right.filter(F.col(n) < least).select(F.col(key).alias("_cold_key"), F.struct(*extra).alias("_cold"), F.xxhash64(key).alias("_cold_deal"))
+    met = left.join(top, F.col(key) == F.col("_hot_key"), "left")
+    # dealt by a hash beside the key: that of the key, or for rows that are done or have none, one of their own
+    deal = F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), F.xxhash64(F.lit("apart"), spread)).otherwise(F.xxhash64(key))
+    met = met.withColumn("_deal", deal).join(rest, (F.col("_deal") == F.col("_cold_deal")) & (F.col(key) == F.col("_cold_key")), "left")
     both = F.coalesce("_hot", "_cold")
     return met.select(*[left[c] for c in left.columns], *[both[c].alias(c) for c in extra])
 
