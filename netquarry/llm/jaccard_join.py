@@ -7,14 +7,14 @@ smaller set; here rare tokens come first, by a table of counts of fixed size ove
 all documents, and l grows with the set (`needed`). Classes that share too few of
 their first tokens with all others together link with none.
 
-1. Similar classes are partitioned into groups: each joins the group of the most
-   central class that shares one of its first tokens. Groups have a bounded size;
-   larger ones are split, and each part holds the central class.
+1. Similar classes are partitioned into groups: the most central class of each
+   token leads it, and each class joins the leader of most of its tokens. Groups
+   have a bounded size; larger ones are split, and each part holds the leader.
 2. Within a part all pairs are compared, in memory.
-3. The matrix holds the tokens of each part's members. A class that the links so
-   far don't reach from a part looks up its own first tokens in it. Of the parts
-   found so, the part's token union bounds the overlap with any member, and only
-   parts whose bound qualifies are opened and compared.
+3. The matrix holds the tokens of each part's members. A class looks up its own
+   rarer first tokens in it, and finds parts with members that the links so far
+   don't connect it to. A part's token union bounds the overlap with any member,
+   and only parts whose bound qualifies are opened and compared.
 4. Components of all links come from repeated minimum and pointer steps over
    tables in the shared folder.
 
@@ -317,10 +317,12 @@ def _links(texts: DataFrame, classes: DataFrame, tokens: DataFrame, k: int, perc
         return posted.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     central = posted.groupBy("rep").agg(F.sum("n").alias("weight"))
     weighed = common.written(posted.join(central, "rep").select("token", "rep", "size", "n", F.struct("weight", (-F.col("rep")).alias("minus")).alias("rank")), "tgm-weighed")
-    # The most central class of each token leads it; each class joins the leader of most weight among those of its tokens.
+    # The most central class of each token leads it; each class joins the leader of most of its tokens.
     leads = common.written(weighed.groupBy("token").agg(F.max("rank").alias("lead"), F.max("n").alias("n")), "tgm-leads")
     led = common.join_hot(weighed.drop("n"), leads, "token", "n", "rep")
-    group = common.written(led.groupBy("rep").agg(F.max("lead").alias("lead"), F.max("size").alias("size")).select("rep", "size", (-F.col("lead.minus")).alias("lead")), "tgm-group")
+    votes = led.groupBy("rep", "size", "lead").agg(F.count("*").alias("votes"))
+    group = votes.groupBy("rep", "size").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead"))
+    group = common.written(group.select("rep", "size", (-F.col("lead.minus")).alias("lead")), "tgm-group")
     sizes = group.groupBy("lead").agg(F.count("*").alias("n"))
     parts = common.join_hot(group, common.written(sizes, "tgm-sizes"), "lead", "n", "rep").withColumn("of", F.ceil(F.col("n") / F.lit(part)).cast("int")).filter("n > 1 or rep <> lead")
     parts = common.written(parts.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int")), "tgm-parts")
