@@ -44,6 +44,8 @@ from netquarry.llm.components import connected
 
 #: Places of the table of token counts, and members of a part of a group.
 COUNTS, PART = 1 << 18, 192
+#: Tokens of a part's members together, about, so that a task's memory doesn't depend on how long its texts are.
+PART_TOKENS = 1 << 20
 MEMO = 150_000
 #: Tokens that a worker gathers before it packs them.
 HELD = 1 << 20
@@ -323,8 +325,8 @@ def _links(texts: DataFrame, classes: DataFrame, tokens: DataFrame, k: int, perc
     votes = led.groupBy("rep", "size", "lead").agg(F.count("*").alias("votes"))
     group = votes.groupBy("rep", "size").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead"))
     group = common.written(group.select("rep", "size", (-F.col("lead.minus")).alias("lead")), "tgm-group")
-    sizes = group.groupBy("lead").agg(F.count("*").alias("n"))
-    parts = common.join_hot(group, common.written(sizes, "tgm-sizes"), "lead", "n", "rep").withColumn("of", F.ceil(F.col("n") / F.lit(part)).cast("int")).filter("n > 1 or rep <> lead")
+    sizes = group.groupBy("lead").agg(F.count("*").alias("n"), F.sum("size").alias("volume"))
+    parts = common.join_hot(group, common.written(sizes, "tgm-sizes"), "lead", "n", "rep").withColumn("of", F.ceil(F.greatest(F.col("n") / F.lit(part), F.col("volume") / F.lit(PART_TOKENS))).cast("int")).filter("n > 1 or rep <> lead")
     parts = common.written(parts.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int")), "tgm-parts")
     alone = group.join(parts.select("rep"), "rep", "left_anti").select("rep", "size", F.col("rep").alias("lead"), F.lit(0).alias("part"))
     # The central class stands in every part.
@@ -358,11 +360,11 @@ def _links(texts: DataFrame, classes: DataFrame, tokens: DataFrame, k: int, perc
     rare = entries.withColumn("nth", F.row_number().over(by_rep.orderBy("n", "token"))).withColumn("all", F.count("*").over(by_rep)).filter(F.col("nth") <= F.col("all") - enough + 1)
     asked = rare.select("token", F.col("rep").alias("query"), F.col("size").alias("own"), F.col("root").alias("own_root"))
     reach = (F.col("own") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("own") * percent)
-    hits = asked.join(matrix, "token").filter((F.col("own_root") < F.col("root")) & reach).select("query", "lead", "part").distinct()
+    hits = asked.join(matrix, "token").filter((F.col("own_root") < F.col("root")) & reach).select("query", F.col("own").alias("size"), "lead", "part").distinct()
     hits = common.written(hits, "tgm-hits")
     if hits.isEmpty():
         return inner
-    crowd = hits.groupBy("lead", "part").agg(F.ceil(F.count("*") / F.lit(4 * part)).cast("int").alias("shares"))
+    crowd = hits.groupBy("lead", "part").agg(F.ceil(F.greatest(F.count("*") / F.lit(4 * part), F.sum("size") / F.lit(PART_TOKENS))).cast("int").alias("shares"))
     crowd = common.written(crowd, "tgm-crowd")
     dealt = hits.join(crowd, ["lead", "part"]).select(F.col("query").alias("rep"), "lead", "part", F.pmod(F.xxhash64("query"), F.col("shares")).cast("int").alias("share"))
     queries = sets.join(common.bounded(common.written(dealt, "tgm-dealt"))[0], "rep")
