@@ -6,17 +6,20 @@ Three cases are kept apart: no source has the entity (zeros), one source lacks i
 
 from __future__ import annotations
 
+import math
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from netquarry.functions import exprs as X
 
+#: Cells of a block of rows at most; what a task compares is two blocks.
+CELLS = 1 << 21
 # Fields of the sources, words looked for in names, and countries of the regions.
 ASRANK = ("rank", "clique_member", "seen", "longitude", "latitude", "cone_asns", "cone_prefixes", "cone_addresses", "degree_provider", "degree_peer", "degree_customer", "degree_total", "degree_transit", "degree_sibling", "announcing_prefixes", "announcing_addresses")
 RATIOS = {
@@ -120,50 +123,95 @@ class Scaler:
         return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(self.scales[c]) for c, m in self.means.items()})
 
 
-def knn_impute(df: DataFrame, columns: list[str], donors: DataFrame | None = None, k: int = 5, donor_limit: int = 5000, key: str = "asn") -> DataFrame:
+def _nearest(x: np.ndarray, d: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, column, its k nearest donors that have the column, their squared distances) of each missing cell of x; of equally far donors the first ones of d."""
+    there = ~np.isnan(d)
+    filled, f = np.where(there, d, 0.0), there.astype(float)
+    most = min(len(d), 2 * k + 6)
+    rows = np.flatnonzero(np.isnan(x).any(axis=1))
+    step = max(1, min(256, CELLS // max(1, len(d))))
+    for lo in range(0, len(rows) if len(d) else 0, step):
+        part = rows[lo : lo + step]
+        own = ~np.isnan(x[part])
+        z = np.where(own, x[part], 0.0)
+        both = own.astype(float) @ f.T
+        square = (z * z) @ f.T - 2 * z @ filled.T + own.astype(float) @ (filled * filled).T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = np.where(both > 0, np.maximum(square, 0) * d.shape[1] / both, np.inf)
+        # The nearest few of all donors; those below the farthest of them are complete, and mostly enough.
+        few = np.sort(np.argpartition(far, most - 1, axis=1)[:, :most], axis=1)
+        few = np.take_along_axis(few, np.argsort(np.take_along_axis(far, few, 1), axis=1, kind="stable"), 1)
+        close = np.take_along_axis(far, few, 1)
+        complete = np.isfinite(close) & ((close < close[:, -1:]) | (most == len(d)))
+        for r, j in zip(*np.nonzero(~own), strict=True):
+            best = few[r][complete[r] & there[few[r], j]][:k]
+            if len(best) < k and most < len(d):
+                near = np.where(there[:, j], far[r], np.inf)
+                best = np.flatnonzero((near <= np.partition(near, k - 1)[k - 1]) & np.isfinite(near))
+                best = best[np.argsort(near[best], kind="stable")][:k]
+            if len(best):
+                yield part[r], j, best, far[r, best]
+
+
+def _cells(table: pa.Table) -> np.ndarray:
+    x = table["_x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    return x.reshape(table.num_rows, -1)
+
+
+def _tile(k: int):
+    kind = pa.list_(pa.struct([("far", pa.float64()), ("place", pa.int64()), ("value", pa.float64())]))
+
+    def tile(key: tuple[pa.Scalar, ...], queries: pa.Table, donors: pa.Table) -> pa.Table:
+        uid, col, near = [], [], []
+        if queries.num_rows and donors.num_rows:
+            place, ids = donors["_place"].to_numpy(), queries["_uid"].to_numpy()
+            order = np.argsort(place, kind="stable")
+            place, d = place[order], _cells(donors)[order]
+            for r, j, best, far in _nearest(_cells(queries), d, k):
+                uid.append(ids[r])
+                col.append(j)
+                near.append([{"far": a, "place": p, "value": v} for a, p, v in zip(far, place[best], d[best, j], strict=True)])
+        return pa.table({"_uid": pa.array(uid, pa.int64()), "_col": pa.array(col, pa.int32()), "_near": pa.array(near, kind)})
+
+    return tile
+
+
+def knn_impute(df: DataFrame, columns: list[str], donors: DataFrame | None = None, k: int = 5, donor_limit: int | None = None, key: str = "asn") -> DataFrame:
     """Nulls become the mean of the k nearest donors that have the column, by the distance over what both have; without one, the column's mean.
 
-    Donors are fitted rows, `donor_limit` at most: those given, which may be no
-    more, or the first ones by the hash of their key. They alone are sent to the
-    executors; each task compares its own rows with them, a batch at a time.
+    Donors are all rows of `donors`, or of df; of equally far ones those of the
+    least hash of their key. More than `donor_limit`, if given, raise an error.
+    Each block of rows meets each block of donors in a task of its own, which
+    returns its k best; the k best of all blocks are merged.
     """
-    if donors is None:
-        donors = df.orderBy(X.mix(0, F.col(key)), key).limit(donor_limit)
-    table = donors.select(*columns).limit(donor_limit + 1).toPandas().to_numpy(float)
-    if len(table) > donor_limit:
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():  # only where spark.checkpoint.dir is unset
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+    if donors is not None and donor_limit is not None and donors.limit(donor_limit + 1).count() > donor_limit:
         raise ValueError(f"over {donor_limit} donors")
-    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    mean = np.array([0.0 if means[c] is None else means[c] for c in columns])
-    held = df.sparkSession.sparkContext.broadcast((table, mean))
-
-    def impute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d, mean = held.value
-        there = ~np.isnan(d)
-        filled = np.where(there, d, 0.0)
-        for b in batches:
-            x = b[columns].to_numpy(float, copy=True)
-            rows = np.flatnonzero(np.isnan(x).any(axis=1))
-            for lo in range(0, len(rows), 256):
-                part = rows[lo : lo + 256]
-                own = ~np.isnan(x[part])
-                z = np.where(own, x[part], 0.0)
-                both = own.astype(float) @ there.T.astype(float)
-                square = (z * z) @ there.T - 2 * z @ filled.T + own.astype(float) @ (filled * filled).T
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    far = np.where(both > 0, np.maximum(square, 0) * len(columns) / both, np.inf)
-                for j in range(len(columns)):
-                    miss = np.flatnonzero(~own[:, j])
-                    if len(miss):
-                        near = np.where(there[:, j][None, :], far[miss], np.inf)
-                        best = np.argsort(near, axis=1, kind="stable")[:, :k]
-                        ok = np.isfinite(np.take_along_axis(near, best, 1))
-                        total = np.where(ok, filled[:, j][best], 0).sum(axis=1)
-                        x[part[miss], j] = np.where(ok.any(axis=1), total / np.maximum(ok.sum(axis=1), 1), mean[j])
-            b[columns] = x
-            yield b
-
-    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in columns else f.dataType) for f in df.schema])
-    return df.withColumns({c: F.col(c).cast("double") for c in columns}).mapInPandas(impute, schema)
+
+    def cells(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}).withColumn("_uid", F.monotonically_increasing_id()).checkpoint()
+
+    rows = cells(df)
+    given = rows if donors is None else cells(donors)
+    place = F.conv(F.substring(X.mix(0, F.col(key)), 1, 15), 16, 10).cast("long") if key in given.columns else F.col("_uid")
+    x = F.array(*[F.coalesce(c, F.lit(float("nan"))) for c in columns]).alias("_x")
+    means = rows.agg(*[F.avg(c).alias(c) for c in columns], F.count("*").alias("_n")).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = [max(math.ceil(math.sqrt(parts)), math.ceil(n * len(columns) / CELLS)) for n in (means["_n"], given.count())]
+    block = [F.pmod(F.xxhash64("_uid"), F.lit(n)).cast("int") for n in many]
+    each = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in many]
+    lacking = rows.filter(F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0), F.lit(0)) == 1)
+    asked = lacking.select("_uid", x, block[0].alias("_q"), each[1].alias("_d")).repartition(parts, "_q", "_d")
+    met = given.select(place.alias("_place"), x, each[0].alias("_q"), block[1].alias("_d")).repartition(parts, "_q", "_d")
+    near = asked.groupBy("_q", "_d").cogroup(met.groupBy("_q", "_d")).applyInArrow(_tile(k), "_uid long, _col int, _near array<struct<far:double,place:long,value:double>>")
+    best = near.groupBy("_uid", "_col").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_best"))
+    value = F.aggregate("_best", F.lit(0.0), lambda a, b: a + b["value"]) / F.size("_best")
+    found = best.groupBy(F.col("_uid").alias("_of")).agg(F.map_from_entries(F.collect_list(F.struct("_col", value.alias("v")))).alias("_put"))
+    out = rows.join(found, F.col("_uid") == F.col("_of"), "left")
+    mean = {c: 0.0 if means[c] is None else means[c] for c in columns}
+    return out.withColumns({c: F.coalesce(F.col(c), F.col("_put")[j], F.lit(mean[c])) for j, c in enumerate(columns)}).select(*df.columns)
 
 
 def anova_f(df: DataFrame, columns: list[str], label: str) -> DataFrame:

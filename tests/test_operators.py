@@ -163,6 +163,19 @@ def test_knn_impute(spark):
         features.knn_impute(rows, list("abcd"), donors=rows, donor_limit=10)
 
 
+def test_knn_impute_all_donors(spark):
+    """Over 5000 rows: the nearest donors are sought among all of them."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 3))
+    x[:300, 0] = np.nan
+    rows = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "asn long, a double, b double, c double")
+    got = np.array([list(r)[1:] for r in features.knn_impute(rows, list("abc")).orderBy("asn").collect()])
+    for i in range(300):
+        near = np.argsort(((x[300:, 1:] - x[i, 1:]) ** 2).sum(axis=1))[:5]
+        assert math.isclose(got[i, 0], x[300:, 0][near].mean(), abs_tol=1e-9)
+    assert np.array_equal(got[300:], x[300:])
+
+
 def test_models(spark, tmp_path):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 2))
