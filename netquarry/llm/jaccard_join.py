@@ -9,22 +9,26 @@ their first tokens with all others together link with none.
 
 1. Similar classes are partitioned into groups: the most central class of each
    token leads it, and each class joins the leader of most of its tokens. Groups
-   have a bounded size; larger ones are split, and each part holds the leader.
+   have a bounded size; larger ones are split. A class stands in one part.
 2. Within a part all pairs are compared, in memory.
 3. The matrix holds the tokens of each part's members. A class looks up its own
-   rarer first tokens in it, and finds parts with members that the links so far
-   don't connect it to. A part's token union bounds the overlap with any member,
-   and only parts whose bound qualifies are opened and compared.
+   rarer first tokens in it, and finds the parts after its own that have members
+   with such a token, connected to it or not. A part's token union bounds the
+   overlap with any member, and only parts whose bound qualifies are opened and
+   compared.
 4. Components of all links come from repeated minimum and pointer steps over
    tables in the shared folder.
 
-Every pair whose classes aren't known to be connected is thus either below the
-bound or compared, so components are exact.
+Every pair of classes is thus either below the bound or compared, once. A task
+counts the links of each class, weighed by the documents of the other, and names
+as many of them as connect what they connect: counts and components are exact,
+and no table grows with the square of a group.
 
 Defined cases: a text without words, null or empty, has an empty set and links
 with nothing; a text of fewer words than a shingle is one shingle; rows with one
 doc_id are one vertex; rows with a null doc_id are left unlinked, their own
-component null; an empty table gives no rows; extra columns are left alone.
+component null and their links 0; each row that has a doc_id counts as a link of
+those it is linked with; an empty table gives no rows; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -249,22 +253,53 @@ def _compared(own: list[np.ndarray], others: list[np.ndarray], percent: int) ->
     return np.nonzero(linked(shared.astype(np.int64), a[:, None], b[None, :], percent))
 
 
+def _forest(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all links (x, y) of n nodes connect: one less than its nodes for each component."""
+    linked_ = np.zeros((n, n), bool)
+    linked_[x, y] = linked_[y, x] = True
+    left, a, b = linked_.any(axis=1), [], []
+    while left.any():
+        front = np.array([left.argmax()])
+        left[front] = False
+        while len(front):
+            met = linked_[front] & left
+            new = np.flatnonzero(met.any(axis=0))
+            a.append(front[met[:, new].argmax(axis=0)])
+            b.append(new)
+            left[new] = False
+            front = new
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+
+
+LINKS = "a long, b long, n long"
+
+
+def _counted(ids: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> pa.Table:
+    """Of the links (x, y), places in ids: enough to connect, as (a, b, null), and what each class is linked with, as (a, null, n)."""
+    count = np.zeros(len(ids), np.int64)
+    np.add.at(count, x, weight[y])
+    np.add.at(count, y, weight[x])
+    p, q = _forest(x, y, len(ids))
+    some = np.flatnonzero(count)
+    a, b, n = np.concatenate([ids[p], ids[some]]), [*ids[q].tolist(), *[None] * len(some)], [*[None] * len(p), *count[some].tolist()]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
 def _within(percent: int):
     def within(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids = table["rep"].to_numpy()
         sets = [np.frombuffer(x, "<u8") for x in table["tokens"].to_pylist()]
         x, y = _compared(sets, sets, percent)
         keep = x < y
-        return pa.table({"a": pa.array(ids[x[keep]], pa.int64()), "b": pa.array(ids[y[keep]], pa.int64())})
+        return _counted(table["rep"].to_numpy(), x[keep], y[keep], table["docs"].to_numpy())
 
     return within
 
 
 def _opened(percent: int):
     def opened(key: tuple[pa.Scalar, ...], queries: pa.Table, members: pa.Table) -> pa.Table:
-        a, b = [], []
+        x = y = np.zeros(0, int)
+        ids, weight = (np.concatenate([queries[c].to_numpy(), members[c].to_numpy()]).astype(np.int64) for c in ("rep", "docs"))
         if queries.num_rows and members.num_rows:
-            q, m = queries["rep"].to_numpy(), members["rep"].to_numpy()
             own = [np.frombuffer(x, "<u8") for x in queries["tokens"].to_pylist()]
             sets = [np.frombuffer(x, "<u8") for x in members["tokens"].to_pylist()]
             union, least = np.unique(np.concatenate(sets)), min(map(len, sets))
@@ -272,14 +307,19 @@ def _opened(percent: int):
             into = [k for k, s in enumerate(own) if (100 + percent) * np.isin(s, union, assume_unique=True).sum() >= percent * (len(s) + least)]
             if into:
                 x, y = _compared([own[k] for k in into], sets, percent)
-                a, b = q[np.array(into)[x]], m[y]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                x, y = np.array(into)[x], y + len(own)
+        return _counted(ids, x, y, weight)
 
     return opened
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id that links reach, for each row; linked: 100 * intersection >= percent * union."""
+    """doc_id, n_shingles and component_id of each row; see `jaccard_links`."""
+    return jaccard_links(docs, text, doc_id, k, percent, part).drop("n_links")
+
+
+def jaccard_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
+    """doc_id, n_shingles, component_id, the smallest doc_id that links reach, and n_links, the other rows linked with it, for each row; linked: 100 * intersection >= percent * union."""
     spark = common.tune(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = spark.sparkContext.broadcast(token_counts(texts.select("text"), k))
@@ -293,22 +333,25 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     found = rows.filter("share is not null").select("share", "packed").repartition("share").sortWithinPartitions("share").mapInArrow(_shared_tokens, "token long, uid long")
     named = common.written(common.join_hot(own.select("uid", "digest"), classes, "digest", "n", "uid").select("uid", "rep", "size"), "tgm-rows")
     posted = common.written(found.join(named, "uid").select("token", "rep", "size").distinct(), "tgm-found-tokens")
-    edges = _links(texts, classes, posted, k, percent, part)
+    links = _links(texts, classes, posted, k, percent, part)
+    edges = links.filter("b is not null").select("a", "b")
+    counts = links.filter("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     # A doc_id with several sets joins their classes.
     pairs = own.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("doc_id")
     several = common.written(own.select("doc_id", "digest").join(common.written(pairs, "tgm-several"), "doc_id").distinct().join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"), "tgm-more")
     more = several.join(several.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")
     roots = connected(edges.unionByName(more))
     named = classes.select("digest", "n", "rep", "first_id").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = named.join(counts, "rep", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("n") - 1).drop("others")
     named = common.written(named, "tgm-named")
     least = common.written(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("classes")), "tgm-least")
-    named = common.written(common.join_hot(named, least, "root", "classes", "rep").select("digest", "n", "component_id"), "tgm-components")
+    named = common.written(common.join_hot(named, least, "root", "classes", "rep").select("digest", "n", "component_id", "n_links"), "tgm-components")
     met = common.join_hot(signed.select("doc_id", "n_shingles", "digest"), named, "digest", "n", "doc_id")
-    return met.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return met.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
 
 
 def _links(texts: DataFrame, classes: DataFrame, tokens: DataFrame, k: int, percent: int, part: int) -> DataFrame:
-    """(a, b) of classes, whose components are those of all links; tokens: (token, rep, size) of the first tokens that several rows have."""
+    """(a, b, null) of classes, whose components are those of all links, and (a, null, n) to be summed, the documents of other classes linked with a; tokens: (token, rep, size) of the first tokens that several rows have."""
     # A partner has ceil(t s) tokens at least, and with it as many are shared as `needed` says of that.
     enough = F.expr(f"1 + 5 * ((size * {percent} + 99) div 100) div 100")
     shared = common.written(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "tgm-shared")
@@ -316,7 +359,7 @@ def _links(texts: DataFrame, classes: DataFrame, tokens: DataFrame, k: int, perc
     many = common.written(posted.groupBy("rep", "size").agg(F.count("*").alias("k")).filter(F.col("k") >= enough).select("rep"), "tgm-many")
     posted = common.written(posted.join(many, "rep", "left_semi"), "tgm-posted")
     if posted.isEmpty():
-        return posted.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+        return posted.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(None).cast("long").alias("n"))
     central = posted.groupBy("rep").agg(F.sum("n").alias("weight"))
     weighed = common.written(posted.join(central, "rep").select("token", "rep", "size", "n", F.struct("weight", (-F.col("rep")).alias("minus")).alias("rank")), "tgm-weighed")
     # The most central class of each token leads it; each class joins the leader of most of its tokens.
@@ -329,38 +372,31 @@ def _links(texts: DataFrame, classes: DataFrame, tokens: DataFrame, k: int, perc
     parts = common.join_hot(group, common.written(sizes, "tgm-sizes"), "lead", "n", "rep").withColumn("of", F.ceil(F.greatest(F.col("n") / F.lit(part), F.col("volume") / F.lit(PART_TOKENS))).cast("int")).filter("n > 1 or rep <> lead")
     parts = common.written(parts.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int")), "tgm-parts")
     alone = group.join(parts.select("rep"), "rep", "left_anti").select("rep", "size", F.col("rep").alias("lead"), F.lit(0).alias("part"))
-    # The central class stands in every part.
-    copies = parts.groupBy("lead").agg(F.max("of").alias("of")).select(F.col("lead").alias("rep"), "lead", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part"))
-    members = common.written(parts.select("rep", "lead", "part").unionByName(copies).distinct(), "tgm-members")
-    wanted = common.written(classes.select("rep", "digest", "first_id").join(group.select("rep"), "rep", "left_semi"), "tgm-wanted")
+    members = parts.select("rep", "lead", "part")
+    wanted = common.written(classes.select("rep", "digest", "first_id", F.col("n").alias("docs")).join(group.select("rep"), "rep", "left_semi"), "tgm-wanted")
     # Sets are made once and then go straight to the parts that need them, unless what names these is too long to broadcast.
     ids, _ = common.bounded(wanted.select(F.col("first_id").alias("doc_id")))
-    named, _ = common.bounded(wanted.select("rep", "digest"))
+    named, _ = common.bounded(wanted.select("rep", "digest", "docs"))
     found = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "digest binary, tokens binary")
-    sets = common.written(found.join(named, "digest").select("rep", "tokens"), "tgm-sets")
+    sets = common.written(found.join(named, "digest").select("rep", "docs", "tokens"), "tgm-sets")
     if sets.select("rep").count() > wanted.count():  # a doc_id on several rows
         sets = common.written(sets.dropDuplicates(["rep"]), "tgm-sets")
-    inner = sets.join(common.bounded(members)[0], "rep").groupBy("lead", "part").applyInArrow(_within(percent), "a long, b long")
+    inner = sets.join(common.bounded(members)[0], "rep").groupBy("lead", "part").applyInArrow(_within(percent), LINKS)
     inner = common.written(inner, "tgm-inner")
-    # Classes that no link has connected to a part yet look up their tokens in it.
-    roots = connected(inner)
-    rooted = group.select("rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
-    rooted = common.written(rooted, "tgm-rooted")
-    weight = rooted.groupBy("root").agg(F.count("*").alias("m"))
-    rooted = common.written(common.join_hot(rooted, common.written(weight, "tgm-weight"), "root", "m", "rep").select("rep", F.struct("m", "root").alias("root")), "tgm-roots")
-    placed = members.select("rep", "lead", "part").unionByName(alone.select("rep", "lead", "part"))
-    entries = common.written(posted.select("token", "rep", "size").join(rooted, "rep"), "tgm-rooted-tokens")
-    # only tokens of more than one component are of interest
-    mixed = common.written(entries.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x <> y").select("token", "n"), "tgm-mixed")
+    # Classes look up their tokens in all parts after their own.
+    placed = common.written(members.unionByName(alone.select("rep", "lead", "part")).withColumn("home", F.struct("lead", "part")), "tgm-placed")
+    entries = common.written(posted.select("token", "rep", "size").join(placed.select("rep", "home"), "rep"), "tgm-placed-tokens")
+    # only tokens of more than one part are of interest
+    mixed = common.written(entries.groupBy("token").agg(F.min("home").alias("x"), F.max("home").alias("y"), F.count("*").alias("n")).filter("x <> y").select("token", "n"), "tgm-mixed")
     entries = common.join_hot(entries, mixed, "token", "n", "rep").filter("n is not null")
-    entries = common.written(entries.select("token", "rep", "size", "root", "n"), "tgm-entries")
-    matrix = entries.join(placed, "rep").groupBy("token", "lead", "part").agg(F.max("root").alias("root"), F.min("size").alias("least"), F.max("size").alias("most"))
+    entries = common.written(entries.select("token", "rep", "size", "home", "n"), "tgm-entries")
+    matrix = entries.groupBy("token", "home").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     # A link needs `enough` of a class's tokens here, so one of those that are left without its most frequent `enough` - 1.
     by_rep = W.partitionBy("rep")
     rare = entries.withColumn("nth", F.row_number().over(by_rep.orderBy("n", "token"))).withColumn("all", F.count("*").over(by_rep)).filter(F.col("nth") <= F.col("all") - enough + 1)
-    asked = rare.select("token", F.col("rep").alias("query"), F.col("size").alias("own"), F.col("root").alias("own_root"))
+    asked = rare.select("token", F.col("rep").alias("query"), F.col("size").alias("own"), F.col("home").alias("own_home"))
     reach = (F.col("own") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("own") * percent)
-    hits = asked.join(matrix, "token").filter((F.col("own_root") < F.col("root")) & reach).select("query", F.col("own").alias("size"), "lead", "part").distinct()
+    hits = asked.join(matrix, "token").filter((F.col("own_home") < F.col("home")) & reach).select("query", F.col("own").alias("size"), "home.lead", "home.part").distinct()
     hits = common.written(hits, "tgm-hits")
     if hits.isEmpty():
         return inner
@@ -371,7 +407,7 @@ def _links(texts: DataFrame, classes: DataFrame, tokens: DataFrame, k: int, perc
     opened = placed.join(crowd, ["lead", "part"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("rep", "lead", "part", "share")
     opened = sets.join(common.bounded(common.written(opened, "tgm-opened"))[0], "rep")
     keys = ("lead", "part", "share")
-    outer = common.fresh(queries).groupBy(*keys).cogroup(common.fresh(opened).groupBy(*keys)).applyInArrow(_opened(percent), "a long, b long")
+    outer = common.fresh(queries).groupBy(*keys).cogroup(common.fresh(opened).groupBy(*keys)).applyInArrow(_opened(percent), LINKS)
     return common.written(inner.unionByName(outer), "tgm-links")
 
 

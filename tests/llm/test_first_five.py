@@ -140,6 +140,24 @@ def test_jaccard_chains_and_splits(spark):
     assert jaccard_join.keep(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [192, 2])
+def test_jaccard_links(spark, part):
+    """Every link counts, also between parts of a group that its leader connects already."""
+    rng = np.random.default_rng(6)
+    base = [f"t{x}" for x in range(60)]
+    rows = []
+    for i in range(14):
+        w = list(base)
+        w[int(rng.integers(0, 60))] = f"u{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(20, rows[3][1]), (21, rows[3][1]), (22, "other words"), (23, None)]
+    for docs in (docs_of(spark, rows), H.awkward_docs(spark)):
+        own = [(r.doc_id, H.shingles(r.text, 2)) for r in docs.collect()]
+        want = Counter((i, sum(100 * len(a & b) >= 80 * len(a | b) for m, (j, b) in enumerate(own) if m != n and j is not None and a and b) if i is not None else 0) for n, (i, a) in enumerate(own))
+        got = jaccard_join.jaccard_links(docs, k=2, percent=80, part=part).collect()
+        assert Counter((r.doc_id, r.n_links) for r in got) == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(50)] + [(201, 200), (7, 7)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
