@@ -1,12 +1,12 @@
-"""Personal data: patterns, and information-theoretic sanitisation of the terms around them.
+"""Personal data: patterns, and information-theoretic sanitisation of the terms that tell them.
 
 Base spans are found by pattern. Each found value is a protected entity. Over the
 whole corpus it is counted in how many documents an entity, a term, and the two
-within a few words of each other occur. How much of an entity c a term t tells is
+together occur, wherever they stand in these. How much of an entity c a term t tells is
 PMI(c; t) = log2(N n(c,t) / (n(c) n(t))), at most what the entity itself tells,
-IC(c) = log2(N / n(c)). Terms that tell DISCLOSES of it or more, in at least two
-different surroundings, are generalised beside that entity, those that tell
-REVEALS of it or more are removed.
+IC(c) = log2(N / n(c)). Terms that tell DISCLOSES of any entity or more, in at
+least two documents, are generalised wherever they occur, also in documents
+without the entity; those that tell REVEALS of it or more are removed.
 
 Defined cases: a null text counts as empty; rows that occur more than once count
 each; null doc_ids are scanned too; an empty table gives no rows; extra columns
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 
 from netquarry.llm import common
 
-#: Words on either side of an entity that count as beside it.
-BESIDE = 5
 #: Shares of an entity's information from which a term is generalised or removed.
 DISCLOSES, REVEALS = 0.8, 0.95
 #: Terms that a worker counts before it passes the counts on.
@@ -41,8 +39,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"\w+")
-#: Characters looked at before and after an entity for its surroundings; a longer run without a word end is not a term.
-REACH = 400
+#: Places of the table of bits that tells which terms may be marked; 64 to a row.
+BITS = 1 << 26
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -85,40 +83,63 @@ def _hash(x: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))).astype(np.int64))
 
 
-def surroundings(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(entity, hash of its surroundings, term, start, end) of each word beside each entity; words inside spans are none."""
-    inside = sorted((a, b) for a, b, _ in spans)
-    for a, b, kind in spans:
-        entity = _hash(f"{kind}:{text[a:b].lower()}")
-        left = [m.span() for m in WORD.finditer(text, max(0, a - REACH), a)][-BESIDE:]
-        right = [m.span() for m in WORD.finditer(text, b, min(len(text), b + REACH))][:BESIDE]
-        if a > REACH and left and left[0][0] == a - REACH:
-            left = left[1:]  # may be cut
-        if right and right[-1][1] == b + REACH:
-            right = right[:-1]
-        context = _hash(text[(left or [(a, b)])[0][0] : (right or [(a, b)])[-1][1]])
-        for x, y in left + right:
-            if not any(p < y and x < q for p, q in inside if p < y):
-                yield entity, context, _hash(text[x:y].lower()), x, y
+def outside(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the words that no span overlaps; spans are sorted by start."""
+    at, until = 0, 0
+    for m in WORD.finditer(text):
+        x, y = m.span()
+        while at < len(spans) and spans[at][0] < y:
+            until = max(until, spans[at][1])
+            at += 1
+        if until <= x:
+            yield x, y
 
 
-BASE = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, beside array<struct<entity:bigint,context:bigint,term:bigint,start:int,stop:int>>"
-_BESIDE = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "beside"]
-    types = [pa.int64()] * 6 + [pa.string()] * 2 + [_BESIDE]
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entities, terms) of each text with entities."""
     for b in batches:
         rows = []
-        for u, i, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            t = t or ""
-            spans = base_spans(t)
-            joined = ",".join(f"{k}:{a}:{e}" for a, e, k in spans)
-            kinds = [k for _, _, k in spans]
-            rows.append((u, i, *(kinds.count(k) for k in KINDS), hashlib.sha256(joined.encode()).hexdigest(), joined, [dict(zip(("entity", "context", "term", "start", "stop"), x, strict=True)) for x in surroundings(t, spans)] if spans else []))
-        cols = list(zip(*rows, strict=True)) or [()] * 9
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+        for t in b.column(0).to_pylist():
+            if t and (spans := base_spans(t)):
+                rows.append(([*{_hash(f"{kind}:{t[x:y].lower()}") for x, y, kind in spans}], [*map(_hash, {t[x:y].lower() for x, y in outside(t, spans)})]))
+        cols = list(zip(*rows, strict=True)) or [()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64())) for c in cols], ["entities", "terms"])
+
+
+BASE = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, found array<struct<term:bigint,start:int,stop:int>>"
+_FOUND = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def _marker(bits):
+    """Base spans of each row, and the words outside them that may be terms to mark."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "found"]
+        types = [pa.int64()] * 6 + [pa.string()] * 2 + [_FOUND]
+        table, memo = bits.value, {}
+
+        def term(word: str) -> int | None:
+            if word not in memo:
+                if len(memo) > HELD:
+                    memo.clear()
+                h = _hash(word.lower())
+                memo[word] = h if int(table[h % BITS >> 6]) >> (h % 64) & 1 else None
+            return memo[word]
+
+        for b in batches:
+            rows = []
+            for u, i, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                t = t or ""
+                spans = base_spans(t)
+                joined = ",".join(f"{k}:{a}:{e}" for a, e, k in spans)
+                kinds = [k for _, _, k in spans]
+                some = any(term(w) is not None for w in set(WORD.findall(t)))
+                found = [{"term": h, "start": x, "stop": y} for x, y in outside(t, spans) if (h := term(t[x:y])) is not None] if some else []
+                rows.append((u, i, *(kinds.count(k) for k in KINDS), hashlib.sha256(joined.encode()).hexdigest(), joined, found))
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    return mark
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +151,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for t in b.column(0).to_pylist():
-            for w in set(WORD.findall((t or "").lower())):
+            for w in {w.lower() for w in set(WORD.findall(t or ""))}:
                 held[w] = held.get(w, 0) + 1
             if len(held) >= HELD:
                 yield out()
@@ -138,38 +159,49 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def scanned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Base spans and surroundings of each row, written."""
+def telling(docs: DataFrame, text: str = "text", discloses: float = DISCLOSES) -> DataFrame:
+    """(term, share) of the terms that tell `discloses` of an entity or more: the most that they tell of any. Written."""
     common.tune(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return common.written(rows.mapInArrow(_scan, BASE), "pii-base")
-
-
-def telling(base: DataFrame, docs: DataFrame, text: str = "text", discloses: float = DISCLOSES) -> DataFrame:
-    """(pair, entity, term, share, n) of the terms that tell `discloses` of an entity or more; pair hashes both, n counts where they stand together. Written."""
-    beside = base.select("uid", F.inline("beside"))
-    pairs = beside.groupBy("entity", "term", "uid").agg(F.min("context").alias("x"), F.max("context").alias("y"), F.count("*").alias("k"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("x").alias("x"), F.max("y").alias("y"), F.sum("k").alias("n")).filter("x <> y")
-    pairs = common.written(pairs.select("entity", "term", "both", "n"), "pii-pairs")
-    wanted, _ = common.bounded(common.written(pairs.select("term").distinct(), "pii-terms"))
-    terms = docs.select(F.col(text).alias("text")).mapInArrow(_term_counts, "term long, n long").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("docs"))
-    entities = beside.select("entity", "uid").distinct().groupBy("entity").agg(F.count("*").alias("own"))
-    total = base.count()
-    met = pairs.join(terms, "term").join(entities, "entity")
-    tells = F.log2(F.lit(float(total)) * F.col("both") / (F.col("own") * F.col("docs").cast("double")))
-    own = F.log2(F.lit(float(total)) / F.col("own"))
+    texts = docs.select(F.col(text).alias("text"))
+    total = float(texts.count())
+    base = common.written(texts.mapInArrow(_told, "entities array<long>, terms array<long>").withColumn("uid", F.monotonically_increasing_id()), "pii-base")
+    entities = common.written(base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("own")), "pii-entities")
+    terms = common.written(base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("k")), "pii-terms")
+    wanted, _ = common.bounded(terms.select("term", "k"))
+    counts = texts.mapInArrow(_term_counts, "term long, n long").join(wanted, "term").groupBy("term").agg(F.sum("n").alias("docs"), F.first("k").alias("k"))
+    # share >= discloses is both / docs >= (own / N)^(1 - discloses), and both <= own: too frequent terms tell too little of any entity
+    bound = F.pow("own", F.lit(discloses)) * F.lit(total ** (1 - discloses) * (1 + 1e-9))
+    most = entities.agg(F.max(bound).alias("m")).first()["m"] or 0.0
+    counts = common.written(counts.filter(F.col("docs") <= F.lit(most)), "pii-term-counts")
+    rare = common.join_hot(base.select("uid", F.explode("terms").alias("term")), counts, "term", "k", "uid").filter("docs is not null").select("uid", "term", "docs")
+    named = common.join_hot(base.select("uid", F.explode("entities").alias("entity")), entities, "entity", "own", "uid").select("uid", "entity", "own")
+    pairs = named.join(rare, "uid").filter(F.col("docs") <= bound).groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("own").alias("own"), F.first("docs").alias("docs")).filter("both > 1")
+    tells = F.log2(F.lit(total) * F.col("both") / (F.col("own") * F.col("docs").cast("double")))
+    own = F.log2(F.lit(total) / F.col("own"))
     share = F.when(own > 0, tells / own).otherwise(0.0)
-    return common.written(met.withColumn("share", share).filter(F.col("share") >= discloses).select(F.xxhash64("entity", "term").alias("pair"), "entity", "term", "share", "n"), "pii-telling")
+    return common.written(pairs.withColumn("share", share).filter(F.col("share") >= discloses).groupBy("term").agg(F.max("share").alias("share")), "pii-telling")
+
+
+def _bits(told: DataFrame) -> np.ndarray:
+    """A bit for each term's hash, in a table of fixed size."""
+    at = F.pmod("term", F.lit(BITS))
+    rows = told.select(F.shiftright(at, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(term, {BITS}L) % 64 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(BITS >> 6, np.int64)
+    out[rows["at"].to_numpy(int)] = rows["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
 
 
 def found(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", discloses: float = DISCLOSES) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and `shares` (of the added spans' entities, in their order) of each row."""
-    base = scanned(docs, text, doc_id)
-    told = telling(base, docs, text, discloses)
-    beside = base.select("uid", F.inline("beside")).withColumn("pair", F.xxhash64("entity", "term"))
-    met = common.join_hot(beside.select("uid", "entity", "term", "pair", "start", "stop"), told.select("pair", F.col("entity").alias("e"), F.col("term").alias("t"), "share", "n"), "pair", "n", "start").filter("entity = e and term = t")
-    added = met.groupBy("uid", "start", "stop").agg(F.max("share").alias("share")).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "share"))).alias("added"))
-    rows = base.drop("beside").join(added, "uid", "left")
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and `shares` (of the added spans, in their order) of each row."""
+    told = telling(docs, text, discloses)
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(told))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = common.written(rows.mapInArrow(_marker(bits), BASE), "pii-marked")
+    words = rows.select("uid", F.inline("found"))
+    told = common.written(told.join(words.groupBy("term").agg(F.count("*").alias("n")), "term"), "pii-told")
+    met = common.join_hot(words, told, "term", "n", "start").filter("share is not null")
+    added = met.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "share"))).alias("added"))
+    rows = rows.drop("found").join(added, "uid", "left")
     return rows.mapInArrow(_joined, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, shares array<double>")
 
 

@@ -184,6 +184,17 @@ def test_pii_terms(spark):
     assert pii.sanitised_text("I am Bob 12 ok", "term:5:8,term:9:11", [0.85, 0.99]) == "I am [name]  ok"
 
 
+def test_pii_terms_anywhere(spark):
+    """A telling term is marked far from the entity and in documents without it; terms are counted by document."""
+    far = "some words that all of these texts have here and there in between"
+    rows = [(i, f"{far} again") for i in range(100)]
+    rows += [(200, f"zorblax {far} zor@mail.example"), (201, f"zor@mail.example {far} zorblax or Zorblax"), (202, f"{far} then zorblax")]
+    got = {r.doc_id: r.spans for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        want = sorted(m.span() for m in re.finditer("[zZ]orblax", t))
+        assert [(int(a), int(b)) for k, a, b in (x.split(":") for x in got[i].split(",") if x) if k == "term"] == want
+
+
 # sorted-string tables
 
 
