@@ -4,9 +4,10 @@ Base spans are found by pattern. Each found value is a protected entity. Over th
 whole corpus it is counted in how many documents an entity, a term, and the two
 together occur, wherever they stand in these. How much of an entity c a term t tells is
 PMI(c; t) = log2(N n(c,t) / (n(c) n(t))), at most what the entity itself tells,
-IC(c) = log2(N / n(c)). Terms that tell DISCLOSES of any entity or more, in at
-least two documents, are generalised wherever they occur, also in documents
-without the entity; those that tell REVEALS of it or more are removed.
+IC(c) = log2(N / n(c)). Terms that tell DISCLOSES of any entity or more are
+generalised wherever they occur, also in documents without the entity; those that
+tell REVEALS of it or more are removed. An entity of a single document is judged
+like any other: a term of that document alone tells all of it.
 
 Defined cases: a null text counts as empty; rows that occur more than once count
 each; null doc_ids are scanned too; an empty table gives no rows; extra columns
@@ -175,7 +176,7 @@ def telling(docs: DataFrame, text: str = "text", discloses: float = DISCLOSES) -
     counts = common.written(counts.filter(F.col("docs") <= F.lit(most)), "pii-term-counts")
     rare = common.join_hot(base.select("uid", F.explode("terms").alias("term")), counts, "term", "k", "uid").filter("docs is not null").select("uid", "term", "docs")
     named = common.join_hot(base.select("uid", F.explode("entities").alias("entity")), entities, "entity", "own", "uid").select("uid", "entity", "own")
-    pairs = named.join(rare, "uid").filter(F.col("docs") <= bound).groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("own").alias("own"), F.first("docs").alias("docs")).filter("both > 1")
+    pairs = named.join(rare, "uid").filter(F.col("docs") <= bound).groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("own").alias("own"), F.first("docs").alias("docs"))
     tells = F.log2(F.lit(total) * F.col("both") / (F.col("own") * F.col("docs").cast("double")))
     own = F.log2(F.lit(total) / F.col("own"))
     share = F.when(own > 0, tells / own).otherwise(0.0)

@@ -188,13 +188,23 @@ def test_pii_terms_anywhere(spark):
     """A telling term is marked far from the entity and in documents without it; terms are counted by document."""
     far = "some words that all of these texts have here and there in between"
     rows = [(i, f"{far} again") for i in range(100)]
-    rows += [(200, f"zorblax {far} zor@mail.example"), (201, f"zor@mail.example {far} zorblax or Zorblax"), (202, f"{far} then zorblax")]
+    rows += [(200, f"zorblax {far} zor@mail.example"), (201, f"zor@mail.example {far} zorblax all Zorblax"), (202, f"{far} again zorblax")]
     got = {r.doc_id: r.spans for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in rows:
         want = sorted(m.span() for m in re.finditer("[zZ]orblax", t))
         assert [(int(a), int(b)) for k, a, b in (x.split(":") for x in got[i].split(",") if x) if k == "term"] == want
 
 
+def test_pii_single_occurrence(spark):
+    """A term that stands with an entity in one document, or in copies of it, is judged by how many documents have it."""
+    usual = "words that all of these texts have"
+    rows = [(i, f"{usual} twice" if i < 40 else usual) for i in range(100)]
+    rows += [(200, f"zorblax wrote {usual} twice zor@mail.example"), (201, f"quux {usual} +44 20 7946 0958"), (202, f"quux {usual} +44 20 7946 0958")]
+    got = {r.doc_id: r.spans for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = {i: [t[int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i].split(",") if x) if k == "term"] for i, t in rows}
+    assert terms[200] == ["zorblax", "wrote"] and terms[201] == terms[202] == ["quux"] and not any(terms[i] for i in range(100))
+
+
 # sorted-string tables
 
 
