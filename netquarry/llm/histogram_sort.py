@@ -3,7 +3,8 @@
 Rows are ordered by a key of several whole numbers. Exact bytes below candidate
 boundaries are counted over all partitions at once; between the two candidates
 around each target new ones are put, until the bytes below a boundary are within
-tolerance or the boundary can't be refined. Only then are rows exchanged, once.
+tolerance or the boundary can't be refined. Only then are rows exchanged, once,
+with all their columns, and written as a Parquet table with a folder for each shard.
 
 The key is the hash of the text, then that of doc_id, then a row number: equal
 texts stand together, and a boundary falls inside a group of them only where the
@@ -107,31 +108,46 @@ def part_of(levels: list[tuple[str, int, int]], cuts: list[tuple]) -> Column:
 
 
 def shards(docs: DataFrame, n: int = 8, text: str = "text", doc_id: str = "doc_id", tolerance: float = TOLERANCE, parts: int | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of each row; shards are nearly equal in bytes, slots count from 0 in each."""
+    """doc_id, size, text_crc32, shard and slot of each row, from the written shards."""
+    rows, shard, slot = sharded(docs, n, text, doc_id, tolerance, parts)
+    t = F.coalesce(F.col(text), F.lit(""))
+    return rows.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.col(shard).alias("shard"), F.col(slot).alias("slot"))
+
+
+def sharded(docs: DataFrame, n: int = 8, text: str = "text", doc_id: str = "doc_id", tolerance: float = TOLERANCE, parts: int | None = None, path: str | None = None) -> tuple[DataFrame, str, str]:
+    """The rows with all columns, read from the shards, and the names of their columns of shard and slot (with underscores if docs has such).
+
+    Shards are nearly equal in bytes, slots count from 0 in each. `path` gets the
+    shards, a folder each; without one they are in the shared folder.
+    """
     spark = docs.sparkSession
+    size, h, i, uid, part, place, shard, slot = (common.free_name(docs, c) for c in ("_size", "_h", "_i", "_uid", "_part", "_place", "shard", "slot"))
     t = F.coalesce(F.col(text), F.lit(""))
-    uid = F.monotonically_increasing_id()
-    light = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(t), 2).alias("h"), F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("long")), 2).alias("i"), uid.alias("uid"),
-    )
-    light = common.written(light, "shard-keys")
-    levels = [("h", 0, TOP), ("i", 0, TOP), ("uid", 0, 1 << 63)]
-    total = light.agg(F.sum("size").alias("b")).first()["b"] or 0
+    keyed = docs.withColumns({
+        size: (F.octet_length(t) + 1).cast("long"), h: F.shiftrightunsigned(F.xxhash64(t), 2), i: F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("long")), 2), uid: F.monotonically_increasing_id(),
+    })
+    light = common.written(keyed.select(size, h, i, uid), "shard-keys")
+    levels = [(h, 0, TOP), (i, 0, TOP), (uid, 0, 1 << 63)]
+    total = light.agg(F.sum(size).alias("b")).first()["b"] or 0
     each = max(1, min(PARTS, parts or int(spark.conf.get("spark.sql.shuffle.partitions"))) // n)
     wanted = [(total * k // (n * each), int(total / n * (tolerance if k % each == 0 else PART_TOLERANCE / each))) for k in range(1, n * each)]
-    found = splitters(light, levels, "size", wanted)
+    found = splitters(light, levels, size, wanted)
     firsts = [c for k, c in enumerate(found, 1) if k % each == 0]
     # A part's boundary may not pass a shard's.
     cuts = sorted(found, key=lambda c: (*c, *[0] * (3 - len(c))))
     shard_of = [bisect.bisect_right(sorted((*c, *[0] * (3 - len(c))) for c in firsts), (*c, *[0] * (3 - len(c)))) for c in [(0,), *cuts]]
-    dealt = light.withColumn("part", part_of(levels, cuts)).repartitionById(n * each, F.col("part")).sortWithinPartitions("part", "h", "i", "uid")
-    dealt = common.written(dealt.select("doc_id", "size", "text_crc32", "part", F.monotonically_increasing_id().alias("place")), "shard-dealt")
+    dealt = keyed.withColumn(part, part_of(levels, cuts)).repartitionById(n * each, F.col(part)).withColumn(shard, F.get(F.array(*[F.lit(x) for x in shard_of]), F.col(part)))
+    # sorted by shard first, as the writer would else sort by it again
+    dealt = dealt.sortWithinPartitions(shard, part, h, i, uid).select(*docs.columns, part, F.monotonically_increasing_id().alias(place), shard)
+    path = path or common.scratch(spark, "shards")
+    dealt.write.partitionBy(shard).option("compression", "zstd").option("parquet.block.size", str(common.ROW_GROUP)).parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
     starts, before, last = [], 0, 0
-    for r in sorted(dealt.groupBy("part").agg(F.min("place").alias("first"), F.count("*").alias("n")).collect(), key=lambda r: r["part"]):
-        shard = shard_of[r["part"]]
-        before, last = (before if shard == last else 0), shard
-        starts.append((r["part"], shard, before - r["first"]))
+    for r in sorted(dealt.groupBy(part).agg(F.min(place).alias("first"), F.count("*").alias("n")).collect(), key=lambda r: r[part]):
+        s = shard_of[r[part]]
+        before, last = (before if s == last else 0), s
+        starts.append((r[part], before - r["first"]))
         before += r["n"]
-    table = F.broadcast(spark.createDataFrame(starts, "part int, shard int, shift long"))  # a row for each part, PARTS at most
-    return dealt.join(table, "part").select("doc_id", "size", "text_crc32", "shard", (F.col("place") + F.col("shift")).alias("slot"))
+    shift = common.free_name(docs, "_shift")
+    table = F.broadcast(spark.createDataFrame(starts, f"{part} int, {shift} long"))  # a row for each part, PARTS at most
+    return dealt.join(table, part).select(*docs.columns, shard, (F.col(place) + F.col(shift)).alias(slot)), shard, slot

@@ -98,6 +98,17 @@ def test_shards(spark, n):
     assert histogram_sort.shards(small(spark).limit(0), n).count() == 0
 
 
+def test_shards_hold_rows(spark, tmp_path):
+    """The shards are written with texts and all columns, a folder each."""
+    for k, docs in enumerate((small(spark), H.awkward_docs(spark).withColumnRenamed("rep", "shard"))):
+        rows, shard, slot = histogram_sort.sharded(docs, 3, path=f"{tmp_path}/{k}")
+        assert Counter(map(tuple, rows.select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+        assert {p.name for p in (tmp_path / str(k)).iterdir() if p.is_dir()} == {f"{shard}={s}" for s in range(3)}
+        where = {(r[shard], r[slot]): (r.doc_id, r.text) for r in rows.collect()}
+        digests = [(r.shard, r.slot, r.doc_id, r.text_crc32) for r in histogram_sort.shards(docs, 3).collect()]
+        assert len(where) == len(digests) and all(where[s, n][0] == i and zlib.crc32((where[s, n][1] or "").encode()) == c for s, n, i, c in digests)
+
+
 def test_shards_hot(spark):
     """Two thirds are one text, half of those one doc_id; small groups stay whole."""
     rows = [(i if i % 2 else 0, "same text") for i in range(2000)] + [(10_000 + i, f"text {i // 4}") for i in range(1000)]
