@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; the rarer sources up to twice as often as the commonest."""
-    return mixing.keep(docs, repeats=2.0)
+    return mixing.keep(docs, repeats=2.0, tokenizer=(queries.tokenizer("byte_bpe_multi_50k.tiktoken"), queries.pre_tokens()))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ its documents. A pass takes the source's blocks in a seeded permutation, and
 the documents of a block in one; the last pass of a source stops when its budget
 is spent.
 
-Tokens are counted as words. Defined cases: a null source is a source of its
-own; documents without words cost one token, so that they are placed too; rows
+Tokens are those of a byte-level BPE vocabulary, `tokenizer`; callers that have
+none count words. Defined cases: a null source is a source of its own; documents
+without tokens cost one token, so that they are placed too; rows
 that occur more than once are separate documents; an empty table gives no rows;
 extra columns pass through.
 """
@@ -18,16 +19,21 @@ extra columns pass through.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from netquarry.llm import common
+from netquarry.llm import bpe, common
+from netquarry.llm.pretokens import splitter
 
 #: Tokens of a block, about; a block is what one task permutes.
 BLOCK_TOKENS = 1 << 20
+#: Pre-tokens whose number of tokens a worker remembers.
+MEMO = 200_000
 
 
 def exponent(shares: list[float], entropy: float | None = None, repeats: float | None = None, steps: int = 60) -> float:
@@ -100,12 +106,36 @@ def plan(sized: DataFrame, source: str, tokens: str, entropy: float | None = Non
     return Plan(a, raised.select("source", "tokens", "rows", share.alias("weight"), F.round(share * F.lit(float(whole))).cast("long").alias("budget")))
 
 
-def _sized(docs: DataFrame, source: str, text: str, doc_id: str, seed: int) -> DataFrame:
-    """What the plan needs of each row; `place` is its rank within any block."""
-    return docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
-        tokens_of(F.col(text)).cast("long").alias("tokens"), place_of(F.col(doc_id), F.col(text), seed).alias("place"),
-    )
+def _counter(path: str, pattern: str):
+    """(doc_id, source, place, text) to (doc_id, source, place, tokens)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, enc, vocabulary, memo = splitter(pattern), bpe.encoder(path), bpe.ranks(path), {}
+        for b in batches:
+            tokens = []
+            for t in b.column(3).to_pylist():
+                total = 0
+                for w in split(t or ""):
+                    n = memo.get(w)
+                    if n is None:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        raw = w.encode("utf-8", "replace")
+                        n = memo[w] = 1 if raw in vocabulary else len(enc.encode_ordinary(raw.decode()))
+                    total += n
+                tokens.append(max(1, total))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(tokens, pa.int64())], ["doc_id", "source", "place", "tokens"])
+
+    return count
+
+
+def _sized(docs: DataFrame, source: str, text: str, doc_id: str, seed: int, tokenizer: tuple[str, str] | None = None) -> DataFrame:
+    """What the plan needs of each row; `place` is its rank within any block. tokenizer: place of a vocabulary file, and the pattern of its pre-tokens."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), place_of(F.col(doc_id), F.col(text), seed).alias("place"), F.col(text).alias("text"))
+    if tokenizer is None:
+        return rows.select("doc_id", "source", tokens_of(F.col("text")).cast("long").alias("tokens"), "place")
+    common.tune(docs.sparkSession)
+    return rows.mapInArrow(_counter(*tokenizer), "doc_id long, source string, place long, tokens long")
 
 
 def place_of(doc_id: Column, text: Column, seed: int) -> Column:
@@ -154,12 +184,12 @@ def cuts(sized: DataFrame, drawn: Plan, seed: int = 0, block_tokens: int = BLOCK
     return common.written(out.select("key", "own", "rows", "weight", "full", "blocks", "cut_rank", "cut_place"), "mix-cuts")
 
 
-def mixed(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", entropy: float | None = None, repeats: float | None = None, budget: float | None = None, seed: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def mixed(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", entropy: float | None = None, repeats: float | None = None, budget: float | None = None, seed: int = 0, block_tokens: int = BLOCK_TOKENS, tokenizer: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, source, tokens, weight of the source, block, and copies: how often the mixture takes the row.
 
     `order(epoch)` of the copies gives each pass its permutation.
     """
-    sized = common.written(_sized(docs, source, text, doc_id, seed), "mix-sized")
+    sized = common.written(_sized(docs, source, text, doc_id, seed, tokenizer), "mix-sized")
     drawn = plan(sized, "source", "tokens", entropy, repeats, budget)
     met = common.join_hot(sized.withColumn("key", F.xxhash64("source")), cuts(sized, drawn, seed, block_tokens), "key", "rows", "place").filter("source <=> own")
     block = block_of(F.col("place"), F.col("blocks"))
@@ -171,9 +201,9 @@ def order(epoch: Column, seed: int = 0) -> list[Column]:
     return [rank_of(F.col("block"), seed, epoch), F.xxhash64("source", "block"), F.xxhash64("place", epoch, F.lit(seed))]
 
 
-def keep(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", entropy: float | None = None, repeats: float | None = None, budget: float | None = None, seed: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def keep(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", entropy: float | None = None, repeats: float | None = None, budget: float | None = None, seed: int = 0, block_tokens: int = BLOCK_TOKENS, tokenizer: tuple[str, str] | None = None) -> DataFrame:
     """The documents, each as often as the mixture takes it, with all their columns. Texts move only if the sources are too many to broadcast."""
-    sized = common.written(_sized(docs, source, text, doc_id, seed), "mix-sized")
+    sized = common.written(_sized(docs, source, text, doc_id, seed, tokenizer), "mix-sized")
     held = cuts(sized, plan(sized, "source", "tokens", entropy, repeats, budget), seed, block_tokens)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(F.col(source).cast("string")).alias("key"), F.col(source).cast("string").alias("_source"), place_of(F.col(doc_id), F.col(text), seed).alias("place"))
     few, small = common.bounded(held)

@@ -214,6 +214,15 @@ def test_mixing_awkward(spark):
     assert first != second and Counter(first) == Counter(second)
 
 
+def test_mixing_tokens(spark, tmp_path):
+    """Shares are in tokens of the vocabulary, also of texts without blanks."""
+    rows = [(i, "我们知道的事情" * 200, "zh") for i in range(5)] + [(10 + i, "some plain words of a text " * 20, "en") for i in range(5)] + [(20, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    enc = plain_encoding()
+    got = {r.doc_id: r.tokens for r in queries.op7_mixing(spark, str(tmp_path)).collect()}
+    assert got == {i: max(1, len(enc.encode_ordinary(t or ""))) for i, t, _ in rows}
+
+
 # byte-level BPE
 
 
