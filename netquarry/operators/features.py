@@ -7,7 +7,6 @@ Three cases are kept apart: no source has the entity (zeros), one source lacks i
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions import exprs as X
+from netquarry.session import shared_dir
 
 #: Cells of a block of rows at most; what a task compares is two blocks.
 CELLS = 1 << 21
@@ -185,8 +185,8 @@ def knn_impute(df: DataFrame, columns: list[str], donors: DataFrame | None = Non
     returns its k best; the k best of all blocks are merged.
     """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():  # only where spark.checkpoint.dir is unset
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     if donors is not None and donor_limit is not None and donors.limit(donor_limit + 1).count() > donor_limit:
         raise ValueError(f"over {donor_limit} donors")
 

@@ -1,7 +1,9 @@
-"""A Spark session with the settings that the engine expects."""
+"""A Spark session with the settings that the engine expects, and the folder that its executors share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +13,14 @@ def session(name: str = "netquarry", **conf: str) -> SparkSession:
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a local session uses a temporary one; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
