@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
+
+from netquarry.session import shared_dir
 
 #: Rows of a table that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Longest key, in bytes, of those that `join_hot` broadcasts.
+KEY_BYTES = 1 << 16
 #: Largest Arrow batch handed to Python, in rows and bytes.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: Bytes of a row group of a written table; a task holds one in memory.
@@ -27,15 +31,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -46,7 +41,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete written tables that no later step reads. What was made of them must be written too."""
+    for df in frames:
+        spark, path = df.sparkSession, df.__dict__.pop("_written_at", None)
+        if path:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -68,12 +74,16 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, spread: str, h
 
     Keys with a thousandth of the rows or more, a thousand at most, are broadcast;
     their rows are then dealt out by `spread`, where they meet nothing. No other key has more than that share.
+    Texts over KEY_BYTES are never broadcast.
     """
     total = right.agg(F.sum(n).alias("t")).first()["t"] or 0
-    least = max(2.0, total / hot)
+    is_hot = F.col(n) >= max(2.0, total / hot)
+    if isinstance(right.schema[key].dataType, BinaryType | StringType):
+        is_hot &= F.octet_length(key) <= KEY_BYTES
+    is_hot = F.coalesce(is_hot, F.lit(False))
     extra = [c for c in right.columns if c != key]
-    top = F.broadcast(right.filter(F.col(n) >= least).select(F.col(key).alias("_hot_key"), F.struct(*extra).alias("_hot")))
-    rest = right.filter(F.col(n) < least).select(F.col(key).alias("_cold_key"), F.struct(*extra).alias("_cold"), F.xxhash64(key).alias("_cold_deal"))
+    top = F.broadcast(right.filter(is_hot).select(F.col(key).alias("_hot_key"), F.struct(*extra).alias("_hot")))
+    rest = right.filter(~is_hot).select(F.col(key).alias("_cold_key"), F.struct(*extra).alias("_cold"), F.xxhash64(key).alias("_cold_deal"))
     met = left.join(top, F.col(key) == F.col("_hot_key"), "left")
     # dealt by a hash beside the key: that of the key, or for rows that are done or have none, one of their own
     deal = F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), F.xxhash64(F.lit("apart"), spread)).otherwise(F.xxhash64(key))

@@ -64,6 +64,43 @@ def test_lsm_filters_and_absorb(spark):
     assert {(r.first_id, r.n) for r in index.collect()} == {(i - 1, 2) for i in range(500)}
 
 
+def test_lsm_lookup(spark):
+    """Segments of two repeated digests, filters folded to the least: every repeated digest is a hit, and with whole filters (of 64 bits) few others are."""
+    rows = spark.range(4000).select(F.unhex(F.sha2((F.col("id") % 3000).cast("string"), 256)).alias("digest"), "id", F.col("id").alias("uid"))
+    index = exact_dedup.compact(exact_dedup.flush(rows, memtable=300), segment=2)
+    assert index.filter("filter is not null").count() >= 500
+    own = rows.filter("id < 3000")
+    for most, share in ((1 << 20, 0.1), (1, 1.0)):
+        hit = exact_dedup.lookup(index, most)
+        got = {r.id: r.hit for r in own.select("id", hit(F.col("digest")).alias("hit")).collect()}
+        assert all(got[i] for i in range(1000)) and sum(got[i] for i in range(1000, 3000)) <= share * 2000
+    held = exact_dedup.bloom([bytes(r.digest) for r in own.collect()])
+    assert exact_dedup.may_hold(exact_dedup.folded(held, 3), [bytes(r.digest) for r in own.collect()]).all()
+
+
+def test_dedup_ends_of_the_numbers(spark):
+    """The greatest doc_id is one like any other; nulls come after it."""
+    big = (1 << 63) - 1
+    docs = docs_of(spark, [(big, "a b"), (None, "a  b"), (None, "only null"), (None, "only null"), (-big - 1, "x"), (big, "x")])
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect())
+    want = {(big, big, 2, True): 1, (None, big, 2, False): 1, (None, None, 2, True): 1, (None, None, 2, False): 1, (-big - 1, -big - 1, 2, True): 1, (big, -big - 1, 2, False): 1}
+    assert got == want
+    assert Counter((r.doc_id, r.text.split()[0]) for r in exact_dedup.keep(docs).collect()) == Counter([(big, "a"), (None, "only"), (-big - 1, "x")])
+
+
+def test_dedup_many_groups(spark, monkeypatch):
+    """More groups than may be broadcast, and a hot one of a third of all rows."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(common.bounded, "__defaults__", (100,))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text").otherwise(F.concat(F.lit("text "), F.col("id") % 1500)).alias("text"), F.lit(1).alias("hit"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want, kept = expected_groups(rows)
+    for most in (exact_dedup.FILTER_BYTES, 1):
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_dedup(docs, filter_bytes=most).collect()) == want
+        stay = exact_dedup.keep(docs, filter_bytes=most)
+        assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect()) == sorted(kept.values())
+
+
 # toxicity
 
 
