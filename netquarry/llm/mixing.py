@@ -5,21 +5,27 @@ w = p^a / sum(p^a). a is bisected: 1 keeps the shares, 0 makes them equal. The
 target is an entropy (as a share of the greatest one) or a limit on how often
 any source is repeated, relative to the source repeated least. The weights are
 then realised: each source gets a budget of tokens, and spends it on passes over
-its documents. A pass takes the source's blocks in a seeded permutation, and
-the documents of a block in one; the last pass of a source stops when its budget
-is spent.
+its documents. Each pass takes the source's blocks, and the documents of each in
+a permutation of that pass; the last pass of a source takes its blocks in a
+permutation of their own until the budget is spent. The mixture is one seeded
+permutation of the blocks of all sources and passes: `passes` gives each copy of
+a document its pass and its position, and `keep` writes the documents in that order.
 
 Tokens are those of a byte-level BPE vocabulary, `tokenizer`; callers that have
-none count words. Defined cases: a null source is a source of its own; documents
-without tokens cost one token, so that they are placed too; rows
-that occur more than once are separate documents; an empty table gives no rows;
-extra columns pass through.
+none count words. Defined cases: a null source is a source of its own; null and
+empty texts, and others without tokens, cost one token, so that they are placed
+too; a very long text is counted whole, and its block is as much longer; rows
+that occur more than once are separate documents, which share a place: a broken
+pass takes all of them or none, and which of them comes first is not defined; of
+blocks with equal hashes the order is that of source, pass and number; sources
+with equal shares have equal weights; an empty table gives no rows; extra columns
+pass through.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,37 +36,48 @@ from pyspark.sql import Window as W
 from netquarry.llm import bpe, common
 from netquarry.llm.pretokens import splitter
 
-#: Tokens of a block, about; a block is what one task permutes.
-BLOCK_TOKENS = 1 << 20
+#: Tokens of a block, about; the rows of a block are ordered in one task.
+BLOCK_TOKENS = 1 << 16
 #: Pre-tokens whose number of tokens a worker remembers.
 MEMO = 200_000
+#: Exponents measured at once, and how often: 42 steps of bisection in seven.
+POINTS, ROUNDS = 63, 7
 
 
-def exponent(shares: list[float], entropy: float | None = None, repeats: float | None = None, steps: int = 60) -> float:
-    """The greatest exponent in [0, 1] that reaches `entropy` x log(number of sources), or the least that repeats no source over `repeats` times as often as another."""
+def _bisected(measure: Callable[[list[float]], list[tuple[float, float]]], entropy: float | None, repeats: float | None) -> float:
+    """The greatest exponent in [0, 1] that reaches the entropy, or the least that keeps the limit of repeats. measure: of exponents, the entropy as a share of the greatest one, and the ratio of the greatest and the least rate."""
+
+    def enough(m: tuple[float, float]) -> bool:
+        return m[0] >= entropy if entropy is not None else m[1] <= repeats * (1 + 1e-12)
+
+    least, greatest = measure([0.0, 1.0])
+    if entropy is not None and enough(greatest):
+        return 1.0
+    if entropy is None and enough(least):
+        return 0.0
+    low, high = 0.0, 1.0  # entropy: enough at low; repeats: enough at high
+    for _ in range(ROUNDS):
+        at = [low + (high - low) * k / (POINTS + 1) for k in range(1, POINTS + 1)]
+        below = sum(enough(m) == (entropy is not None) for m in measure(at))
+        low, high = (at[below - 1] if below else low), (at[below] if below < POINTS else high)
+    return low if entropy is not None else high
+
+
+def exponent(shares: list[float], entropy: float | None = None, repeats: float | None = None) -> float:
+    """The exponent of a few shares at hand; see `_bisected`. `plan` finds it where the table of sources is."""
     p = [x for x in shares if x > 0]
     if len(p) < 2:
         return 1.0
 
-    def enough(a: float) -> bool:
-        top = max(p)
-        w = [(x / top) ** a for x in p]
-        total = sum(w)
-        if entropy is not None:
-            return -sum(x / total * math.log(x / total) for x in w if x) >= entropy * math.log(len(p))
-        rates = [x / total / q for x, q in zip(w, p, strict=True)]
-        return max(rates) <= repeats * min(rates) * (1 + 1e-12)
+    def measure(at: list[float]) -> list[tuple[float, float]]:
+        out, top = [], max(p)
+        for a in at:
+            w = [(x / top) ** a for x in p]
+            total, rates = sum(w), [x / q for x, q in zip(w, p, strict=True)]
+            out.append((-sum(x / total * math.log(x / total) for x in w if x) / math.log(len(p)), max(rates) / max(min(rates), 1e-300)))
+        return out
 
-    low, high = 0.0, 1.0  # entropy: enough at low; repeats: enough at high
-    if enough(high if entropy is not None else low):
-        return high if entropy is not None else low
-    for _ in range(steps):
-        middle = (low + high) / 2
-        if enough(middle) == (entropy is not None):
-            low = middle
-        else:
-            high = middle
-    return low if entropy is not None else high
+    return _bisected(measure, entropy, repeats)
 
 
 @dataclass(frozen=True)
@@ -76,22 +93,20 @@ def tokens_of(text: Column) -> Column:
     return F.greatest(F.lit(1), F.size(F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), common.SPACES[1:], " " * 5), " "), lambda x: x != "")))
 
 
-def _solved(groups: DataFrame, entropy: float | None, repeats: float | None, steps: int = 60) -> float:
-    """The exponent, bisected where the table of sources is: each step is a sum over it. Tables of up to 10,000 sources are solved on the driver."""
-    few = groups.select("tokens").limit(10_001).collect()
-    total = sum(r["tokens"] for r in few)
-    if len(few) <= 10_000:
-        return exponent([r["tokens"] / total for r in few], entropy, repeats, steps) if few else 1.0
-    size = groups.agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.max("tokens").alias("hi"), F.min("tokens").alias("lo")).first()
-    if repeats is not None:  # the ratio of the rates of the rarest and the commonest source is (hi / lo)^(1 - a)
-        return max(0.0, 1 - math.log(repeats) / math.log(size["hi"] / size["lo"])) if size["hi"] > size["lo"] else 0.0
-    low, high = 0.0, 1.0
-    for _ in range(steps):
-        a = (low + high) / 2
-        r = F.pow(F.col("tokens") / size["hi"], F.lit(a))
-        x = groups.agg(F.sum(r).alias("z"), F.sum(r * F.log(r)).alias("s")).first()
-        low, high = (a, high) if math.log(x["z"]) - x["s"] / x["z"] >= entropy * math.log(size["n"]) else (low, a)
-    return low
+def _solved(groups: DataFrame, entropy: float | None, repeats: float | None) -> float:
+    """The exponent, bisected where the table of sources is, however many they are: each step is a sum over it."""
+    size = groups.agg(F.count("*").alias("n"), F.max("tokens").alias("top")).first()
+    if size["n"] < 2:
+        return 1.0
+    x = F.log(F.col("tokens") / F.lit(float(size["top"])))
+
+    def measure(at: list[float]) -> list[tuple[float, float]]:
+        each = groups.select(x.alias("x"), F.posexplode(F.array(*map(F.lit, at))).alias("nth", "a"))
+        raised, rate = F.exp(F.col("a") * F.col("x")), (F.col("a") - 1) * F.col("x")
+        sums = each.groupBy("nth").agg(F.sum(raised).alias("z"), F.sum(raised * F.col("a") * F.col("x")).alias("s"), (F.max(rate) - F.min(rate)).alias("apart")).collect()
+        return [((math.log(r["z"]) - r["s"] / r["z"]) / math.log(size["n"]), math.exp(min(r["apart"], 700.0))) for r in sorted(sums, key=lambda r: r["nth"])]
+
+    return _bisected(measure, entropy, repeats)
 
 
 def plan(sized: DataFrame, source: str, tokens: str, entropy: float | None = None, repeats: float | None = None, budget: float | None = None) -> Plan:
@@ -185,10 +200,7 @@ def cuts(sized: DataFrame, drawn: Plan, seed: int = 0, block_tokens: int = BLOCK
 
 
 def mixed(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", entropy: float | None = None, repeats: float | None = None, budget: float | None = None, seed: int = 0, block_tokens: int = BLOCK_TOKENS, tokenizer: tuple[str, str] | None = None) -> DataFrame:
-    """doc_id, source, tokens, weight of the source, block, and copies: how often the mixture takes the row.
-
-    `order(epoch)` of the copies gives each pass its permutation.
-    """
+    """doc_id, source, tokens, weight of the source, block, and copies: how often the mixture takes the row."""
     sized = common.written(_sized(docs, source, text, doc_id, seed, tokenizer), "mix-sized")
     drawn = plan(sized, "source", "tokens", entropy, repeats, budget)
     met = common.join_hot(sized.withColumn("key", F.xxhash64("source")), cuts(sized, drawn, seed, block_tokens), "key", "rows", "place").filter("source <=> own")
@@ -197,16 +209,52 @@ def mixed(docs: DataFrame, source: str = "source", text: str = "text", doc_id: s
 
 
 def order(epoch: Column, seed: int = 0) -> list[Column]:
-    """Sort keys of a pass over `mixed`: blocks in a permutation, and the rows of a block in one."""
-    return [rank_of(F.col("block"), seed, epoch), F.xxhash64("source", "block"), F.xxhash64("place", epoch, F.lit(seed))]
+    """Sort keys of the rows of a pass: that of the block among those of all sources and passes, and that of the row in its block."""
+    return [deal_of(F.xxhash64("source"), epoch, F.col("block"), seed), F.xxhash64("place", epoch, F.lit(seed))]
+
+
+def deal_of(key: Column, epoch: Column, block: Column, seed: int) -> Column:
+    """What the blocks of all sources and passes are ordered by."""
+    return F.xxhash64(key, epoch, block, F.lit(seed))
+
+
+def _each_copy(rows: DataFrame, seed: int) -> DataFrame:
+    """A row for each copy, with pass_no from 0, deal and inner; one row, where these are null, for rows without copies."""
+    each = rows.withColumn("pass_no", F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1))))
+    some = F.col("pass_no").isNotNull()
+    return each.withColumn("deal", F.when(some, deal_of(F.col("key"), F.col("pass_no"), F.col("block"), seed))).withColumn("inner", F.when(some, F.xxhash64("place", "pass_no", F.lit(seed))))
+
+
+def passes(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", entropy: float | None = None, repeats: float | None = None, budget: float | None = None, seed: int = 0, block_tokens: int = BLOCK_TOKENS, tokenizer: tuple[str, str] | None = None) -> DataFrame:
+    """The realised mixture: doc_id, source, tokens, weight, block, copies, and for each copy pass_no (from 0) and position (gapless, from 0); a document that the mixture leaves out has one row without these two."""
+    rows = mixed(docs, source, text, doc_id, entropy, repeats, budget, seed, block_tokens, tokenizer).withColumn("key", F.xxhash64("source"))
+    each = common.written(_each_copy(rows, seed), "mix-copies")
+    taken = each.filter("pass_no is not null")
+    own = ("key", "pass_no", "block")
+    blocks = common.written(taken.groupBy(*own, "deal").agg(F.count("*").alias("n")).withColumn("part", F.shiftright("deal", 54)), "mix-dealt")
+    # What stands before a block: the parts before its own, at most 1024 of them, and the blocks before it in its part.
+    parts = blocks.groupBy("part").agg(F.sum("n").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before(W.orderBy("part")).alias("part_before"))
+    starts = blocks.withColumn("inner_before", before(W.partitionBy("part").orderBy("deal", *own))).join(F.broadcast(parts), "part").select(*own, (F.col("part_before") + F.col("inner_before")).alias("start"))
+    nth = F.row_number().over(W.partitionBy(*own).orderBy("inner", "place", "doc_id"))
+    placed = taken.withColumn("nth", nth).join(starts, [*own]).withColumn("position", F.col("start") + F.col("nth") - 1)
+    left_out = each.filter("pass_no is null").withColumn("position", F.lit(None).cast("long"))
+    columns = ("doc_id", "source", "tokens", "weight", "block", "copies", "pass_no", "position")
+    return placed.select(*columns).unionByName(left_out.select(*columns))
 
 
 def keep(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", entropy: float | None = None, repeats: float | None = None, budget: float | None = None, seed: int = 0, block_tokens: int = BLOCK_TOKENS, tokenizer: tuple[str, str] | None = None) -> DataFrame:
-    """The documents, each as often as the mixture takes it, with all their columns. Texts move only if the sources are too many to broadcast."""
+    """The documents, each as often as the mixture takes it, with all their columns and in its order: sorted partitions, one after the other."""
+    spark = docs.sparkSession
     sized = common.written(_sized(docs, source, text, doc_id, seed, tokenizer), "mix-sized")
     held = cuts(sized, plan(sized, "source", "tokens", entropy, repeats, budget), seed, block_tokens)
+    common.dropped(sized)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(F.col(source).cast("string")).alias("key"), F.col(source).cast("string").alias("_source"), place_of(F.col(doc_id), F.col(text), seed).alias("place"))
     few, small = common.bounded(held)
-    met = (whole.join(few, "key") if small else common.join_hot(whole, held, "key", "rows", "place")).filter("_source <=> own")
-    copies = _copies(F.col("full"), block_of(F.col("place"), F.col("blocks")), F.col("place"), seed).cast("int")
-    return met.select("doc", F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).select("doc.*")
+    met = (whole.join(few, "key") if small else common.join_hot(whole, held, "key", "rows", "place")).filter("_source <=> own").withColumn("block", block_of(F.col("place"), F.col("blocks")))
+    each = _each_copy(met.select("doc", "key", "place", "block", _copies(F.col("full"), F.col("block"), F.col("place"), seed).cast("int").alias("copies")), seed).filter("pass_no is not null")
+    # Blocks are dealt by ranges of their hash, so that partitions follow each other in the mixture's order.
+    parts = min(1 << 16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = F.shiftright((F.shiftright("deal", 48) + F.lit(1 << 15)) * parts, 16).cast("int")
+    return each.repartitionById(parts, part).sortWithinPartitions("deal", "key", "pass_no", "block", "inner", "place").select("doc.*")

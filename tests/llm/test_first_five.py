@@ -251,6 +251,70 @@ def test_mixing_awkward(spark):
     assert first != second and Counter(first) == Counter(second)
 
 
+def _spark_hash(*values, seed=42):
+    """xxhash64 of Spark: of (kind, value) one after the other, the hash so far as the next one's seed; a null leaves it as it is."""
+    import xxhash
+
+    for kind, v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.encode() if kind == "str" else v.to_bytes(4 if kind == "int" else 8, "little", signed=True), seed & (1 << 64) - 1)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def plain_mixture(rows, entropy, whole, block_tokens, seed=0):
+    """[(doc_id, source, pass, block)] in the mixture's order, from (doc_id, text, source): exponent by bisection, budgets, full passes, and the broken pass block by block and place by place."""
+    tokens = [max(1, len([w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w])) for _, t, _ in rows]
+    have = Counter()
+    for (_, _, s), n in zip(rows, tokens, strict=True):
+        have[s] += n
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        a = (low + high) / 2
+        w = np.array([have[s] for s in have], float) ** a
+        w /= w.sum()
+        low, high = (a, high) if -(w * np.log(w)).sum() >= entropy * np.log(len(w)) else (low, a)
+    w = np.array([have[s] for s in have], float) ** low
+    budget = {s: round(x / w.sum() * whole * sum(have.values())) for s, x in zip(have, w, strict=True)}
+    out = []
+    for s in have:
+        key = _spark_hash(("str", s))
+        n_blocks = max(1, -(-have[s] // block_tokens))
+        own = [(i, n, _spark_hash(("long", i), ("str", t), ("int", seed))) for (i, t, x), n in zip(rows, tokens, strict=True) if x == s]
+        own = [(i, n, p, _spark_hash(("long", p)) % n_blocks) for i, n, p in own]
+        full, left = divmod(budget[s], have[s])
+        taken = [(e, r) for e in range(full) for r in own]
+        for r in sorted(own, key=lambda r: (_spark_hash(("int", r[3]), ("int", -1), ("int", seed)), r[2])):
+            if left > 0:
+                taken.append((full, r))
+                left -= r[1]
+        out += [((_spark_hash(("long", key), ("int", e), ("int", b), ("int", seed)), _spark_hash(("long", p), ("int", e), ("int", seed))), (i, s, e, b)) for e, (i, n, p, b) in taken]
+    return [x for _, x in sorted(out)]
+
+
+@pytest.mark.parametrize("block_tokens", [40, 1 << 16])
+def test_mixing_order(spark, block_tokens):
+    """Passes, the documents of the broken pass, and the order of blocks and documents, against a plain version."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(n)) or None, "abc"[int(x)]) for i, (n, x) in enumerate(zip(rng.integers(0, 40, 90), rng.choice(3, 90, p=[0.8, 0.15, 0.05]), strict=True))]
+    docs = spark.createDataFrame([(*r, r[2] + "x") for r in rows], "doc_id long, text string, source string, place string")
+    want = plain_mixture(rows, 0.9, 1.5, block_tokens)
+    got = mixing.passes(docs, entropy=0.9, budget=1.5, block_tokens=block_tokens).collect()
+    taken = sorted((r for r in got if r.position is not None), key=lambda r: r.position)
+    assert [r.position for r in taken] == list(range(len(want)))
+    assert [(r.doc_id, r.source, r.pass_no, r.block) for r in taken] == want
+    assert {r.doc_id for r in got} == {r[0] for r in rows} and all(r.copies == 0 for r in got if r.position is None)
+    kept = mixing.keep(docs, entropy=0.9, budget=1.5, block_tokens=block_tokens)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [x[0] for x in want]
+
+
+def test_mixing_many_sources(spark):
+    """The exponent of many sources is found as that of few."""
+    groups = spark.range(12_000).select(F.col("id").alias("source"), (F.col("id") % 97 * 10 + 1).alias("tokens"))
+    shares = [r.tokens for r in groups.collect()]
+    for target in ({"entropy": 0.98, "repeats": None}, {"entropy": None, "repeats": 3.0}):
+        assert np.isclose(mixing._solved(groups, **target), mixing.exponent(shares, **target), atol=1e-9)
+
+
 def test_mixing_tokens(spark, tmp_path):
     """Shares are in tokens of the vocabulary, also of texts without blanks."""
     rows = [(i, "我们知道的事情" * 200, "zh") for i in range(5)] + [(10 + i, "some plain words of a text " * 20, "en") for i in range(5)] + [(20, None, "en")]
