@@ -4,13 +4,17 @@ Greedy longest-match pieces of each pre-token are counted without building them.
 The automaton is a trie of the vocabulary. A node without a child for the next
 byte pops the longest pieces of what it stands for: its failure link leads to
 the node of what is left, and the number of pieces popped on the way is stored
-with the link. Each byte is thus read once, whatever the pieces.
+with the link. Each byte is read once and each link makes what is left shorter,
+so that the work is linear in the bytes, whatever the pieces.
 
-Pieces are bytes. A byte that begins no piece counts as an unknown piece of its
-own. Greedy counts are those of longest match first, not of merges by rank.
+Vocabularies whose pieces within a word are marked, as by ##, have a second root,
+at which all links end. Pieces are bytes. A byte that begins no piece counts as
+an unknown piece of its own, or makes its whole word one unknown piece (`whole`).
+Greedy counts are those of longest match first, not of merges by rank.
 
-Defined cases: a null or empty text has no tokens; null and repeated doc_ids are
-counted row by row; an empty table gives no rows; extra columns are left alone.
+Defined cases: a null or empty text has no tokens; a very long text is split and
+counted whole; of pieces of equal bytes there is one; null and repeated doc_ids
+are counted row by row; an empty table gives no rows; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -30,13 +34,16 @@ MEMO = 200_000
 
 
 class LongestMatch:
-    """The automaton of a vocabulary of byte strings."""
+    """The automaton of a vocabulary of byte strings; `continuation` is what marks those that stand within a word."""
 
-    def __init__(self, vocabulary: Iterable[bytes]):
+    def __init__(self, vocabulary: Iterable[bytes], continuation: bytes | None = None, whole: bool = False):
         self.child: dict[int, int] = {}  # node * 256 + byte -> node
-        ends, depth, via = [False], [0], [(0, 0)]
-        for piece in vocabulary:
-            node = 0
+        roots = 1 if continuation is None else 2
+        self.inner = roots - 1
+        ends, depth, via = [False] * roots, [0] * roots, [(0, 0)] * roots
+
+        def add(root: int, piece: bytes) -> None:
+            node = root
             for b in piece:
                 to = self.child.get(node << 8 | b)
                 if to is None:
@@ -45,13 +52,22 @@ class LongestMatch:
                     depth.append(depth[node] + 1)
                     via.append((node, b))
                 node = to
-            ends[node] = node > 0
-        self.ends, self.depth = ends, depth
+            ends[node] = node >= roots
+
+        for piece in vocabulary:
+            if continuation is not None and piece.startswith(continuation) and len(piece) > len(continuation):
+                add(self.inner, piece[len(continuation) :])
+            else:
+                add(0, piece)
+        if not whole:  # each byte is a piece, if need be an unknown one
+            for root in range(roots):
+                for b in range(256):
+                    add(root, bytes([b]))
         # A node's link: where what is left stands after popping, and how many pieces were popped; -1 if nothing can be.
         self.link, self.popped = [-1] * len(ends), [0] * len(ends)
-        for node in sorted(range(1, len(ends)), key=depth.__getitem__):
+        for node in sorted(range(roots, len(ends)), key=depth.__getitem__):
             if ends[node]:
-                self.link[node], self.popped[node] = 0, 1
+                self.link[node], self.popped[node] = self.inner, 1
                 continue
             parent, b = via[node]
             at, n = self.link[parent], self.popped[parent]
@@ -62,30 +78,25 @@ class LongestMatch:
                 self.link[node], self.popped[node] = self.child[at << 8 | b], n
 
     def count(self, word: bytes) -> int:
-        child, link, popped = self.child, self.link, self.popped
-        node, n, k = 0, 0, 0
-        while k < len(word) or node:
-            to = child.get(node << 8 | word[k]) if k < len(word) else None
-            if to is not None:
-                node, k = to, k + 1
-            elif node and link[node] >= 0:
-                n, node = n + popped[node], link[node]
-            else:  # what stands here can't be cut into pieces: take its longest piece, or its first byte as unknown
-                start = k - self.depth[node]
-                n, node, k = n + 1, 0, start + max(1, self.longest(word, start))
+        if not word:
+            return 0
+        child, link, popped, node, n = self.child.get, self.link, self.popped, 0, 0
+        for b in word:
+            to = child(node << 8 | b)
+            while to is None:
+                n += popped[node]
+                node = link[node]
+                if node < 0:
+                    return 1
+                to = child(node << 8 | b)
+            node = to
+        while node != self.inner:
+            n += popped[node]
+            node = link[node]
+            if node < 0:
+                return 1
         return n
 
-    def longest(self, word: bytes, start: int) -> int:
-        """Length of the longest piece at a place, 0 if there is none."""
-        node, found = 0, 0
-        for k in range(start, len(word)):
-            node = self.child.get(node << 8 | word[k], 0)
-            if not node:
-                break
-            if self.ends[node]:
-                found = k + 1 - start
-        return found
-
 
 @lru_cache(maxsize=2)
 def automaton(path: str) -> LongestMatch:
