@@ -4,8 +4,9 @@ A shard file holds documents in the order of their keys:
 
     block, block, ... | index | filter | footer
 
-Keys are 16 bytes: doc_id with its sign bit flipped and a tie number, both
-big-endian, so that bytes sort as numbers. A block is compressed and holds
+Keys are 17 bytes: 0, or 1 for null doc_ids, then doc_id with its sign bit flipped
+and a tie number, both big-endian, so that bytes sort as numbers and nulls come
+last. A block is compressed and holds
 entries (bytes shared with the key before, length of the rest, length of the
 value, rest, value), numbers as varints; its first entry shares nothing. Values
 are ids as little-endian numbers of two bytes, or four for vocabularies over
@@ -19,9 +20,13 @@ doc_id with many rows spreads over shards. A task writes its file under a name
 of its own; only files in the manifest that Spark has kept count, so tasks that
 are run again do no harm.
 
-Defined cases: a null text counts as empty and holds the end id alone; null
-doc_ids come after all others; rows with one doc_id are ordered by the hash of
-their text; an empty table gives no file; extra columns are left alone.
+Encoding is the library's. Texts that hold the string of one of its added tokens
+are given to it whole; of others, each distinct pre-token, as these can't touch.
+
+Defined cases: a null or empty text holds the end id alone; a very long text is
+one value, in a block of its own; null doc_ids come after all others; rows with
+one doc_id are ordered by the hash of their text, those that agree in that too in
+any order; an empty table gives no file; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -53,19 +58,20 @@ BLOOM_BITS, BLOOM_PROBES = 10, 7
 #: Pre-tokens whose ids a worker remembers.
 MEMO = 1_200_000
 #: The file's mark and its footer (index place, index length, filter place, filter length, documents, ids, bytes of an id, mark).
-MARK = b"SSTIDS01"
+MARK = b"SSTIDS02"
 FOOTER = struct.Struct("<6QI8s")
-NULL_ID = (1 << 63) - 1
+KEY = struct.Struct(">BQQ")
+ENTRY = struct.Struct("<4Q")
 SALTS = 1024
 
 
-def key_of(doc_id: int, tie: int) -> bytes:
-    return struct.pack(">QQ", doc_id + (1 << 63), tie)
+def key_of(doc_id: int | None, tie: int) -> bytes:
+    return KEY.pack(doc_id is None, (doc_id or 0) + (1 << 63), tie)
 
 
-def doc_of(key: bytes) -> tuple[int, int]:
-    a, tie = struct.unpack(">QQ", key)
-    return a - (1 << 63), tie
+def doc_of(key: bytes) -> tuple[int | None, int]:
+    absent, a, tie = KEY.unpack(key)
+    return None if absent else a - (1 << 63), tie
 
 
 def _varint(out: bytearray, n: int) -> None:
@@ -86,8 +92,8 @@ def _read_varint(raw: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _bits(doc_ids: list[int], size: int) -> np.ndarray:
-    h = np.array([xxhash.xxh3_128_intdigest(struct.pack("<q", i)) & ((1 << 128) - 1) for i in doc_ids], object)
+def _bits(doc_ids: list[int | None], size: int) -> np.ndarray:
+    h = np.array([xxhash.xxh3_128_intdigest(b"null" if i is None else struct.pack("<q", i)) for i in doc_ids], object)
     low, high = (h & ((1 << 64) - 1)).astype("u8"), (h >> 64).astype("u8") | np.uint64(1)
     return (low[:, None] + np.arange(BLOOM_PROBES, dtype="u8") * high[:, None]) % np.uint64(size)
 
@@ -99,7 +105,7 @@ class Writer:
         self.sink, self.width, self.most = sink, width, block_bytes
         self.at = self.docs = self.ids = 0
         self.index: list[tuple] = []
-        self.doc_ids: list[int] = []
+        self.doc_ids: list[int | None] = []
         self.last_key = None
         self._fresh()
 
@@ -134,7 +140,7 @@ class Writer:
 
     def close(self) -> None:
         self._flush()
-        index = b"".join(k + struct.pack("<4Q", *rest) for k, *rest in self.index)
+        index = b"".join(k + ENTRY.pack(*rest) for k, *rest in self.index)
         size = max(64, BLOOM_BITS * len(self.doc_ids))
         bits = np.zeros(size, bool)
         if self.doc_ids:
@@ -154,7 +160,8 @@ class Reader:
         if mark != MARK:
             raise ValueError("not a shard file")
         raw = self._at(a, n)
-        self.index = [(raw[k : k + 16], *struct.unpack("<4Q", raw[k + 16 : k + 48])) for k in range(0, n, 48)]
+        each = KEY.size + ENTRY.size
+        self.index = [(raw[k : k + KEY.size], *ENTRY.unpack_from(raw, k + KEY.size)) for k in range(0, n, each)]
         self.keys = [x[0] for x in self.index]
         held = self._at(b, m)
         self.size = struct.unpack("<Q", held[:8])[0]
@@ -164,7 +171,7 @@ class Reader:
         self.source.seek(place)
         return self.source.read(n)
 
-    def may_hold(self, doc_id: int) -> bool:
+    def may_hold(self, doc_id: int | None) -> bool:
         return bool(self.bits[_bits([doc_id], self.size)].all())
 
     def block(self, k: int) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -183,7 +190,7 @@ class Reader:
         for k in range(len(self.index)):
             yield from self.block(k)
 
-    def get(self, doc_id: int) -> list[np.ndarray]:
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of each document of this doc_id."""
         if not self.may_hold(doc_id):
             return []
@@ -196,18 +203,18 @@ class Reader:
 
 
 class Encoder:
-    """Whole texts to packed ids by the tokenizers library. Where the pre-tokenizer is byte-level, each distinct pre-token is given to the library once and remembered."""
+    """Whole texts to packed ids by the tokenizers library. Where the pre-tokenizer is byte-level, each distinct pre-token of texts without added tokens is given to the library once and remembered."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.added = [x["content"] for x in spec.get("added_tokens") or []]
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.bytes_of = np.zeros(1 + max(vocabulary.values()), np.int64)  # a byte-level token has a character for each byte
@@ -226,18 +233,23 @@ class Encoder:
         raw, cuts = ids.astype(self.kind).tobytes(), [0, *(at * self.kind.itemsize).tolist()]
         self.memo.update(zip(words, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
-            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return self._whole(texts)
+        held = [k for k, x in enumerate(texts) if any(a in x for a in self.added)]
+        whole = dict(zip(held, self._whole([texts[k] for k in held]), strict=True)) if held else {}
         if len(self.memo) > MEMO:
             self.memo.clear()
-        parts = [self.split(x) for x in texts]
+        parts = [[] if k in whole else self.split(x) for k, x in enumerate(texts)]
         memo = self.memo
         new = list({w for p in parts for w in p if w not in memo})
         for k in range(0, len(new), 4096):
             self._learn(new[k : k + 4096])
         of = memo.__getitem__
-        return [b"".join(map(of, p)) for p in parts]
+        return [whole[k] if k in whole else b"".join(map(of, p)) for k, p in enumerate(parts)]
 
 
 @lru_cache(maxsize=1)
@@ -250,7 +262,7 @@ def _encode(path: str, pattern: str, end_id: int, cuts: list[tuple]):
         of = _encoder(path, pattern)
         end = np.array([end_id], of.kind).tobytes()
         for b in batches:
-            id_, tie, salt = (b.column(k).to_pylist() for k in ("id", "tie", "salt"))
+            keys = zip(*(b.column(k).to_pylist() for k in ("absent", "id", "tie", "salt")), strict=True)
             texts = [x or "" for x in b.column("text").to_pylist()]
             at, values = 0, []
             while at < len(texts):  # a few megabytes of text at a time
@@ -260,8 +272,8 @@ def _encode(path: str, pattern: str, end_id: int, cuts: list[tuple]):
                     to += 1
                 values += [x + end for x in of(texts[at:to])]
                 at = to
-            shard = [bisect.bisect_right(cuts, k) for k in zip(id_, tie, salt, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column("id"), b.column("tie"), pa.array(values, pa.binary())], ["shard", "id", "tie", "value"])
+            shard = [bisect.bisect_right(cuts, k) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column("absent"), b.column("id"), b.column("tie"), pa.array(values, pa.binary())], ["shard", "absent", "id", "tie", "value"])
 
     return encode
 
@@ -282,13 +294,13 @@ def _write(folder: str, width: int):
                 done.append((out[0], out[3], out[1].docs, out[1].ids))
 
         for b in batches:
-            for s, i, tie, value in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for s, absent, i, tie, value in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if out is None or out[0] != s:
                     close()
                     name = f"{s:06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.sst"
                     sink = files.open_output_stream(f"{path}/{name}")
                     out = (s, Writer(sink, width), sink, name)
-                out[1].add(key_of(i, tie), np.frombuffer(value, "<u2" if width == 2 else "<u4"))
+                out[1].add(key_of(None if absent else i, tie), np.frombuffer(value, "<u2" if width == 2 else "<u4"))
         close()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 4, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names)
 
@@ -307,20 +319,23 @@ def write_shards(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, fol
     files, path = fs.FileSystem.from_uri(folder)
     files.create_dir(path, recursive=True)
     t = F.coalesce(F.col(text), F.lit(""))
+    own = F.col(doc_id).cast("long")
     keys = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.shiftrightunsigned(F.xxhash64(t), 1).alias("tie"),
+        own.isNull().cast("int").alias("absent"), F.coalesce(own, F.lit(0)).alias("id"), F.shiftrightunsigned(F.xxhash64(t), 1).alias("tie"),
         F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt"), t.alias("text"),
     )
-    light = common.written(keys.select("id", "tie", "salt", (F.octet_length("text") + 32).cast("long").alias("size")), "sst-keys")
+    light = common.written(keys.select("absent", "id", "tie", "salt", (F.octet_length("text") + 32).cast("long").alias("size")), "sst-keys")
     s = light.agg(F.sum("size").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).first()
     cuts = []
     if s["size"]:
         n = -(-s["size"] // shard_bytes)
-        levels = [("id", s["low"], s["high"] + 1), ("tie", 0, 1 << 63), ("salt", 0, SALTS)]
-        cuts = sorted({(*c, *(0,) * (3 - len(c))) for c in histogram_sort.splitters(light, levels, "size", [(s["size"] * k // n, shard_bytes // 8) for k in range(1, n)])})
+        levels = [("absent", 0, 2), ("id", s["low"], s["high"] + 1), ("tie", 0, 1 << 63), ("salt", 0, SALTS)]
+        found = histogram_sort.splitters(light, levels, "size", [(s["size"] * k // n, shard_bytes // 8) for k in range(1, n)])
+        cuts = sorted({(*c, *(low for _, low, _ in levels[len(c) :])) for c in found})
+    common.dropped(light)
     width = _encoder(tokenizer, pattern).kind.itemsize
-    dealt = keys.mapInArrow(_encode(tokenizer, pattern, end_id, cuts), "shard int, id long, tie long, value binary")
-    dealt = dealt.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "id", "tie")
+    dealt = keys.mapInArrow(_encode(tokenizer, pattern, end_id, cuts), "shard int, absent int, id long, tie long, value binary")
+    dealt = dealt.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "absent", "id", "tie")
     manifest = common.written(dealt.mapInArrow(_write(folder, width), "shard int, file string, n_docs long, n_ids long"), "sst-manifest")
     rows, start = [], 0
     for r in sorted(manifest.collect(), key=lambda r: r["shard"]):  # a row for each file
@@ -335,8 +350,7 @@ def _lookup(folder: str):
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = []
                 for key, ids in open_shard(folder, name):
-                    i = doc_of(key)[0]
-                    rows.append((None if i == NULL_ID else i, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    rows.append((doc_of(key)[0], start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
                     if len(rows) >= 10_000:
                         yield _rows(rows)

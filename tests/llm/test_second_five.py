@@ -134,6 +134,35 @@ def test_splitters_are_exact(spark):
         assert abs(below - t) <= 200
 
 
+def test_many_splitters(spark):
+    """50,000 targets, and rows dealt to parts by 5,000 cuts."""
+    rows = spark.range(200_000).select((F.xxhash64("id")).alias("h"), F.col("id"), (F.col("id") % 7 + 1).alias("size")).persist()
+    own = sorted((r.h, r.id, r.size) for r in rows.collect())
+    total = sum(s for _, _, s in own)
+    cuts = histogram_sort.splitters(rows, [("h", -(1 << 63), 1 << 63), ("id", 0, 200_000)], "size", [(total * k // 50_000, 8) for k in range(1, 50_000)])
+    below = np.cumsum([0, *[s for _, _, s in own]])
+    keys = [(h, i) for h, i, _ in own]
+    import bisect
+
+    for k, c in list(enumerate(cuts, 1))[::97]:
+        assert abs(below[bisect.bisect_left(keys, (*c, *(0,) * (2 - len(c))))] - total * k // 50_000) <= 8
+    some = sorted(cuts[::10])
+    levels = [("h", -(1 << 63), 1 << 63), ("id", 0, 200_000)]
+    got = rows.select("h", "id", histogram_sort.part_of(levels, some).alias("part")).filter("id % 50 = 0").collect()
+    full = [(*c, *(0,) * (2 - len(c))) for c in some]
+    assert all(r.part == bisect.bisect_right(full, (r.h, r.id)) for r in got)
+    rows.unpersist()
+
+
+def test_splitters_without_broadcast(spark, monkeypatch):
+    """More open cells than may be broadcast: rows are summed by cell before they are joined."""
+    rows = spark.range(3000).select((F.col("id") % 40 - 20).alias("a"), F.xxhash64("id").alias("b"), F.lit(1).alias("size"))
+    levels, targets = [("a", -20, 20), ("b", -(1 << 63), 1 << 63)], [(3000 * k // 90, 0) for k in range(1, 90)]
+    want = histogram_sort.splitters(rows, levels, "size", targets)
+    monkeypatch.setattr("netquarry.llm.common.BROADCAST_ROWS", 3)
+    assert histogram_sort.splitters(rows, levels, "size", targets) == want
+
+
 # personal data
 
 
@@ -224,7 +253,6 @@ def plain_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [[*e.ids, 2] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -236,7 +264,7 @@ def test_sst(spark, shard_bytes):
         folder, manifest = sst.write_shards(docs, queries.tokenizer("byte_bpe_50k.json"), queries.pre_tokens(), 2, shard_bytes=shard_bytes)
         got = sst.read_back(folder, manifest).orderBy("start").collect()
         assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), x in zip(rows, ids, strict=True))
-        keys = [sst.NULL_ID if r.doc_id is None else r.doc_id for r in got]
+        keys = [(r.doc_id is None, r.doc_id or 0) for r in got]
         assert keys == sorted(keys)
         assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
         if shard_bytes == 5_000:
@@ -248,6 +276,27 @@ def test_sst(spark, shard_bytes):
     assert sst.read_back(*sst.write_shards(docs.limit(0), queries.tokenizer("byte_bpe_50k.json"), queries.pre_tokens(), 2)).count() == 0
 
 
+def test_sst_special_tokens(spark):
+    """A special token's string is its id, as the library has it, wherever it stands."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y it's", "<|endoftext| >", "plain text <|", " <|endoftext|>\n\n z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sst.read_back(*sst.write_shards(docs, queries.tokenizer("byte_bpe_50k.json"), queries.pre_tokens(), 2)).collect()
+    want = plain_ids(texts)
+    assert want[0] == [64, 220, 50256, 275, 2]
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)}
+
+
+def test_sst_ends_of_the_numbers(spark):
+    """The least and the greatest doc_id are like any other, and nulls come after them."""
+    big = (1 << 63) - 1
+    docs = spark.createDataFrame([(None, "null text"), (big, "great"), (-big - 1, "least"), (None, "null"), (0, "")], "doc_id long, text string")
+    for size in (1, 48 << 20):
+        folder, manifest = sst.write_shards(docs, queries.tokenizer("byte_bpe_50k.json"), queries.pre_tokens(), 2, shard_bytes=size)
+        got = sst.read_back(folder, manifest).orderBy("start").collect()
+        assert [r.doc_id for r in got] == [-big - 1, 0, big, None, None]
+        assert [sum(len(sst.open_shard(folder, r.file).get(i)) for r in manifest.collect()) for i in (big, None, -big - 1, 5)] == [1, 2, 1, 0]
+
+
 def test_sst_lookup():
     docs = [(i, list(range(i % 7))) for i in range(-300, 3000, 3)]
     r = sst.in_memory(docs, block_bytes=200)
@@ -281,6 +330,46 @@ def test_longest_match_automaton():
             assert a.count(w) == plain_count(pieces, w), (pieces, w)
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_word_pieces(whole):
+    """Marked pieces within words, and words that can't be cut, against greedy matching."""
+    rng = np.random.default_rng(12)
+
+    def plain(pieces, word):
+        n, k = 0, 0
+        while k < len(word):
+            mark = b"##" if k else b""
+            size = max((j for j in range(1, len(word) - k + 1) if mark + word[k : k + j] in pieces), default=0)
+            if not size and whole:
+                return 1
+            n, k = n + 1, k + max(1, size)
+        return n
+
+    for _ in range(300):
+        body = [bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in rng.integers(1, 6, int(rng.integers(1, 14)))]
+        pieces = {(b"##" if rng.random() < 0.6 else b"") + x for x in body}
+        a = token_counts.LongestMatch(pieces, continuation=b"##", whole=whole)
+        for _ in range(30):
+            w = bytes(rng.integers(97, 101, int(rng.integers(0, 20))).astype(np.uint8))
+            assert a.count(w) == plain(pieces, w), (pieces, w)
+
+
+def test_token_count_is_linear():
+    """Steps over links are at most one for each byte, also where the vocabulary leads far before it fails."""
+    a = token_counts.LongestMatch({b"a" * 2000 + b"b", b"a"}, whole=True)
+
+    class Counted(list):
+        n = 0
+
+        def __getitem__(self, k):
+            Counted.n += 1
+            return list.__getitem__(self, k)
+
+    a.link = Counted(a.link)
+    word = b"a" * 1999 + b"c"
+    assert a.count(word) == 1 and a.count(b"a" * 50_000) == 50_000 and Counted.n <= 52_000
+
+
 def test_token_counts(spark):
     import regex
 
