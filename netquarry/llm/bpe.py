@@ -9,11 +9,14 @@ joined back to the blocks and the documents reassembled by position.
 Decoding joins the ids with the token-byte table, whose size is the vocabulary's.
 
 Word lists travel packed: for each block and share of the hash, one row of
-sorted, compressed words goes out and one of their ids comes back.
-
-Defined cases: a null text counts as empty and has no ids; rows with equal or
-null doc_ids are separate documents; an empty table gives no rows; extra columns
-are left alone. Ids outside the vocabulary raise KeyError in decoding.
+compressed words goes out and one of their ids comes back. A share whose words,
+summed over the blocks, are more than a worker should remember is cut by a second
+hash into as many ranges as it takes; each range is a key of its own.
+
+Defined cases: a null or empty text has no ids; a very long text is a block of
+its own, split, encoded and reassembled whole; rows with equal or null doc_ids
+are separate documents; an empty table gives no rows; extra columns are left
+alone. Ids outside the vocabulary raise KeyError in decoding.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +41,8 @@ from netquarry.llm.pretokens import splitter
 
 #: Bytes of text in a block, about; a longer document is a block of its own.
 BLOCK_BYTES = 32 << 20
+#: Words of a share, or of a range of it, that a worker remembers at once, about; shares at most.
+WORDS, SHARES = 1 << 20, 1 << 16
 PACKED = "block long, share int, words binary"
 BLOCK = "block long, doc_ids array<long>, ends array<long>, places binary"
 
@@ -73,14 +79,18 @@ def _share(word: bytes, shares: int) -> int:
     return zlib.crc32(word) % shares
 
 
+def _range(word: bytes, ranges: int) -> int:
+    return xxhash.xxh3_64_intdigest(word) % ranges
+
+
 def _blocks(pattern: str, shares: int, block_bytes: int):
-    """Rows (doc_id, text) to rows of blocks and packed words, told apart by which columns are null."""
+    """Rows (doc_id, text) to rows of blocks and packed words, told apart by which columns are null; n is the number of words."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         split, task = splitter(pattern), TaskContext.get().partitionId()
-        kinds = [("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("places", pa.binary()), ("share", pa.int32()), ("words", pa.binary())]
+        kinds = [("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("places", pa.binary()), ("share", pa.int32()), ("n", pa.int64()), ("words", pa.binary())]
         seq, size, ids, ends, table, places = 0, 0, [], [0], {}, array("i")
 
         def out() -> pa.RecordBatch:
@@ -98,9 +108,11 @@ def _blocks(pattern: str, shares: int, block_bytes: int):
             name = (task << 32) + seq
             rows = [{"block": name, "doc_ids": ids, "ends": ends[1:], "places": once.to_bytes(4, "little") + _numbers(np.minimum(to, once)[own])}]
             # Words of a share are sent in the order of their places, so that ids need no key to come back.
-            for s in range(shares):
-                if len(mine := order[share[order] == s]):
-                    rows.append({"block": name, "share": s, "words": _pack([words[i] for i in mine])})
+            by_share = order[np.argsort(share[order], kind="stable")]
+            ends_of = np.cumsum(np.bincount(share, minlength=shares)).tolist()
+            for s, (lo, hi) in enumerate(zip([0, *ends_of], ends_of, strict=False)):
+                if hi > lo:
+                    rows.append({"block": name, "share": s, "n": hi - lo, "words": _pack([words[i] for i in by_share[lo:hi]])})
             # and which share each place belongs to
             rows.append({"block": name, "share": -1, "words": zstandard.compress(share[order].astype("<u2").tobytes(), 3)})
             return pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
@@ -146,20 +158,40 @@ def _with_once(packed: bytes) -> np.ndarray:
     return places
 
 
+def _cut(ranges: dict[int, int]):
+    """Rows (block, share, words) cut into ranges of a second hash; `at` has the places of a range's words in its row, null for a share of one range."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ("block", "share", "part", "at", "words"), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        for b in batches:
+            out = []
+            for name, s, packed in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if (n := ranges.get(s, 1)) == 1:
+                    out.append((name, s, 0, None, packed))
+                    continue
+                words = [w.decode() for w in _unpack(packed)]
+                part = np.fromiter((_range(w.encode(), n) for w in words), np.int64, len(words))
+                out += [(name, s, int(k), _numbers(at), _pack([words[i] for i in at])) for k in np.unique(part) for at in [np.flatnonzero(part == k)]]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], list(names))
+
+    return cut
+
+
 def _encoded(path: str):
-    """Packed words of one share, from all blocks, to their ids. Rows come sorted by share, so a share's words are remembered from its first row to its last."""
+    """Packed words of one range of a share, from all blocks, to their ids. Rows come sorted by range, so its words are remembered from its first row to its last."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         vocabulary = ranks(path)
         memo: dict[bytes, list[int]] = {}
-        share = None
+        own = None
         for b in batches:
-            out = []
-            for name, s, packed in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if s != share:
+            counted, flats = [], []
+            for key, packed in zip(zip(b.column("share").to_pylist(), b.column("part").to_pylist(), strict=True), b.column("words").to_pylist(), strict=True):
+                if key != own:
                     memo.clear()
-                    share = s
+                    own = key
                 counts, flat = [], []
                 for w in _unpack(packed):
                     ids = memo.get(w)
@@ -168,9 +200,9 @@ def _encoded(path: str):
                         ids = memo[w] = [one] if one is not None else enc.encode_ordinary(w.decode())
                     counts.append(len(ids))
                     flat += ids
-                out.append((name, s, _numbers(np.array(counts, "<u4")), _numbers(np.array(flat, "<u4"))))
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["block", "share", "counts", "ids"])
+                counted.append(_numbers(np.array(counts, "<u4")))
+                flats.append(_numbers(np.array(flat, "<u4")))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("share"), b.column("at"), pa.array(counted, pa.binary()), pa.array(flats, pa.binary())], ["block", "share", "at", "counts", "ids"])
 
     return encode
 
@@ -191,6 +223,7 @@ def _assembled(give):
         counts, starts, flats, at = np.zeros(len(shares), np.int64), np.zeros(len(shares), np.int64), [], 0
         for row in words.to_pylist():
             mine = np.flatnonzero(shares == row["share"])
+            mine = mine if row["at"] is None else mine[_numbered(row["at"])]
             n, ids = _numbered(row["counts"]).astype(np.int64), _numbered(row["ids"])
             counts[mine], starts[mine] = n, at + np.cumsum(n) - n
             flats.append(ids)
@@ -254,14 +287,16 @@ def _table(path: str) -> TokenBytes:
     return TokenBytes(path)
 
 
-def _run(docs: DataFrame, path: str, pattern: str, give, schema: str, text: str, doc_id: str, block_bytes: int, shares: int | None) -> DataFrame:
+def _run(docs: DataFrame, path: str, pattern: str, give, schema: str, text: str, doc_id: str, block_bytes: int, shares: int | None, words: int = WORDS) -> DataFrame:
     spark = common.tune(docs.sparkSession)
-    shares = shares or min(4096, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shares = shares or min(SHARES, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = common.written(rows.mapInArrow(_blocks(pattern, shares, block_bytes), f"{BLOCK}, share int, words binary"), "bpe-blocks")
-    words = blocks.filter("share >= 0").select("block", "share", "words")
-    ids = words.repartition("share").sortWithinPartitions("share").mapInArrow(_encoded(path), "block long, share int, counts binary, ids binary")
-    own = blocks.filter("share is null or share = -1")
+    blocks = common.written(rows.mapInArrow(_blocks(pattern, shares, block_bytes), f"{BLOCK}, share int, n long, words binary"), "bpe-blocks")
+    sent = blocks.filter("share >= 0")
+    sizes = sent.groupBy("share").agg(F.sum("n").alias("n")).filter(F.col("n") > words).collect()  # a row for each share, SHARES at most
+    cut = sent.select("block", "share", "words").mapInArrow(_cut({r["share"]: -(-r["n"] // words) for r in sizes}), "block long, share int, part int, at binary, words binary")
+    ids = cut.repartition("share", "part").sortWithinPartitions("share", "part").mapInArrow(_encoded(path), "block long, share int, at binary, counts binary, ids binary")
+    own = blocks.filter("share is null or share = -1").drop("n")
     return common.fresh(own).groupBy("block").cogroup(common.fresh(ids).groupBy("block")).applyInArrow(_assembled(give), schema)
 
 

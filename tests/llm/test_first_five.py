@@ -352,6 +352,15 @@ def test_bpe(spark):
     assert bpe.encode(docs.limit(0), path, pattern).count() == 0
 
 
+def test_bpe_ranges_of_shares(spark, monkeypatch):
+    """Shares of more words than a worker should remember are cut, and give the same."""
+    path, pattern = queries.tokenizer("byte_bpe_multi_50k.tiktoken"), queries.pre_tokens()
+    docs = small(spark).unionByName(H.awkward_docs(spark).select(*small(spark).columns))
+    want = Counter(map(tuple, bpe.encode_digests(docs, path, pattern, block_bytes=20_000).collect()))
+    monkeypatch.setattr(bpe._run, "__defaults__", (40,))
+    assert Counter(map(tuple, bpe.encode_digests(docs, path, pattern, block_bytes=20_000, shares=9).collect())) == want
+
+
 def test_bpe_unknown_id(spark):
     bad = spark.createDataFrame([(1, [999_999])], "doc_id long, ids array<int>")
     with pytest.raises(Exception, match="without bytes"):
