@@ -9,9 +9,16 @@ generalised wherever they occur, also in documents without the entity; those tha
 tell REVEALS of it or more are removed. An entity of a single document is judged
 like any other: a term of that document alone tells all of it.
 
-Defined cases: a null text counts as empty; rows that occur more than once count
-each; null doc_ids are scanned too; an empty table gives no rows; extra columns
-are left alone.
+A term of one document tells all of each entity there, n(c,t) = n(t) = 1, so that
+only terms of several documents need to be counted in pairs with entities.
+
+Defined cases: a null or empty text has no spans; a very long text is scanned
+whole, in time that grows with its length; spans of different kinds may overlap,
+and where they do the text is replaced up to where the last of them ends; of
+terms that tell several entities the most they tell of any counts; rows that
+occur more than once count, and are sanitised, each by itself; null and repeated
+doc_ids are rows like any others; an empty table gives no rows; extra columns are
+left alone.
 """
 
 from __future__ import annotations
@@ -97,35 +104,57 @@ def outside(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int,
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entities, terms) of each text with entities."""
+    """(entities, terms) of each text with entities, and (terms, counts) of the documents that have a term, summed as far as a worker's memory goes."""
+    held: dict[str, int] = {}
+    names, kind = ["entities", "terms", "counts"], pa.list_(pa.int64())
+
+    def out() -> pa.RecordBatch:
+        columns = [[None], [list(map(_hash, held))], [list(held.values())]]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], names)
+
     for b in batches:
         rows = []
         for t in b.column(0).to_pylist():
-            if t and (spans := base_spans(t)):
-                rows.append(([*{_hash(f"{kind}:{t[x:y].lower()}") for x, y, kind in spans}], [*map(_hash, {t[x:y].lower() for x, y in outside(t, spans)})]))
-        cols = list(zip(*rows, strict=True)) or [()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64())) for c in cols], ["entities", "terms"])
+            if not t:
+                continue
+            for w in {w.lower() for w in set(WORD.findall(t))}:
+                held[w] = held.get(w, 0) + 1
+            if spans := base_spans(t):
+                rows.append(([*{_hash(f"{kind}:{t[x:y].lower()}") for x, y, kind in spans}], [*map(_hash, {t[x:y].lower() for x, y in outside(t, spans)})], None))
+            if len(held) >= HELD:
+                yield out()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*rows, strict=True)], names)
+    if held:
+        yield out()
 
 
-BASE = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, found array<struct<term:bigint,start:int,stop:int>>"
+BASE = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, found array<struct<term:bigint,start:int,stop:int>>, text string, text_sha256 string"
 _FOUND = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
 
 
-def _marker(bits):
-    """Base spans of each row, and the words outside them that may be terms to mark."""
+def _marker(bits, texts: bool):
+    """Base spans of each row, and the words outside them that may be terms to mark. texts: with the text where it may change, and else its digest."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "found"]
-        types = [pa.int64()] * 6 + [pa.string()] * 2 + [_FOUND]
-        table, memo = bits.value, {}
-
-        def term(word: str) -> int | None:
-            if word not in memo:
-                if len(memo) > HELD:
-                    memo.clear()
-                h = _hash(word.lower())
-                memo[word] = h if int(table[h % BITS >> 6]) >> (h % 64) & 1 else None
-            return memo[word]
+        names = ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "found", "text", "text_sha256"]
+        types = [pa.int64()] * 6 + [pa.string()] * 2 + [_FOUND] + [pa.string()] * 2
+        table, known, marked = bits.value, set(), {}
+
+        def some(words: set[str]) -> bool:
+            """Whether any of the words may be marked."""
+            if new := words - known:
+                if len(known) > HELD:
+                    known.clear()
+                    marked.clear()
+                    new = words
+                for w in new:
+                    h = _hash(w.lower())
+                    if int(table[h % BITS >> 6]) >> (h % 64) & 1:
+                        marked[w] = h
+                known.update(new)
+            return not marked.keys().isdisjoint(words)
 
         for b in batches:
             rows = []
@@ -134,53 +163,47 @@ def _marker(bits):
                 spans = base_spans(t)
                 joined = ",".join(f"{k}:{a}:{e}" for a, e, k in spans)
                 kinds = [k for _, _, k in spans]
-                some = any(term(w) is not None for w in set(WORD.findall(t)))
-                found = [{"term": h, "start": x, "stop": y} for x, y in outside(t, spans) if (h := term(t[x:y])) is not None] if some else []
-                rows.append((u, i, *(kinds.count(k) for k in KINDS), hashlib.sha256(joined.encode()).hexdigest(), joined, found))
-            cols = list(zip(*rows, strict=True)) or [()] * 9
+                found = [{"term": h, "start": x, "stop": y} for x, y in outside(t, spans) if (h := marked.get(t[x:y])) is not None] if some(set(WORD.findall(t))) else []
+                own = (None, None) if not texts else (t, None) if found or spans else (None, hashlib.sha256(t.encode("utf-8", "replace")).hexdigest())
+                rows.append((u, i, *(kinds.count(k) for k in KINDS), hashlib.sha256(joined.encode()).hexdigest(), joined, found, *own))
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return mark
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, documents with it), summed as far as a worker's memory goes."""
-    held: dict[str, int] = {}
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in held], pa.int64()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
-
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            for w in {w.lower() for w in set(WORD.findall(t or ""))}:
-                held[w] = held.get(w, 0) + 1
-            if len(held) >= HELD:
-                yield out()
-                held.clear()
-    yield out()
-
-
 def telling(docs: DataFrame, text: str = "text", discloses: float = DISCLOSES) -> DataFrame:
     """(term, share) of the terms that tell `discloses` of an entity or more: the most that they tell of any. Written."""
     common.tune(docs.sparkSession)
     texts = docs.select(F.col(text).alias("text"))
     total = float(texts.count())
-    base = common.written(texts.mapInArrow(_told, "entities array<long>, terms array<long>").withColumn("uid", F.monotonically_increasing_id()), "pii-base")
+    found = common.written(texts.mapInArrow(_told, "entities array<long>, terms array<long>, counts array<long>").withColumn("uid", F.monotonically_increasing_id()), "pii-base")
+    base = found.filter("entities is not null")
     entities = common.written(base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("own")), "pii-entities")
-    terms = common.written(base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("k")), "pii-terms")
-    wanted, _ = common.bounded(terms.select("term", "k"))
-    counts = texts.mapInArrow(_term_counts, "term long, n long").join(wanted, "term").groupBy("term").agg(F.sum("n").alias("docs"), F.first("k").alias("k"))
+    wanted = base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("k"))
+    counts = found.filter("counts is not null").select(F.inline(F.arrays_zip("terms", "counts"))).groupBy(F.col("terms").alias("term")).agg(F.sum("counts").alias("docs"))
     # share >= discloses is both / docs >= (own / N)^(1 - discloses), and both <= own: too frequent terms tell too little of any entity
     bound = F.pow("own", F.lit(discloses)) * F.lit(total ** (1 - discloses) * (1 + 1e-9))
-    most = entities.agg(F.max(bound).alias("m")).first()["m"] or 0.0
-    counts = common.written(counts.filter(F.col("docs") <= F.lit(most)), "pii-term-counts")
-    rare = common.join_hot(base.select("uid", F.explode("terms").alias("term")), counts, "term", "k", "uid").filter("docs is not null").select("uid", "term", "docs")
+    top = entities.agg(F.max(bound).alias("bound"), F.max("own").alias("own")).first()
+    most = top["bound"] or 0.0
+    counts = common.written(wanted.join(counts.filter(F.col("docs") <= F.lit(most)), "term"), "pii-term-counts")
+    several = counts.filter("docs > 1")
+    rare = common.join_hot(base.select("uid", F.explode("terms").alias("term")), several, "term", "k", "uid").filter("docs is not null").select("uid", "term", "docs")
     named = common.join_hot(base.select("uid", F.explode("entities").alias("entity")), entities, "entity", "own", "uid").select("uid", "entity", "own")
     pairs = named.join(rare, "uid").filter(F.col("docs") <= bound).groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("own").alias("own"), F.first("docs").alias("docs"))
     tells = F.log2(F.lit(total) * F.col("both") / (F.col("own") * F.col("docs").cast("double")))
     own = F.log2(F.lit(total) / F.col("own"))
     share = F.when(own > 0, tells / own).otherwise(0.0)
-    return common.written(pairs.withColumn("share", share).filter(F.col("share") >= discloses).groupBy("term").agg(F.max("share").alias("share")), "pii-telling")
+    # What a term of one document tells is all, of entities that aren't in every document.
+    single = counts.filter("docs = 1").select("term")
+    if (top["own"] or 0) >= total:
+        telltale = named.filter(F.col("own") < F.lit(total)).select("uid").distinct()
+        single = base.select("uid", F.explode("terms").alias("term")).join(single, "term").join(telltale, "uid", "left_semi").select("term")
+    single = single.withColumn("share", F.lit(1.0))
+    shared = pairs.withColumn("share", share).groupBy("term").agg(F.max("share").alias("share"))
+    out = common.written(shared.unionByName(single).filter(F.col("share") >= discloses), "pii-telling")
+    common.dropped(found, entities, counts)
+    return out
 
 
 def _bits(told: DataFrame) -> np.ndarray:
@@ -192,34 +215,57 @@ def _bits(told: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def found(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", discloses: float = DISCLOSES) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and `shares` (of the added spans, in their order) of each row."""
+def _spans(docs: DataFrame, text: str, doc_id: str, discloses: float, reveals: float, texts: bool) -> DataFrame:
     told = telling(docs, text, discloses)
     bits = docs.sparkSession.sparkContext.broadcast(_bits(told))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = common.written(rows.mapInArrow(_marker(bits), BASE), "pii-marked")
-    words = rows.select("uid", F.inline("found"))
+    rows = common.written(rows.mapInArrow(_marker(bits, texts), BASE), "pii-marked")
+    some = F.size("found") > 0
+    words = rows.filter(some).select("uid", F.inline("found"))
     told = common.written(told.join(words.groupBy("term").agg(F.count("*").alias("n")), "term"), "pii-told")
     met = common.join_hot(words, told, "term", "n", "start").filter("share is not null")
     added = met.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "share"))).alias("added"))
-    rows = rows.drop("found").join(added, "uid", "left")
-    return rows.mapInArrow(_joined, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, shares array<double>")
+    rows = rows.withColumn("some", some).drop("found")
+    # Rows without a candidate are done; only the others meet their terms.
+    rest = rows.filter("not some").withColumn("added", F.lit(None).cast("array<struct<start:int,stop:int,share:double>>"))
+    rows = rest.unionByName(rows.filter("some").join(added, "uid", "left"))
+    return rows.drop("some").mapInArrow(_joined(reveals), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, shares array<double>, text string, text_sha256 string, n_generalised long, n_removed long")
+
+
+def found(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", discloses: float = DISCLOSES) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and `shares` (of the added spans, in their order) of each row."""
+    return _spans(docs, text, doc_id, discloses, REVEALS, False).drop("text", "text_sha256", "n_generalised", "n_removed")
+
 
+def reported(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", discloses: float = DISCLOSES, reveals: float = REVEALS) -> DataFrame:
+    """`found`, with how many terms are generalised and removed, and the sha256 of the sanitised text."""
+    return _spans(docs, text, doc_id, discloses, reveals, True).drop("text", "shares").withColumnRenamed("text_sha256", "sanitised_sha256")
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _joined(reveals: float):
     order = {k: n for n, k in enumerate((*KINDS, "term"))}
-    for b in batches:
-        spans, shares = [], []
-        for base, added in zip(b.column("base").to_pylist(), b.column("added").to_pylist(), strict=True):
-            if not added:
-                spans.append(base)
-                shares.append([])
-                continue
-            parts = [x.split(":") for x in base.split(",") if x] + [("term", x["start"], x["stop"]) for x in added]
-            spans.append(",".join(f"{k}:{s}:{e}" for k, s, e in sorted(parts, key=lambda p: (int(p[1]), order[p[0]], int(p[2])))))
-            shares.append([x["share"] for x in added])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
-        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(spans, pa.string()), pa.array(shares, pa.list_(pa.float64()))], [*keep, "spans", "shares"])
+        for b in batches:
+            spans, shares, texts, digests, counts = [], [], [], [], []
+            for base, added, t, digest in zip(*(b.column(c).to_pylist() for c in ("base", "added", "text", "text_sha256")), strict=True):
+                own = base
+                if added:
+                    parts = [x.split(":") for x in base.split(",") if x] + [("term", x["start"], x["stop"]) for x in added]
+                    own = ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(parts, key=lambda p: (int(p[1]), order[p[0]], int(p[2]))))
+                share = [x["share"] for x in added or ()]
+                clean = None if t is None else sanitised_text(t, own, share, reveals)
+                gone = sum(x >= reveals for x in share)
+                spans.append(own)
+                shares.append(share)
+                texts.append(clean)
+                digests.append(digest if clean is None else hashlib.sha256(clean.encode("utf-8", "replace")).hexdigest())
+                counts.append((len(share) - gone, gone))
+            more = [pa.array(spans, pa.string()), pa.array(shares, pa.list_(pa.float64())), pa.array(texts, pa.string()), pa.array(digests, pa.string()), *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *more], [*keep, "spans", "shares", "text", "text_sha256", "n_generalised", "n_removed"])
+
+    return join
 
 
 def sanitised_text(text: str, spans: str, shares: list[float], reveals: float = REVEALS) -> str:
@@ -238,14 +284,7 @@ def sanitised_text(text: str, spans: str, shares: list[float], reveals: float =
 
 
 def sanitised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", discloses: float = DISCLOSES, reveals: float = REVEALS) -> DataFrame:
-    """doc_id, text (sanitised) and spans of each document; rows need distinct doc_ids, others are joined by each other's spans of the same text."""
-    own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    spans = found(docs, text, doc_id, discloses).filter("spans <> ''").select("doc_id", "spans", "shares").distinct()
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [sanitised_text(t, s or "", x or [], reveals) for t, s, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2)], ["doc_id", "text", "spans"])
-
-    met = own.join(spans, F.col("_id").eqNullSafe(F.col("doc_id")), "left").select("_id", "_text", "spans", "shares")
-    return met.mapInArrow(put, "doc_id long, text string, spans string")
+    """doc_id, text (sanitised) and spans of each row. Rows are told apart by themselves, whatever their doc_ids."""
+    held = common.written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row")), "pii-rows")
+    spans = _spans(held, "text", "row", discloses, reveals, True).select(F.col("doc_id").alias("row"), "spans", F.col("text").alias("_clean")).filter("spans <> ''")
+    return held.join(common.written(spans, "pii-clean"), "row", "left").select("doc_id", F.coalesce("_clean", "text").alias("text"), F.coalesce("spans", F.lit("")).alias("spans"))

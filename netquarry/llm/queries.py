@@ -36,7 +36,7 @@ def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.found(table(spark, sf_dir, "documents")).drop("shares")
+    return pii.reported(table(spark, sf_dir, "documents"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

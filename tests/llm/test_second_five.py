@@ -245,6 +245,58 @@ def test_pii_single_occurrence(spark):
     assert terms[200] == ["zorblax", "wrote"] and terms[201] == terms[202] == ["quux"] and not any(terms[i] for i in range(100))
 
 
+def plain_telling(texts, discloses):
+    """{term: share}, by counting all pairs."""
+    n, own, docs, both = len(texts), Counter(), Counter(), Counter()
+    for t in texts:
+        spans = pii.base_spans(t or "")
+        entities = {f"{k}:{t[a:b].lower()}" for a, b, k in spans}
+        terms = {t[a:b].lower() for a, b in pii.outside(t or "", spans)}
+        own.update(entities)
+        docs.update({w.lower() for w in re.findall(r"\w+", t or "")})
+        both.update((e, w) for e in entities for w in terms)
+    shares = defaultdict(float)
+    for (e, w), x in both.items():
+        if own[e] < n:
+            shares[w] = max(shares[w], np.log2(n * x / (own[e] * docs[w])) / np.log2(n / own[e]))
+    return {w: x for w, x in shares.items() if x >= discloses - 1e-12}
+
+
+@pytest.mark.parametrize("everywhere", ["", " all@every.where"])
+def test_pii_telling(spark, everywhere):
+    """Shares of terms against all pairs counted, also with an address that every document has."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, 12) % 60) + "".join(f" u{i}@x.co" for i in range(6) if rng.random() < 0.06) + everywhere for _ in range(150)] + [texts_none for texts_none in ([None] if not everywhere else [])]
+    for discloses in (0.5, 0.8):
+        want = {pii._hash(w): x for w, x in plain_telling(texts, discloses).items()}
+        got = {r.term: r.share for r in pii.telling(spark.createDataFrame([(t,) for t in texts], "text string"), discloses=discloses).collect()}
+        assert got.keys() == want.keys() and all(np.isclose(got[w], want[w]) for w in want)
+
+
+def test_pii_sanitised_rows(spark):
+    """Rows with one doc_id are sanitised each by itself, and the reported digests are those of the sanitised texts."""
+    usual = [(i, f"the usual words go here and there {i % 7}") for i in range(60)]
+    rows = [(1, "write a@b.co now"), (1, "hello wide world"), (None, "zorblax at a@b.co"), (None, None), (2, "zorblax again"), *usual]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, spans string, row int")
+    clean = Counter((r.doc_id, r.text) for r in pii.sanitised(docs).collect())
+    assert sum(clean.values()) == len(rows) and clean[(1, "hello wide world")] == 1 and clean[(None, "")] == 1 and all(clean[r] for r in usual)
+    assert any(i == 1 and "[email]" in t for i, t in clean)
+    got = Counter((r.doc_id, r.sanitised_sha256) for r in pii.reported(docs).collect())
+    assert got == Counter({(i, hashlib.sha256(t.encode()).hexdigest()): n for (i, t), n in clean.items()})
+    report = {r.spans: r for r in pii.reported(docs).collect()}
+    assert all(r.n_generalised + r.n_removed == s.count("term:") for s, r in report.items())
+
+
+def test_pii_long_text():
+    """A hundred thousand addresses in one text take seconds."""
+    import time
+
+    text = "mail me at a@b.co or " * 100_000
+    start = time.perf_counter()
+    spans = pii.base_spans(text)
+    assert len(spans) == 100_000 and sum(1 for _ in pii.outside(text, spans)) == 400_000 and time.perf_counter() - start < 20
+
+
 # sorted-string tables
 
 
