@@ -25,7 +25,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +91,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _hash(x: str) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))).astype(np.int64))
+    h = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def outside(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
@@ -103,9 +107,25 @@ def outside(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int,
             yield x, y
 
 
+def places(text: str, words: list[str], spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, word) of the words wherever they stand whole in the text and no span overlaps them, in order."""
+    ends = list(accumulate((b for _, b, _ in spans), max))
+    starts, out = [a for a, _, _ in spans], []
+    for w in words:
+        x = text.find(w)
+        while x >= 0:
+            y = x + len(w)
+            if not (x and (text[x - 1].isalnum() or text[x - 1] == "_")) and not (y < len(text) and (text[y].isalnum() or text[y] == "_")):
+                before = bisect_left(starts, y)
+                if not before or ends[before - 1] <= x:
+                    out.append((x, y, w))
+            x = text.find(w, y)
+    return sorted(out)
+
+
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(entities, terms) of each text with entities, and (terms, counts) of the documents that have a term, summed as far as a worker's memory goes."""
-    held: dict[str, int] = {}
+    held: Counter[str] = Counter()
     names, kind = ["entities", "terms", "counts"], pa.list_(pa.int64())
 
     def out() -> pa.RecordBatch:
@@ -118,8 +138,7 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(0).to_pylist():
             if not t:
                 continue
-            for w in {w.lower() for w in set(WORD.findall(t))}:
-                held[w] = held.get(w, 0) + 1
+            held.update({w.lower() for w in set(WORD.findall(t))})
             if spans := base_spans(t):
                 rows.append(([*{_hash(f"{kind}:{t[x:y].lower()}") for x, y, kind in spans}], [*map(_hash, {t[x:y].lower() for x, y in outside(t, spans)})], None))
             if len(held) >= HELD:
@@ -130,20 +149,25 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-BASE = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, found array<struct<term:bigint,start:int,stop:int>>, text string, text_sha256 string"
-_FOUND = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+BASE = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, found array<struct<term:bigint,start:int,stop:int,shape:string>>"
+_FOUND = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("shape", pa.string())]))
+
 
+def shape(word: str) -> str:
+    """What a term is generalised to."""
+    return "number" if word.isdigit() else "name" if word[:1].isupper() else "word"
 
-def _marker(bits, texts: bool):
-    """Base spans of each row, and the words outside them that may be terms to mark. texts: with the text where it may change, and else its digest."""
+
+def _marker(bits):
+    """Base spans of each row, and the words outside them that may be terms to mark."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "found", "text", "text_sha256"]
-        types = [pa.int64()] * 6 + [pa.string()] * 2 + [_FOUND] + [pa.string()] * 2
+        names = ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "found"]
+        types = [pa.int64()] * 6 + [pa.string()] * 2 + [_FOUND]
         table, known, marked = bits.value, set(), {}
 
-        def some(words: set[str]) -> bool:
-            """Whether any of the words may be marked."""
+        def may_be(words: set[str]) -> list[str]:
+            """Those of the words that may be marked."""
             if new := words - known:
                 if len(known) > HELD:
                     known.clear()
@@ -154,7 +178,7 @@ def _marker(bits, texts: bool):
                     if int(table[h % BITS >> 6]) >> (h % 64) & 1:
                         marked[w] = h
                 known.update(new)
-            return not marked.keys().isdisjoint(words)
+            return list(marked.keys() & words) if len(marked) < len(words) else [w for w in words if w in marked]
 
         for b in batches:
             rows = []
@@ -163,15 +187,17 @@ def _marker(bits, texts: bool):
                 spans = base_spans(t)
                 joined = ",".join(f"{k}:{a}:{e}" for a, e, k in spans)
                 kinds = [k for _, _, k in spans]
-                found = [{"term": h, "start": x, "stop": y} for x, y in outside(t, spans) if (h := marked.get(t[x:y])) is not None] if some(set(WORD.findall(t))) else []
-                own = (None, None) if not texts else (t, None) if found or spans else (None, hashlib.sha256(t.encode("utf-8", "replace")).hexdigest())
-                rows.append((u, i, *(kinds.count(k) for k in KINDS), hashlib.sha256(joined.encode()).hexdigest(), joined, found, *own))
+                found = [{"term": marked[w], "start": x, "stop": y, "shape": shape(w)} for x, y, w in places(t, may_be(set(WORD.findall(t))), spans)]
+                rows.append((u, i, *(kinds.count(k) for k in KINDS), hashlib.sha256(joined.encode()).hexdigest() if spans else _NOTHING, joined, found))
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return mark
 
 
+_NOTHING = hashlib.sha256(b"").hexdigest()
+
+
 def telling(docs: DataFrame, text: str = "text", discloses: float = DISCLOSES) -> DataFrame:
     """(term, share) of the terms that tell `discloses` of an entity or more: the most that they tell of any. Written."""
     common.tune(docs.sparkSession)
@@ -215,76 +241,73 @@ def _bits(told: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _spans(docs: DataFrame, text: str, doc_id: str, discloses: float, reveals: float, texts: bool) -> DataFrame:
+def found(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", discloses: float = DISCLOSES, reveals: float = REVEALS) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, `shares` (of the added spans, in their order), n_generalised and n_removed, and `replaced`: the spans with what each is replaced by, nothing if it is removed."""
     told = telling(docs, text, discloses)
     bits = docs.sparkSession.sparkContext.broadcast(_bits(told))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = common.written(rows.mapInArrow(_marker(bits, texts), BASE), "pii-marked")
+    rows = common.written(rows.mapInArrow(_marker(bits), BASE), "pii-marked")
     some = F.size("found") > 0
     words = rows.filter(some).select("uid", F.inline("found"))
-    told = common.written(told.join(words.groupBy("term").agg(F.count("*").alias("n")), "term"), "pii-told")
-    met = common.join_hot(words, told, "term", "n", "start").filter("share is not null")
-    added = met.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "share"))).alias("added"))
-    rows = rows.withColumn("some", some).drop("found")
+    met = common.join_hot(words, common.written(told.join(words.groupBy("term").agg(F.count("*").alias("n")), "term"), "pii-told"), "term", "n", "start").filter("share is not null")
+    added = met.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "share", "shape"))).alias("added"))
     # Rows without a candidate are done; only the others meet their terms.
-    rest = rows.filter("not some").withColumn("added", F.lit(None).cast("array<struct<start:int,stop:int,share:double>>"))
-    rows = rest.unionByName(rows.filter("some").join(added, "uid", "left"))
-    return rows.drop("some").mapInArrow(_joined(reveals), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, shares array<double>, text string, text_sha256 string, n_generalised long, n_removed long")
-
-
-def found(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", discloses: float = DISCLOSES) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and `shares` (of the added spans, in their order) of each row."""
-    return _spans(docs, text, doc_id, discloses, REVEALS, False).drop("text", "text_sha256", "n_generalised", "n_removed")
-
-
-def reported(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", discloses: float = DISCLOSES, reveals: float = REVEALS) -> DataFrame:
-    """`found`, with how many terms are generalised and removed, and the sha256 of the sanitised text."""
-    return _spans(docs, text, doc_id, discloses, reveals, True).drop("text", "shares").withColumnRenamed("text_sha256", "sanitised_sha256")
+    rest = rows.filter(~some).drop("found").withColumn("added", F.lit(None).cast("array<struct<start:int,stop:int,share:double,shape:string>>"))
+    rows = rest.unionByName(rows.filter(some).drop("found").join(added, "uid", "left"))
+    return rows.mapInArrow(_joined(reveals), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, shares array<double>, n_generalised long, n_removed long, replaced string")
 
 
 def _joined(reveals: float):
     order = {k: n for n, k in enumerate((*KINDS, "term"))}
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
+        keep, more = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"], ["spans", "shares", "n_generalised", "n_removed", "replaced"]
+        kinds = [pa.string(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.string()]
         for b in batches:
-            spans, shares, texts, digests, counts = [], [], [], [], []
-            for base, added, t, digest in zip(*(b.column(c).to_pylist() for c in ("base", "added", "text", "text_sha256")), strict=True):
-                own = base
-                if added:
-                    parts = [x.split(":") for x in base.split(",") if x] + [("term", x["start"], x["stop"]) for x in added]
-                    own = ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(parts, key=lambda p: (int(p[1]), order[p[0]], int(p[2]))))
-                share = [x["share"] for x in added or ()]
-                clean = None if t is None else sanitised_text(t, own, share, reveals)
-                gone = sum(x >= reveals for x in share)
-                spans.append(own)
-                shares.append(share)
-                texts.append(clean)
-                digests.append(digest if clean is None else hashlib.sha256(clean.encode("utf-8", "replace")).hexdigest())
-                counts.append((len(share) - gone, gone))
-            more = [pa.array(spans, pa.string()), pa.array(shares, pa.list_(pa.float64())), pa.array(texts, pa.string()), pa.array(digests, pa.string()), *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *more], [*keep, "spans", "shares", "text", "text_sha256", "n_generalised", "n_removed"])
+            rows = []
+            for base, added in zip(b.column("base").to_pylist(), b.column("added").to_pylist(), strict=True):
+                if not added:
+                    rows.append((base, [], 0, 0, base))
+                    continue
+                parts = [(int(a), order[k], int(e), k, k) for k, a, e in (x.split(":") for x in base.split(",") if x)]
+                parts += [(x["start"], order["term"], x["stop"], "term", x["shape"] if x["share"] < reveals else "") for x in added]
+                parts.sort()
+                gone = sum(x["share"] >= reveals for x in added)
+                rows.append((",".join(f"{k}:{a}:{e}" for a, _, e, k, _ in parts), [x["share"] for x in added], len(added) - gone, gone, ",".join(f"{r}:{a}:{e}" for a, _, e, _, r in parts)))
+            cols = list(zip(*rows, strict=True)) or [()] * len(more)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [*keep, *more])
 
     return join
 
 
-def sanitised_text(text: str, spans: str, shares: list[float], reveals: float = REVEALS) -> str:
-    """The text with base spans named by kind, disclosing terms generalised to their shape, revealing ones removed."""
-    out, at, nth = [], 0, 0
-    for kind, a, b in (x.split(":") for x in spans.split(",") if x):
+def replaced_text(text: str, replaced: str) -> str:
+    """The text with each span replaced as told; a span within what is replaced already goes."""
+    out, at = [], 0
+    for put, a, b in (x.split(":") for x in replaced.split(",") if x):
         a, b = int(a), int(b)
-        share, nth = (shares[nth], nth + 1) if kind == "term" else (0.0, nth)
         if b <= at:
             continue
-        word = text[a:b]
-        put = f"[{kind}]" if kind != "term" else "" if share >= reveals else "[number]" if word.isdigit() else "[name]" if word[:1].isupper() else "[word]"
-        out += [text[at : max(a, at)], put]
+        out += [text[at : max(a, at)], f"[{put}]" if put else ""]
         at = b
     return "".join(out) + text[at:]
 
 
+def sanitised_text(text: str, spans: str, shares: list[float], reveals: float = REVEALS) -> str:
+    """The text with base spans named by kind, disclosing terms generalised to their shape, revealing ones removed."""
+    share, parts = iter(shares), [x.split(":") for x in spans.split(",") if x]
+    told = [((shape(text[int(a) : int(b)]) if next(share) < reveals else "") if k == "term" else k, a, b) for k, a, b in parts]
+    return replaced_text(text, ",".join(map(":".join, told)))
+
+
 def sanitised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", discloses: float = DISCLOSES, reveals: float = REVEALS) -> DataFrame:
     """doc_id, text (sanitised) and spans of each row. Rows are told apart by themselves, whatever their doc_ids."""
     held = common.written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row")), "pii-rows")
-    spans = _spans(held, "text", "row", discloses, reveals, True).select(F.col("doc_id").alias("row"), "spans", F.col("text").alias("_clean")).filter("spans <> ''")
-    return held.join(common.written(spans, "pii-clean"), "row", "left").select("doc_id", F.coalesce("_clean", "text").alias("text"), F.coalesce("spans", F.lit("")).alias("spans"))
+    spans = found(held, "text", "row", discloses, reveals).filter("spans <> ''").select(F.col("doc_id").alias("row"), "spans", "replaced")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [replaced_text(t, r or "") for t, r in zip(b.column("text").to_pylist(), b.column("replaced").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("spans")], ["doc_id", "text", "spans"])
+
+    met = held.join(common.written(spans, "pii-spans"), "row", "left").select("doc_id", "text", F.coalesce("spans", F.lit("")).alias("spans"), "replaced")
+    return met.mapInArrow(put, "doc_id long, text string, spans string")

@@ -274,17 +274,28 @@ def test_pii_telling(spark, everywhere):
 
 
 def test_pii_sanitised_rows(spark):
-    """Rows with one doc_id are sanitised each by itself, and the reported digests are those of the sanitised texts."""
-    usual = [(i, f"the usual words go here and there {i % 7}") for i in range(60)]
+    """Rows with one doc_id are sanitised each by itself, and as the reported replacements say."""
+    usual = [(100 + i, f"the usual words go here and there {i % 7}") for i in range(60)]
     rows = [(1, "write a@b.co now"), (1, "hello wide world"), (None, "zorblax at a@b.co"), (None, None), (2, "zorblax again"), *usual]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, spans string, row int")
     clean = Counter((r.doc_id, r.text) for r in pii.sanitised(docs).collect())
     assert sum(clean.values()) == len(rows) and clean[(1, "hello wide world")] == 1 and clean[(None, "")] == 1 and all(clean[r] for r in usual)
     assert any(i == 1 and "[email]" in t for i, t in clean)
-    got = Counter((r.doc_id, r.sanitised_sha256) for r in pii.reported(docs).collect())
-    assert got == Counter({(i, hashlib.sha256(t.encode()).hexdigest()): n for (i, t), n in clean.items()})
-    report = {r.spans: r for r in pii.reported(docs).collect()}
-    assert all(r.n_generalised + r.n_removed == s.count("term:") for s, r in report.items())
+    own = {(r.doc_id, r.base_sha256, r.spans): r for r in pii.found(docs).collect()}
+    assert all(r.n_generalised + r.n_removed == r.spans.count("term:") for r in own.values())
+    texts = Counter((r.doc_id, pii.replaced_text(t, r.replaced)) for r in pii.found(docs).collect() for i, t in rows if i == r.doc_id and t and i is not None and i != 1)
+    assert all(clean[x] for x in texts)
+
+
+def test_pii_places():
+    """Words by search, against going through all of them."""
+    rng = np.random.default_rng(4)
+    words = ["ab", "a", "a_b", "ba", "é", "x9", "aa"]
+    for _ in range(500):
+        text = "".join(str(x) for x in rng.choice([*words, " ", " ", "-", "a", "\u0307", "_"], 14))
+        spans = sorted((int(a), int(a) + int(n), "ip") for a, n in zip(rng.integers(0, len(text) + 1, 2), rng.integers(1, 4, 2), strict=True))
+        some = set(words[:4])
+        assert pii.places(text, [*some], spans) == [(x, y, text[x:y]) for x, y in pii.outside(text, spans) if text[x:y] in some], text
 
 
 def test_pii_long_text():
@@ -294,7 +305,8 @@ def test_pii_long_text():
     text = "mail me at a@b.co or " * 100_000
     start = time.perf_counter()
     spans = pii.base_spans(text)
-    assert len(spans) == 100_000 and sum(1 for _ in pii.outside(text, spans)) == 400_000 and time.perf_counter() - start < 20
+    assert len(spans) == 100_000 and sum(1 for _ in pii.outside(text, spans)) == 400_000
+    assert len(pii.places(text, ["mail", "or", "b", "nothing"], spans)) == 200_000 and time.perf_counter() - start < 20
 
 
 # sorted-string tables
