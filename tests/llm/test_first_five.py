@@ -201,6 +201,24 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 150), 100), 200: 200, 201: 200}
 
 
+def test_components_unsettled(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settle"):
+        connected(path, rounds=1)
+    assert {r.root for r in connected(path).collect()} == {0}
+
+
+def test_overlaps():
+    """Frequent and rare tokens, and those of one side only."""
+    rng = np.random.default_rng(7)
+    for n, m, width in ((5, 9, 40), (40, 30, 20), (3, 2, 5), (60, 60, 4000)):
+        own, others = ([np.unique(rng.integers(0, width, int(rng.integers(1, 30)))).astype("u8") for _ in range(c)] for c in (n, m))
+        assert np.array_equal(jaccard_join._overlaps(own, others), [[len(np.intersect1d(a, b)) for b in others] for a in own])
+        same = jaccard_join._overlaps(own)
+        want = np.array([[len(np.intersect1d(a, b)) for b in own] for a in own])
+        assert np.array_equal(same[~np.eye(n, dtype=bool)], want[~np.eye(n, dtype=bool)])
+
+
 # mixing
 
 
