@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 import time
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from netquarry import schemas
-from netquarry.operators import chat, models
-from netquarry.plans import jobs
-from netquarry.session import session
-from netquarry.sources import readers, sinks
+from netquarry.operators import chat, labels, models, monitor, quality
+from netquarry.operators import evaluate as measures
+from netquarry.plans import jobs, two_stage
+from netquarry.session import session, write_text
+from netquarry.sources import paged, readers, remote, sinks
 
 
 def _countries(spark, path):
@@ -83,12 +86,117 @@ def benchmark(a, spark) -> int:
     return 0
 
 
+def _table(spark, path):
+    return spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+
+
+def _classified(a, spark, who):
+    """Both stages over the entities, by the score tables of the votes (name=path,...) and the answers of the second stage."""
+    votes = {name: _table(spark, path) for name, path in (x.split("=", 1) for x in a.votes.split(","))}
+    own = [c for c in schemas.TOP if any(c in v.columns for v in votes.values())]
+    votes = {m: labels.ensured(v, own) for m, v in votes.items()}
+    subs = _table(spark, a.subs) if a.subs else spark.createDataFrame([], "asn long, category string, subcategory string, confidence double")
+    weights = {m: models.VOTE.get(m, 1.0) for m in votes}
+    return two_stage.classify(who, votes, own, subs, schemas.categories(spark, extra=True), weights=weights)
+
+
+def classify_single(a, spark) -> int:
+    """Both stages for one entity, as JSON or text."""
+    start = time.perf_counter()
+    who = spark.createDataFrame([(a.asn, a.organization)], "asn long, organization_name string")
+    r = _classified(a, spark, who).first().asDict(recursive=True)
+    if a.timing:
+        r["processing_time"] = time.perf_counter() - start
+    if a.format == "json":
+        print(json.dumps(r, indent=2))
+    else:
+        print("\n".join([f"{r['asn']} {r['organization_name']}: {r['overall_confidence']:.4f}", *(f"  {s['category']} {s['confidence']:.4f}" for s in r["stage1"]), *(f"    {s['category']}:{s['subcategory']} {s['confidence']:.4f}" for s in r["stage2"])]))
+    return 0
+
+
+def classify_batch(a, spark) -> int:
+    """Both stages for a file of entities, saved flat, with a summary."""
+    who = readers.read_entities(spark, a.input).select("asn", F.col("name").alias("organization_name"))
+    out = _classified(a, spark, who).persist()
+    sinks.write_as(sinks.flat_predictions(out), a.output, [a.format])
+    one = two_stage.batch_summary(out).first()
+    print(f"{one['rows']} rows, mean confidence {one['mean_confidence'] or 0.0:.4f}")
+    out.unpersist()
+    return 0
+
+
+def evaluate_stages(a, spark) -> int:
+    """Two-stage predictions against long labels, as a report."""
+    def staged(path):
+        rows = _table(spark, path)
+        pair = F.struct(F.col("category").alias("cat"), F.col("subcategory").alias("sub"))
+        return rows.groupBy("asn").agg(F.sort_array(F.collect_set("category")).alias("cats"), F.sort_array(F.collect_set(F.when(F.col("subcategory").isNotNull(), pair))).alias("subs"))
+
+    met = measures.met_stages(staged(a.predictions), staged(a.labels), "asn").persist()
+    names = [c for c in schemas.TOP if not met.filter(F.array_contains("t_cats", c) | F.array_contains("p_cats", c)).isEmpty()]
+    stage1 = measures.rates(measures.confusion(measures.stage1_pairs(met, "asn", names), names))
+    text = sinks.performance_report(stage1, measures.stage2_by_category(met, "asn"), measures.system_match(met), measures.errors_top(met))
+    print(text, end="")
+    if a.output:
+        write_text(spark, a.output, text)
+    met.unpersist()
+    return 0
+
+
+def benchmark_stages(a, spark) -> int:
+    """Seconds and rows a second of both stages at several sizes."""
+    who = readers.read_entities(spark, a.input).select("asn", F.col("name").alias("organization_name"))
+    for n in a.sizes:
+        start = time.perf_counter()
+        _classified(a, spark, who.limit(n)).write.format("noop").mode("overwrite").save()
+        took = time.perf_counter() - start
+        print(f"{n} rows: {took:.2f} s, {n / took:.0f} a second")
+    return 0
+
+
+def monitor_performance(a, spark) -> int:
+    """Summary and advice of a table of calls (id, component, success, seconds, mb)."""
+    calls = _table(spark, a.calls)
+    summary = monitor.component_summary(calls, a.recent or None).persist()
+    for r in summary.orderBy("component").collect():
+        print(f"{r['component']}: {r['calls']} calls, {r['success_rate']:.1%}, {r['mean_s']:.3f} s")
+    print("\n".join(monitor.advice(summary)))
+    return 0
+
+
+def download(a, spark) -> int:
+    """A remote source, as a Parquet table or the file as it comes."""
+    if a.source == "asrank":
+        remote.ranking(spark, a.url).write.mode("overwrite").parquet(a.output)
+    else:
+        day, text = remote.dated(a.url, date.fromisoformat(a.date) if a.date else date.today(), today=date.today())
+        remote.saved(spark, a.output, text)
+        print(day)
+    return 0
+
+
+def download_info(a, spark) -> int:
+    """A record for each key of a file, as JSON lines, and how many succeeded."""
+    got = remote.info(readers.read_entities(spark, a.input).select("asn"), "asn", a.url, concurrency=a.concurrency).persist()
+    sinks.write_lines(got.filter("error is null").select(F.concat(F.lit('{"key":"'), "asn", F.lit('","record":'), "body", F.lit("}")).alias("value")), a.output)
+    print(paged.batch_metadata(got).first().asDict())
+    return 0
+
+
+def validate(a, spark) -> int:
+    """Quality reports of the sources of a folder."""
+    found = jobs.newest_sources(spark, a.input)
+    reports = [jobs.report_of(name, df, _countries(spark, a.registry)) for name, df in found.items()]
+    print(quality.report_text(reports), end="")
+    return int(not all(r.first()["passed"] for r in reports))
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="netquarry", description=__doc__)
     sub = p.add_subparsers(required=True)
 
     def command(f, *args: str, **options):
-        c = sub.add_parser(f.__name__, help=f.__doc__)
+        c = sub.add_parser(f.__name__.replace("_", "-"), help=f.__doc__)
         for x in args:
             c.add_argument(f"--{x}", required=True)
         for k, v in options.items():
@@ -102,6 +210,15 @@ def parser() -> argparse.ArgumentParser:
     command(train, "labels", "features", "output", c={"type": float, "default": 1.0})
     command(predict, "model", "features", "output", format={"default": "csv", "choices": ["csv", "json", "parquet"]})
     command(benchmark, "model", "features", sizes={"type": int, "nargs": "+", "default": [100, 1000]})
+    stages = {"subs": {}, "votes": {"required": True, "help": "name=path,name=path"}}
+    command(classify_single, asn={"type": int, "required": True}, organization={}, format={"default": "text", "choices": ["text", "json"]}, timing={"action": "store_true"}, **stages)
+    command(classify_batch, "input", "output", format={"default": "csv", "choices": ["csv", "json", "parquet"]}, **stages)
+    command(evaluate_stages, "predictions", "labels", output={})
+    command(benchmark_stages, "input", sizes={"type": int, "nargs": "+", "default": [100, 1000]}, **stages)
+    command(monitor_performance, "calls", recent={"type": int, "default": 0})
+    command(download, "url", "output", source={"required": True, "choices": ["asrank", "peeringdb", "aspop"]}, date={})
+    command(download_info, "input", "url", "output", concurrency={"type": int, "default": 5})
+    command(validate, "input", registry={})
     return p
 
 

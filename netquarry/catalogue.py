@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from netquarry.plans import queries_a, queries_b, queries_c
+from netquarry.plans import queries_a, queries_b, queries_c, queries_d
 
 FLAGSHIP = "eval_label_metrics"
-QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES, **queries_c.QUERIES}
-ORACLE = {**queries_a.ORACLE, **queries_b.ORACLE, **queries_c.ORACLE}
+QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES, **queries_c.QUERIES, **queries_d.QUERIES}
+ORACLE = {**queries_a.ORACLE, **queries_b.ORACLE, **queries_c.ORACLE, **queries_d.ORACLE}

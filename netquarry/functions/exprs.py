@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 MAX_KEY = 4_294_967_295
 REGISTRIES = ("AFRINIC", "APNIC", "ARIN", "LACNIC", "RIPE NCC")
 URL = r"(?i)^https?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.?|localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/?|[/?]\S+)$"
-DOMAIN = r"^(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,6}$"
+DOMAIN = r"(?i)^(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.?$"
 
 
 def stripped(c: Column) -> Column:

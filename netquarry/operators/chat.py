@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,28 +109,55 @@ def parsed(df: DataFrame, key: str, keys: str, response: str, tags: list[str]) -
     return rows.select(key, own.alias("own")).select(key, *[F.array_contains("own", t).cast("int").alias(t) for t in tags])
 
 
-def responses(prompts: DataFrame, model: Callable[[list[str]], list[str]], tries: int = TRIES, wait: Callable[[int], float] = lambda n: 2.0 * 2**n, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """The prompts with `response` and `error`: failures are tried again after waiting, then become data."""
+def responses(prompts: DataFrame, model: Callable[[list[str]], list[str]], tries: int = TRIES, wait: Callable[[int], float] = lambda n: 2.0 * 2**n, sleep: Callable[[float], None] = time.sleep, concurrency: int = 5, delay: float = 0.0) -> DataFrame:
+    """The prompts with `response` and `error`: failures are tried again after waiting, then become data.
 
-    def ask(prompt: str) -> tuple[str | None, str | None]:
-        for n in range(tries):
-            try:
-                return model([prompt])[0], None
-            except Exception as e:  # any failure of a remote model is its row's
-                error = f"{type(e).__name__}: {e}"
-                if n + 1 < tries:
-                    sleep(wait(n))
-        return None, error
+    A task sends up to `concurrency` requests at once, and begins them `delay` seconds apart at least.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [ask(p) for p in b["prompt"]]
-            yield b.assign(response=pd.Series([g[0] for g in got], index=b.index, dtype=object), error=pd.Series([g[1] for g in got], index=b.index, dtype=object))
+        gate, due = Lock(), [0.0]
+
+        def begin() -> None:
+            with gate:
+                now = time.monotonic()
+                at = max(now, due[0])
+                due[0] = at + delay
+            if at > now:
+                sleep(at - now)
+
+        def ask(prompt: str) -> tuple[str | None, str | None]:
+            for n in range(tries):
+                try:
+                    begin()
+                    return model([prompt])[0], None
+                except Exception as e:  # any failure of a remote model is its row's
+                    error = f"{type(e).__name__}: {e}"
+                    if n + 1 < tries:
+                        sleep(wait(n))
+            return None, error
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for b in batches:
+                got = list(pool.map(ask, b["prompt"]))
+                yield b.assign(response=pd.Series([g[0] for g in got], index=b.index, dtype=object), error=pd.Series([g[1] for g in got], index=b.index, dtype=object))
 
     schema = StructType([*prompts.schema.fields, StructField("response", StringType()), StructField("error", StringType())])
     return prompts.mapInPandas(run, schema)
 
 
+def responses_saved(prompts: DataFrame, model: Callable[[list[str]], list[str]], path: str, key: str, rounds: int = 8, **options) -> DataFrame:
+    """`responses`, saved below `path` round by round; a job that is started again asks only for the keys that have no answer there yet."""
+    spark = prompts.sparkSession
+    schema = StructType([*prompts.schema.fields, StructField("response", StringType()), StructField("error", StringType())])
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    for k in range(rounds):
+        mine = prompts.filter(F.pmod(F.xxhash64(key), F.lit(rounds)) == k)
+        done = spark.read.schema(schema).parquet(path).filter("error is null").select(key)
+        responses(mine.join(done, key, "left_anti"), model, **options).filter("error is null").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def keyword_model(words: dict[str, tuple[str, ...]]) -> Callable[[list[str]], list[str]]:
     """Tags each line of a prompt by the words in it."""
 
@@ -142,19 +171,25 @@ def keyword_model(words: dict[str, tuple[str, ...]]) -> Callable[[list[str]], li
     return answer
 
 
-def token_probabilities(df: DataFrame, key: str, tokens: str, tags: list[str]) -> DataFrame:
+def _tags(tags: list[str] | str) -> Column:
+    """Tags of all rows, or the name of a column of each row's own."""
+    return F.col(tags) if isinstance(tags, str) else F.array(*map(F.lit, tags))
+
+
+def token_probabilities(df: DataFrame, key: str, tokens: str, tags: list[str] | str) -> DataFrame:
     """(key, tag, probability): the greatest probability of a token that holds the tag, in any case. tokens: array of structs (token, logprob)."""
-    rows = df.select(key, F.explode(tokens).alias("t"), F.explode(F.array(*map(F.lit, tags))).alias("tag"))
-    return rows.filter(F.contains(F.lower("t.token"), F.lower("tag"))).groupBy(key, "tag").agg(F.max(F.exp("t.logprob")).alias("probability"))
+    best = lambda tag: F.array_max(F.transform(F.filter(tokens, lambda t: F.contains(F.lower(t["token"]), F.lower(tag))), lambda t: F.exp(t["logprob"])))
+    rows = df.select(key, F.inline(F.transform(F.array_distinct(_tags(tags)), lambda tag: F.struct(tag.alias("tag"), best(tag).alias("probability")))))
+    return rows.filter("probability is not null")
 
 
-def start_probabilities(df: DataFrame, key: str, tokens: str, tags: list[str]) -> DataFrame:
+def start_probabilities(df: DataFrame, key: str, tokens: str, tags: list[str] | str) -> DataFrame:
     """(key, tag, at, probability): of the token in which a tag's text starts, for each place in the joined tokens."""
     text = F.array_join(F.transform(tokens, lambda t: t["token"]), "")
-    lengths = F.transform(tokens, lambda t: F.length(t["token"]))
-    rows = df.select(key, F.col(tokens).alias("t"), text.alias("text"), lengths.alias("n"), F.explode(F.array(*map(F.lit, tags))).alias("tag"))
-    starts = F.transform(F.sequence(F.lit(1), F.size("n")), lambda i: F.aggregate(F.slice("n", 1, i.cast("int") - 1), F.lit(0), lambda a, x: a + x))
-    rows = rows.filter(F.size("t") > 0).withColumn("starts", starts).withColumn("at", F.explode(F.filter(F.sequence(F.lit(0), F.length("text")), lambda i: F.substr(F.col("text"), i + 1, F.length("tag")) == F.col("tag"))))
+    rows = df.select(key, F.col(tokens).alias("t"), text.alias("text"), F.explode(F.array_distinct(_tags(tags))).alias("tag")).filter(F.contains("text", F.col("tag")))
+    # What stands before each token, only for rows with a tag, in one pass over the tokens.
+    ends = F.aggregate("t", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x["token"]))))
+    rows = rows.withColumn("starts", F.slice(ends, 1, F.size("t"))).withColumn("at", F.explode(F.filter(F.sequence(F.lit(0), F.length("text")), lambda i: F.substr(F.col("text"), i + 1, F.length("tag")) == F.col("tag"))))
     token = F.size(F.filter("starts", lambda s: s <= F.col("at"))) - 1
     return rows.select(key, "tag", F.col("at").cast("int").alias("at"), F.exp(F.get("t", token)["logprob"]).alias("probability"))
 

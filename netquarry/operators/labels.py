@@ -181,3 +181,26 @@ def statistics(df: DataFrame, key: str) -> DataFrame:
     q = F.percentile("n", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     one = per.agg(F.sum("n").alias("records"), F.count("*").alias("keys"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("least"), q.alias("q"), F.max("n").alias("greatest"))
     return one.select("records", "keys", "mean", "std", "least", *[F.col("q")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))], "greatest")
+
+
+def categories_of(long: DataFrame, key: str, value: int) -> DataFrame:
+    """(category, subcategory) of one key, in order."""
+    return long.filter(F.col(key) == value).select("category", "subcategory").distinct().orderBy("category", F.col("subcategory").asc_nulls_first())
+
+
+def of_categories(long: DataFrame, wanted: list[str]) -> DataFrame:
+    """The rows of the categories asked for."""
+    return long.filter(F.col("category").isin(*wanted))
+
+
+def specialised(df: DataFrame, key: str, parent: str) -> DataFrame:
+    """Label columns of the subcategories of one category, for the keys that have it."""
+    own = [c for c, p in schemas.parents().items() if p == parent and c in df.columns]
+    if not own:
+        raise ValueError(f"no label column of {parent}")
+    return df.select(key, *own).filter(F.greatest(*[F.coalesce(F.col(c), F.lit(0)) for c in own], F.lit(0)) > 0)
+
+
+def common_columns(one: DataFrame, other: DataFrame, wanted: list[str]) -> list[str]:
+    """Those of the columns asked for that both have, in that order."""
+    return [c for c in wanted if c in one.columns and c in other.columns]

@@ -10,13 +10,12 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.functions import exprs as X
@@ -93,19 +92,20 @@ class LabelModels:
         return out.select(self.key, *[F.col(f"_s{k}").alias(y) for k, y in enumerate(self.models)])
 
     def save(self, path: str) -> None:
+        """Below a folder of any file system that Spark writes to."""
+        spark = SparkSession.getActiveSession()
         spec = {"key": self.key, "columns": self.columns, "labels": self.labels, "c": self.c, "gamma": self.gamma, "size": self.size, "constant": {y: m for y, m in self.models.items() if isinstance(m, float)}}
-        Path(path).mkdir(parents=True, exist_ok=True)
-        (Path(path) / "model.json").write_text(json.dumps(spec))
+        spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
         for k, (_, m) in enumerate(self.models.items()):
             if not isinstance(m, float):
-                m.write().overwrite().save(f"file://{Path(path).absolute()}/{k}")
+                m.write().overwrite().save(f"{path}/{k}")
 
     @classmethod
     def load(cls, path: str) -> LabelModels:
-        spec = json.loads((Path(path) / "model.json").read_text())
+        spec = json.loads(SparkSession.getActiveSession().read.text(f"{path}/spec").first()["value"])
         constant = spec.pop("constant")
         own = cls(**spec)
-        own.models = {y: constant[y] if y in constant else LogisticRegressionModel.load(f"file://{Path(path).absolute()}/{k}") for k, y in enumerate(own.labels)}
+        own.models = {y: constant[y] if y in constant else LogisticRegressionModel.load(f"{path}/{k}") for k, y in enumerate(own.labels)}
         return own
 
 
@@ -127,17 +127,14 @@ def combined(frames: list[DataFrame], key: str, keys: DataFrame) -> DataFrame:
 
 
 def vote(frames: dict[str, DataFrame], key: str, labels: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """The weighted mean of the models that there are; their weights are normalised."""
+    """The weighted mean of the models that there are, for the keys of any of them; their weights are normalised, a key that a model lacks has 0 from it."""
     weights = weights or VOTE
     used = {m: f for m, f in frames.items() if f is not None}
     if not used:
         raise ValueError("no model to vote")
     total = sum(weights[m] for m in used)
-    first = next(iter(used))
-    out = used[first].select(key, *[F.col(c).alias(f"{first}_{c}") for c in labels])
-    for m, f in used.items():
-        if m != first:
-            out = out.join(f.select(F.col(key).alias("_key"), *[F.col(c).alias(f"{m}_{c}") for c in labels]), F.col(key) == F.col("_key"), "left").drop("_key")
+    each = [f.select(key, *[F.col(c).alias(f"{m}_{c}") for c in labels]) for m, f in used.items()]
+    out = reduce(lambda a, b: a.join(b, key, "full"), each)
     return out.select(key, *[(sum((F.lit(weights[m] / total) * X.nz(F.col(f"{m}_{c}")) for m in used), F.lit(0.0))).alias(c) for c in labels])
 
 
@@ -176,7 +173,8 @@ def stacked(df: DataFrame, key: str, labels: list[str], bases: dict[str, Callabl
         for k in range(folds):
             train, test = with_fold.filter(F.col("fold") != k), with_fold.filter(F.col("fold") == k)
             parts.append(_scores({m: make(train).predict(test) for m, make in bases.items()}, key, labels))
-        oof = reduce(DataFrame.unionByName, parts).join(df.select(F.col(key).alias("_key"), *labels), F.col(key) == F.col("_key")).drop("_key").persist()
+        oof = reduce(DataFrame.unionByName, parts).join(df.select(F.col(key).alias("_key"), *labels), F.col(key) == F.col("_key")).drop("_key")
+        oof.persist()  # released with what it is read from
         names = {y: [f"{m}__{y}" for m in bases] for y in labels}
         metas = {y: LabelModelsLinear(key, names[y], y).fit(oof) for y in labels}
         full = {m: make(df) for m, make in bases.items()}
@@ -220,30 +218,50 @@ class LabelModelsLinear:
         return dict(zip(self.columns, map(abs, self.model.coefficients.toArray().tolist()), strict=True))
 
 
-def searched(df: DataFrame, key: str, label: str, columns: list[str], grid: list[dict], folds: int = 3) -> tuple[dict, list[tuple[dict, float]]]:
-    """(best, all with their mean F1): parameters of LabelModels, by folds of the key."""
+def micro_jaccard(pairs: DataFrame, labels: list[str]) -> float:
+    """Of all cells of all labels together; 0 without any positive."""
     from netquarry.operators import evaluate
 
-    rows = df.join(split.group_kfold(df, key, folds), key).persist()
+    c = evaluate.confusion(pairs, labels).agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")]).first()
+    whole = (c["tp"] or 0) + (c["fp"] or 0) + (c["fn"] or 0)
+    return c["tp"] / whole if whole else 0.0
+
+
+def _labels(label: str | list[str]) -> list[str]:
+    return [label] if isinstance(label, str) else list(label)
+
+
+def searched(df: DataFrame, key: str, label: str | list[str], columns: list[str], grid: list[dict], folds: int = 5, make: Callable[..., object] | None = None) -> tuple[dict, list[tuple[dict, float]]]:
+    """(best, all with their mean micro Jaccard): parameters of `make`, which is LabelModels or gives anything with fit and predict, by stratified folds of the key."""
+    from netquarry.operators import evaluate
+
+    own = _labels(label)
+    rows = df.join(split.multilabel_kfold(df, key, own, folds), key).persist()
     scores = []
-    for params in grid:
-        f1 = []
-        for k in range(folds):
-            own = LabelModels(key, columns, [label], **params).fit(rows.filter(F.col("fold") != k)).predict(rows.filter(F.col("fold") == k))
-            met = evaluate.label_metrics(rows, own.select(key, (F.col(label) > THRESHOLD).cast("int").alias(label)), key, [label]).first()
-            f1.append(met["f1"])
-        scores.append((params, float(np.mean(f1))))
-    rows.unpersist()
+    try:
+        for params in grid:
+            met = []
+            for k in range(folds):
+                test = rows.filter(F.col("fold") == k)
+                pred = (make or LabelModels)(key, columns, own, **params).fit(rows.filter(F.col("fold") != k)).predict(test)
+                marks = pred.select(key, *[(F.col(y) > THRESHOLD).cast("int").alias(y) for y in own])
+                met.append(micro_jaccard(evaluate.paired(test, marks, key, own), own))
+            scores.append((params, float(np.mean(met))))
+    finally:
+        rows.unpersist()
     return max(scores, key=lambda s: s[1])[0], scores
 
 
-def nested(df: DataFrame, key: str, label: str, columns: list[str], grid: list[dict], outer: int = 3, inner: int = 3) -> DataFrame:
-    """(key, fold, score) out of fold, with parameters searched within each outer fold's training rows."""
-    rows = df.join(split.group_kfold(df, key, outer), key).persist()
-    parts = []
+def nested(df: DataFrame, key: str, label: str | list[str], columns: list[str], grid: list[dict], outer: int = 3, inner: int = 5, make: Callable[..., object] | None = None) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """(out-of-fold rows, label counts, best parameters): (key, fold, t_ and s_ of each label), (fold, part, label, n), and what was found within each outer fold's training rows."""
+    own = _labels(label)
+    rows = df.join(split.multilabel_kfold(df, key, own, outer), key).persist()
+    parts, found = [], []
     for k in range(outer):
-        train = rows.filter(F.col("fold") != k).drop("fold")
-        best, _ = searched(train, key, label, columns, grid, inner)
-        test = rows.filter(F.col("fold") == k).drop("fold")
-        parts.append(LabelModels(key, columns, [label], **best).fit(train).predict(test).select(key, F.lit(k).alias("fold"), F.col(label).alias("score")))
-    return reduce(DataFrame.unionByName, parts)
+        train, test = rows.filter(F.col("fold") != k).drop("fold"), rows.filter(F.col("fold") == k).drop("fold")
+        best, _ = searched(train, key, own, columns, grid, inner, make)
+        found.append(best)
+        scores = (make or LabelModels)(key, columns, own, **best).fit(train).predict(test).select(F.col(key).alias("_key"), *[F.col(y).alias(f"s_{y}") for y in own])
+        met = test.select(key, *[F.coalesce(F.col(y), F.lit(0)).cast("int").alias(f"t_{y}") for y in own]).join(scores, F.col(key) == F.col("_key"))
+        parts.append(met.select(key, F.lit(k).alias("fold"), *[f"{x}_{y}" for y in own for x in "ts"]))
+    return reduce(DataFrame.unionByName, parts), split.fold_label_counts(rows, own, outer), found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +92,53 @@ def fallback(strategy: str, stage: int) -> list[tuple[str, float]]:
     return [("Enterprise", 0.1 if strategy == "default" else 0.05)]
 
 
+class ErrorLog:
+    """Errors of a driver's steps as rows, kept up to a bound, and steps that go on after an error."""
+
+    SCHEMA = "error_id long, kind string, message string, component string, asn long, recovery_action string"
+
+    def __init__(self, most: int = 10_000):
+        self.most, self.rows, self.seen = most, [], 0
+
+    def add(self, error: BaseException, component: str, asn: int | None = None, action: str = "raised") -> None:
+        self.seen += 1
+        self.rows = [*self.rows[-self.most + 1 :], (self.seen, type(error).__name__, str(error), component, asn, action)]
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The errors, classified."""
+        e = spark.createDataFrame(self.rows, self.SCHEMA)
+        e = e.withColumn("category", category(F.col("message"), F.col("kind")))
+        return e.withColumn("severity", severity(F.col("message"), F.col("category")))
+
+    def export(self, spark: SparkSession, path: str) -> None:
+        """The errors and their summary as JSON lines below a folder."""
+        e = self.frame(spark)
+        e.coalesce(1).write.mode("overwrite").json(f"{path}/errors")
+        error_summary(e).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+    def guarded(self, f: Callable, component: str, fallback: Callable | None = None, tries: int = 1, sleep: Callable[[float], None] = time.sleep) -> Callable:
+        """f, tried again after an error, then replaced by the fallback's result, or its last error raised. A table that it returns is computed, so that its errors show here."""
+
+        def run(*args, **kwargs):
+            for n in range(tries):
+                try:
+                    out = f(*args, **kwargs)
+                    if isinstance(out, DataFrame):
+                        out = out.persist()
+                        out.count()
+                    return out
+                except Exception as e:  # every error is a row
+                    last = n + 1 == tries
+                    self.add(e, component, kwargs.get("asn"), "retry" if not last else "fallback" if fallback else "raised")
+                    if last and fallback is None:
+                        raise
+                    if not last:
+                        sleep(2.0**n)
+            return fallback(*args, **kwargs)
+
+        return run
+
+
 class Monitor:
     """Timings of a driver's steps, kept up to a bound, as rows."""
 

@@ -106,3 +106,16 @@ def accepted_text(lines: DataFrame, column: str = "value") -> DataFrame:
     numbered = lines.withColumn("_header", F.lower(column).rlike("asn") & F.lower(column).rlike("name") & F.lower(column).rlike("cc") & F.lower(column).rlike("rir"))
     one = numbered.agg(F.count("*").alias("lines"), _n(F.col("_header")).alias("headers"), _n(X.stripped(F.col(column)) != "").alias("rows"))
     return one.select("lines", "rows", ((F.col("lines") >= 10) & (F.col("headers") >= 1) & (F.col("rows") - 1 > 100)).alias("accepted"))
+
+
+def completeness(df: DataFrame, fields: list[str]) -> DataFrame:
+    """One row, the share of filled cells of the fields; 0 without rows or fields."""
+    if not fields:
+        return df.agg(F.lit(0.0).alias("completeness"))
+    filled = sum((F.count(c) for c in fields), F.lit(0))
+    return df.agg(X.ratio(filled, F.count("*") * len(fields)).alias("completeness"))
+
+
+def first_violations(df: DataFrame, key: str, bad: Column, n: int = 10) -> DataFrame:
+    """The first n rows, by key, that break a rule."""
+    return df.filter(F.coalesce(bad, F.lit(False))).orderBy(key).limit(n)

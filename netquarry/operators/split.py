@@ -124,6 +124,15 @@ def multilabel_kfold(df: DataFrame, key: str, labels: list[str], k: int, seed: i
     return met.select(key, F.size(F.filter("_ends", lambda e: e < F.col("rank"))).alias("fold"))
 
 
+def fold_label_counts(rows: DataFrame, labels: list[str], k: int, fold: str = "fold") -> DataFrame:
+    """(fold, part, label, n): positives of each label in each fold and in what is left to train on, from one sum by fold."""
+    sums = rows.groupBy(fold).agg(*[F.count_if(F.col(y) > 0).alias(y) for y in labels])
+    each = sums.select(F.col(fold).alias("_own"), F.inline(F.array(*[F.struct(F.lit(y).alias("label"), F.col(y).alias("n")) for y in labels])))
+    both = each.select("_own", "label", "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
+    part = F.when(F.col("_own") == F.col("fold"), "test").otherwise("train")
+    return both.groupBy("fold", part.alias("part"), "label").agg(F.sum("n").alias("n"))
+
+
 def first_fold_split(df: DataFrame, key: str, test: float = 0.3, seed: int = 42) -> DataFrame:
     """(key, split): test is the first of int(1 / test) folds."""
     return group_kfold(df, key, int(1 / test), seed).select(key, F.when(F.col("fold") == 0, "test").otherwise("train").alias("split"))

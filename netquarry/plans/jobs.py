@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from netquarry import schemas
 from netquarry.functions import exprs as X
 from netquarry.operators import chat, evaluate, labels, models, quality, split
+from netquarry.session import write_text
 from netquarry.sources import readers, sinks
 
 #: Where each source's newest file is looked for, below the input folder.
@@ -45,8 +46,7 @@ def process_all(spark: SparkSession, folder: str, out: str, countries: DataFrame
         df.write.mode("overwrite").parquet(f"{out}/{name}.parquet")
         sinks.write_keyed(spark.read.parquet(f"{out}/{name}.parquet"), f"{out}/{name}.jsonl")
         reports[name] = report_of(name, spark.read.parquet(f"{out}/{name}.parquet"), countries)
-    Path(out).mkdir(parents=True, exist_ok=True)
-    (Path(out) / "quality.md").write_text(quality.report_text(list(reports.values())))
+    write_text(spark, f"{out}/quality.md", quality.report_text(list(reports.values())))
     return {name: r.first()["passed"] for name, r in reports.items()}
 
 
@@ -136,4 +136,4 @@ def as_keys(spark: SparkSession, data, key: str = "asn") -> DataFrame:
 
 
 def summary_json(path: str, summary: DataFrame, by_label: DataFrame) -> None:
-    Path(path).write_text(json.dumps({"summary": summary.first().asDict(), "labels": [r.asDict() for r in by_label.orderBy("label").collect()]}, indent=2))
+    write_text(summary.sparkSession, path, json.dumps({"summary": summary.first().asDict(), "labels": [r.asDict() for r in by_label.orderBy("label").collect()]}, indent=2))

@@ -67,7 +67,7 @@ def quality_population(t):
     return _rounded(quality.population_report(rows, "k", "name", "country", "rir", codes), *_SCORES)
 
 
-@query("""with s as (select c_custkey as k, case when c_custkey % 6 = 0 then '' else c_name end as name, '' as org, case when c_custkey % 4 = 0 then 'bad domain' when c_custkey % 3 = 0 then null else 'a.example.com' end as domain, case when c_custkey % 10 = 0 then 'timeout' end as error from customer),
+@query("""with s as (select c_custkey as k, case when c_custkey % 6 = 0 then '' else c_name end as name, '' as org, case when c_custkey % 4 = 0 then 'bad domain' when c_custkey % 3 = 0 then null when c_custkey % 5 = 0 then 'Example.COM.' else 'a.example.com' end as domain, case when c_custkey % 10 = 0 then 'timeout' end as error from customer),
     c as (select count(*) as n, count(*) filter (error is null) as valid, count(error) as errors, count(*) filter (error is null and domain = 'bad domain') as bad_domains, count(*) filter (error is null and name = '') as nameless from s),
     x as (select *, valid / n as completeness, 1 - bad_domains / n as consistency, 1 - (nameless + errors) / n as accuracy from c)
     select 'ipinfo' as source, n as records, valid, round(completeness, 6) as completeness, round(consistency, 6) as consistency, round(accuracy, 6) as accuracy, round((completeness + consistency + accuracy) / 3, 6) as overall,
@@ -75,16 +75,26 @@ def quality_population(t):
 def quality_info(t):
     k = F.col("c_custkey")
     rows = t("customer").select(
-        k.alias("k"), F.when(k % 6 == 0, "").otherwise(F.col("c_name")).alias("name"), F.lit("").alias("org"), F.when(k % 4 == 0, "bad domain").when(k % 3 == 0, None).otherwise("a.example.com").alias("domain"), F.when(k % 10 == 0, "timeout").alias("error")
+        k.alias("k"), F.when(k % 6 == 0, "").otherwise(F.col("c_name")).alias("name"), F.lit("").alias("org"), F.when(k % 4 == 0, "bad domain").when(k % 3 == 0, None).when(k % 5 == 0, "Example.COM.").otherwise("a.example.com").alias("domain"), F.when(k % 10 == 0, "timeout").alias("error")
     )
     return _rounded(quality.info_report(rows, "k", "name", "org", "domain", "error"), *_SCORES)
 
 
-@query("""select page_id, regexp_matches(url, '^https?://(([A-Z0-9]([A-Z0-9-]{0,61}[A-Z0-9])?\\.)+[A-Z]{2,6}\\.?|localhost|\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3})(:\\d+)?(/?|[/?]\\S+)$', 'i') as url_ok,
-    regexp_matches(host, '^([a-zA-Z0-9]([a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\\.)+[a-zA-Z]{2,6}$') as domain_ok from (select *, regexp_replace(regexp_replace(url, '^https?://', ''), '/.*$', '') as host from pages)""")
+_HOSTS = """select page_id, url, case page_id % 9 when 0 then host || '.' when 1 then '-' || host when 2 then replace(host, '.', '_') when 3 then repeat('a', 64) || '.' || host when 4 then upper(host) when 5 then host || '..' when 6 then 'x-.' || host when 7 then host || '.travels' else host end as host
+    from (select *, split_part(regexp_replace(url, '^https?://', ''), '/', 1) as host from pages)"""
+
+
+@query(f"""with h as ({_HOSTS}), l as (select *, lower(case when ends_with(host, '.') then host[:-2] else host end) as name from h), p as (select *, string_split(name, '.') as parts from l)
+    select page_id, starts_with(lower(url), 'http') and contains(url, '://') and len(string_split(split_part(split_part(url, '://', 2), '/', 1), '.')) >= 2 as url_ok,
+      len(parts) >= 2 and regexp_matches(parts[-1], '^[a-z]+$') and length(parts[-1]) between 2 and 6
+        and len(list_filter(parts[:-2], lambda x: length(x) not between 1 and 63 or starts_with(x, '-') or ends_with(x, '-') or not regexp_matches(x, '^[a-z0-9-]*$'))) = 0 as domain_ok from p""")
 def url_valid(t):
-    host = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "/.*$", "")
-    return t("pages").select("page_id", X.valid_url(F.col("url")).alias("url_ok"), X.valid_domain(host).alias("domain_ok"))
+    """Addresses as they are, and their hosts with dots, hyphens, long labels and other cases."""
+    host, k = F.col("host"), F.col("page_id") % 9
+    forms = [F.concat(host, F.lit(".")), F.concat(F.lit("-"), host), F.replace(host, F.lit("."), F.lit("_")), F.concat(F.lit("a" * 64 + "."), host), F.upper(host), F.concat(host, F.lit("..")), F.concat(F.lit("x-."), host), F.concat(host, F.lit(".travels"))]
+    rows = t("pages").withColumn("host", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "/.*$", ""))
+    form = F.coalesce(F.get(F.array(*forms), k.cast("int")), host)
+    return rows.select("page_id", X.valid_url(F.col("url")).alias("url_ok"), X.valid_domain(form).alias("domain_ok"))
 
 
 @query("select count(*) as lines, count(*) filter (trim(o_orderpriority) <> '') as rows, true as accepted from (select o_orderpriority from orders union all select 'ASN,Name,CC,RIR')")
@@ -167,27 +177,33 @@ def standardize_pop(t):
     return _rounded(features.Scaler.fit(rows, ["quantity", "price", "one"]).transform(rows), "quantity", "price", "one")
 
 
-def _vectors(t, n=6):
-    return t("embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(n)])
+DIMS = 64  # of the embeddings
+
+
+def _vectors(t):
+    return t("embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(DIMS)])
 
 
-_VECTORS = "select vec_id, label, " + ", ".join(f"cast(embedding[{k + 1}] as double) as x{k}" for k in range(6)) + " from embeddings"
+_CELLS = f"select vec_id, label, unnest(range({DIMS})) as j, cast(unnest(embedding) as double) as x from embeddings"
 
 
-@query(f"""with v as ({_VECTORS}), l as (select vec_id, label, unnest([{{'feature': 'x0', 'v': x0}}, {{'feature': 'x1', 'v': x1}}, {{'feature': 'x2', 'v': x2}}, {{'feature': 'x3', 'v': x3}}, {{'feature': 'x4', 'v': x4}}, {{'feature': 'x5', 'v': x5}}], recursive := true) from v),
-    g as (select feature, label, count(*) as n, sum(v) as s, sum(v * v) as q from l group by all), a as (select feature, count(*) as g, sum(n) as n, sum(s) as s, sum(q) as q, sum(s * s / n) as b from g group by feature)
-    select feature, round(((b - s * s / n) / (g - 1)) / ((q - b) / (n - g)), 4) as f from a order by f desc limit 3""")
+@query(f"""with l as ({_CELLS}), g as (select j, label, count(*) as n, sum(x) as s, sum(x * x) as q from l group by all), a as (select j, count(*) as g, sum(n) as n, sum(s) as s, sum(q) as q, sum(s * s / n) as b from g group by j)
+    select 'x' || j as feature, round(((b - s * s / n) / (g - 1)) / ((q - b) / (n - g)), 4) as f from a order by f desc limit 3""")
 def anova_f_topk(t):
-    scores = features.anova_f(_vectors(t), [f"x{k}" for k in range(6)], "label")
+    scores = features.anova_f(_vectors(t), [f"x{k}" for k in range(DIMS)], "label")
     return features.top_features(scores, 3).withColumn("f", F.round("f", 4))
 
 
-@query()
+@query(f"""with c as ({_CELLS}), m as (select * from c where (vec_id + j) % 7 <> 0), gap as (select vec_id, j from c where (vec_id + j) % 7 = 0),
+    d as (select a.vec_id as q, b.vec_id as d, sum((a.x - b.x) * (a.x - b.x)) * {DIMS} / count(*) as far from m a join m b on a.j = b.j group by all),
+    near as (select g.vec_id, g.j, m.x, row_number() over (partition by g.vec_id, g.j order by far, md5('0-' || m.vec_id)) as nth from gap g join d on d.q = g.vec_id join m on m.vec_id = d.d and m.j = g.j)
+    select vec_id, j, round(x, 6) as x from m union all select vec_id, j, round(avg(x), 6) from near where nth <= 5 group by vec_id, j""")
 def knn_impute(t):
     """Every seventh cell is missing; its five nearest donors' mean stands for it."""
-    rows = _vectors(t)
-    masked = rows.withColumns({f"x{k}": F.when((F.col("vec_id") + k) % 7 != 0, F.col(f"x{k}")) for k in range(6)})
-    return features.knn_impute(masked, [f"x{k}" for k in range(6)], key="vec_id")
+    rows, own = _vectors(t), [f"x{k}" for k in range(DIMS)]
+    masked = rows.withColumns({c: F.when((F.col("vec_id") + k) % 7 != 0, F.col(c)) for k, c in enumerate(own)})
+    out = features.knn_impute(masked, own, key="vec_id")
+    return out.select("vec_id", F.posexplode(F.array(*own)).alias("j", "x")).select("vec_id", F.col("j").cast("long").alias("j"), F.round("x", 6).alias("x"))
 
 
 # metrics: labels of documents against rules

@@ -93,20 +93,23 @@ def two_stage_batch(t):
     return sinks.flat_predictions(out).select("asn", "organization_name", "stage1_categories", "stage2_subcategories", F.round("overall_confidence", 4).alias("overall_confidence"))
 
 
+def _odd(t):
+    """All places of the vectors, and whether the label is odd."""
+    return t("embeddings").select("vec_id", (F.col("label") % 2).alias("odd"), *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(64)]), [f"x{k}" for k in range(64)]
+
+
 @query()
 def rff_svm(t):
-    """Scores of one label by a kernel machine of random features, with folds by key: accuracy out of fold."""
-    rows = t("embeddings").select("vec_id", (F.col("label") % 2).alias("odd"), *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(16)])
-    m = models.LabelModels("vec_id", [f"x{k}" for k in range(16)], ["odd"], size=64).fit(rows)
-    return m.predict(rows)
+    """Scores of one label by a kernel machine of random features over all places of the vectors."""
+    rows, cols = _odd(t)
+    return models.LabelModels("vec_id", cols, ["odd"], size=64).fit(rows).predict(rows)
 
 
 @query()
 def stacking(t):
     """Two kernel machines stacked: out-of-fold scores of each, and the meta model's."""
-    cols = [f"x{k}" for k in range(8)]
-    rows = t("embeddings").select("vec_id", (F.col("label") % 2).alias("odd"), *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(8)])
-    bases = {"a": lambda d: models.LabelModels("vec_id", cols[:4], ["odd"], size=32).fit(d), "b": lambda d: models.LabelModels("vec_id", cols[4:], ["odd"], size=32).fit(d)}
+    rows, cols = _odd(t)
+    bases = {"a": lambda d: models.LabelModels("vec_id", cols[:32], ["odd"], size=32).fit(d), "b": lambda d: models.LabelModels("vec_id", cols[32:], ["odd"], size=32).fit(d)}
     _, predict = models.stacked(rows, "vec_id", ["odd"], bases, folds=3)
     return predict(rows)
 
@@ -171,10 +174,8 @@ def parse_responses(t):
 @query("select event_id, event_type as tag, round(exp(-value / 100.0), 6) as probability from events")
 def tag_probs(t):
     tokens = F.array(F.struct(F.upper("event_type").alias("token"), (-F.col("value") / 100.0).alias("logprob")), F.struct(F.lit("#").alias("token"), F.lit(0.0).alias("logprob")))
-    e = t("events").select("event_id", tokens.alias("tokens"))
-    kinds = [r["event_type"] for r in t("events").select("event_type").distinct().limit(100).collect()]
-    out = chat.token_probabilities(e, "event_id", "tokens", kinds).withColumn("probability", F.round("probability", 6))
-    return out.join(t("events").select("event_id", F.col("event_type").alias("tag")), ["event_id", "tag"])
+    e = t("events").select("event_id", tokens.alias("tokens"), F.array("event_type", F.lit("absent")).alias("tags"))
+    return chat.token_probabilities(e, "event_id", "tokens", "tags").withColumn("probability", F.round("probability", 6))
 
 
 @query("select event_id, 'ab' as tag, cast(2 as int) as at, round(exp(-value / 100.0), 6) as probability from events")

@@ -11,12 +11,12 @@ STAGE1 = "array<struct<category:string,confidence:double>>"
 STAGE2 = "array<struct<category:string,subcategory:string,confidence:double>>"
 
 
-def classify(entities: DataFrame, votes: dict[str, DataFrame], labels: list[str], subs: DataFrame, valid: DataFrame, key: str = "asn", name: str = "organization_name") -> DataFrame:
+def classify(entities: DataFrame, votes: dict[str, DataFrame], labels: list[str], subs: DataFrame, valid: DataFrame, key: str = "asn", name: str = "organization_name", weights: dict[str, float] | None = None) -> DataFrame:
     """(key, name, stage1, stage2, overall_confidence) for each entity. votes: scores by model; subs: (key, category, subcategory, confidence) as the second stage's models answer.
 
     An entity that no model knows falls back to Enterprise at 0.1.
     """
-    scores = models.vote(votes, key, labels)
+    scores = models.vote(votes, key, labels, weights)
     first = scores.select(F.col(key).alias("_key"), models.chosen(F.array(*labels), labels).alias("stage1"))
     rest = F.array(F.struct(F.lit("Enterprise").alias("category"), F.lit(models.FALLBACK).alias("confidence")))
     one = entities.select(key, F.coalesce(F.col(name), F.concat(F.lit("AS"), F.col(key).cast("string"))).alias(name)).join(first, F.col(key) == F.col("_key"), "left").withColumn("stage1", F.coalesce("stage1", rest)).drop("_key")

@@ -54,7 +54,7 @@ def _struct(**kinds: str) -> T.StructType:
     return T._parse_datatype_string(", ".join(f"`{k}` {v}" for k, v in kinds.items()))
 
 
-#: Nested records of the sources, as they are read.
+# Nested records of the sources, with their field names, as they are read.
 ASRANK = (
     "asn bigint, asnName string, rank bigint, organization struct<orgId:string,orgName:string>, cliqueMember boolean, seen boolean, longitude double, latitude double, "
     "country struct<iso:string,name:string>, cone struct<numberAsns:bigint,numberPrefixes:bigint,numberAddresses:bigint>, "
@@ -97,7 +97,11 @@ def taxonomy_rows(spark: SparkSession, taxonomy: dict[str, str | dict[str, str]]
 
 def load_registry(spark: SparkSession, path: str | Path) -> tuple[DataFrame, DataFrame]:
     """(countries, registries) of a country registry file; a country's code must be two upper-case letters."""
-    found = json.loads(Path(path).read_text(encoding="utf-8"))
+    return registry_tables(spark, json.loads(Path(path).read_text(encoding="utf-8")))
+
+
+def registry_tables(spark: SparkSession, found: dict) -> tuple[DataFrame, DataFrame]:
+    """(countries, registries) of what a registry file holds."""
     bad = [c for c in found["countries"] if not (len(c) == 2 and c.isalpha() and c.isupper())]
     if bad:
         raise ValueError(f"not country codes: {bad[:5]}")

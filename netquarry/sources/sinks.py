@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netquarry.session import read_text, write_text
+
 
 def write_both(df: DataFrame, base: str) -> None:
     """Parquet and CSV from one evaluation."""
@@ -57,9 +58,9 @@ def metadata(tables: dict[str, DataFrame]) -> dict:
 
 def merge_metadata(path: str, found: dict) -> dict:
     """found merged into the metadata file."""
-    p = Path(path)
-    whole = {**(json.loads(p.read_text()) if p.exists() else {}), **found}
-    p.write_text(json.dumps(whole, indent=2))
+    spark = SparkSession.getActiveSession()
+    whole = {**json.loads(read_text(spark, path) or "{}"), **found}
+    write_text(spark, path, json.dumps(whole, indent=2))
     return whole
 
 

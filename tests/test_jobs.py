@@ -72,3 +72,39 @@ def test_sub_models_and_parsing(spark, tmp_path):
     jobs.training_files(chat.examples(marks, ents, "asn", ["Access"], "s"), str(tmp_path / "t"), "asn")
     assert spark.read.text(str(tmp_path / "t/train.jsonl")).count() == 16
     assert jobs.prompts_for(ents).count() == 4
+
+
+def test_two_stage_commands(spark, tmp_path, capsys):
+    spark.createDataFrame([(1, 0.9, 0.7), (2, 0.1, 0.2)], "asn long, Access double, IXP double").write.parquet(str(tmp_path / "svm"))
+    spark.createDataFrame([(1, 0.8), (3, 1.0)], "asn long, Access double").write.parquet(str(tmp_path / "llm"))
+    spark.createDataFrame([(1, "Access", "SmallISP", 0.9)], "asn long, category string, subcategory string, confidence double").write.parquet(str(tmp_path / "subs"))
+    votes = ["--votes", f"svm={tmp_path / 'svm'},llm={tmp_path / 'llm'}", "--subs", str(tmp_path / "subs")]
+    assert main(["classify-single", "--asn", "1", "--organization", "One", "--format", "json", "--timing", *votes]) == 0
+    one = json.loads(capsys.readouterr().out)
+    assert one["stage1"][0]["category"] == "Access" and one["stage2"][0]["subcategory"] == "SmallISP" and one["processing_time"] > 0
+    assert main(["classify-single", "--asn", "9", *votes]) == 0 and "Enterprise 0.1000" in capsys.readouterr().out
+    (tmp_path / "who.csv").write_text("asn,name\n1,One\n2,Two\n3,Three\n")
+    assert main(["classify-batch", "--input", str(tmp_path / "who.csv"), "--output", str(tmp_path / "out"), "--format", "json", *votes]) == 0
+    got = {r["asn"]: r["stage1_categories"] for r in spark.read.json(str(tmp_path / "out.json")).collect()}
+    assert got[1] == "Access" and got[3] == "Access" and "3 rows" in capsys.readouterr().out
+    assert main(["benchmark-stages", "--input", str(tmp_path / "who.csv"), "--sizes", "2", *votes]) == 0 and "2 rows" in capsys.readouterr().out
+    long = spark.createDataFrame([(1, "Access", "SmallISP"), (2, "IXP", None)], "asn long, category string, subcategory string")
+    long.write.parquet(str(tmp_path / "long"))
+    assert main(["evaluate-stages", "--predictions", str(tmp_path / "long"), "--labels", str(tmp_path / "long"), "--output", str(tmp_path / "report.txt")]) == 0
+    assert "exact 1.0000" in capsys.readouterr().out and "exact 1.0000" in (tmp_path / "report.txt").read_text()
+    spark.createDataFrame([(1, "stage1", True, 9.0, 1.0)], "id long, component string, success boolean, seconds double, mb double").write.parquet(str(tmp_path / "calls"))
+    assert main(["monitor-performance", "--calls", str(tmp_path / "calls")]) == 0 and "stage1: 1 calls" in capsys.readouterr().out
+
+
+def test_download_and_validate_commands(spark, tmp_path, capsys, monkeypatch):
+    from netquarry.sources import remote
+
+    monkeypatch.setattr(remote.dated, "__defaults__", (lambda url, body: (200, "ASN,Name,CC,RIR"), 7, None, 1))
+    assert main(["download", "--source", "aspop", "--url", "u/{date}", "--output", str(tmp_path / "pop.csv"), "--date", "2024-01-02"]) == 0
+    assert (tmp_path / "pop.csv").read_text() == "ASN,Name,CC,RIR" and "2024-01-02" in capsys.readouterr().out
+    (tmp_path / "who.csv").write_text("asn,name\n1,One\n2,Two\n")
+    monkeypatch.setattr(remote.info, "__defaults__", (lambda url, body: (200, "{}") if url.endswith("1") else (404, ""), 5))
+    assert main(["download-info", "--input", str(tmp_path / "who.csv"), "--url", "u/{key}", "--output", str(tmp_path / "info")]) == 0
+    assert "'succeeded': 1" in capsys.readouterr().out and spark.read.json(str(tmp_path / "info")).first()["key"] == "1"
+    (tmp_path / "asrank1.jsonl").write_text(json.dumps(record(174)))
+    assert main(["validate", "--input", str(tmp_path)]) in (0, 1) and "## asrank" in capsys.readouterr().out

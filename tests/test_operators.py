@@ -1,7 +1,9 @@
 """Operators on hand-made rows: what SQL proxies don't reach."""
 
+import datetime
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from netquarry import schemas
 from netquarry.functions import exprs as X
 from netquarry.operators import chat, evaluate, features, integrate, labels, models, monitor, quality, split
 from netquarry.plans import two_stage
-from netquarry.sources import paged, readers, sinks
+from netquarry.sources import paged, readers, remote, sinks
 from netquarry.streaming import scoring
 
 
@@ -266,3 +268,131 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 20 and out.filter("high").count() == 10 and out.select("batch").distinct().count() == 4
+
+
+def test_vote_keys_of_any_model(spark):
+    one, two = spark.createDataFrame([(1, 0.9)], "asn long, a double"), spark.createDataFrame([(1, 0.5), (2, 1.0)], "asn long, a double")
+    got = {r["asn"]: r["a"] for r in models.vote({"svm": one, "llm": two}, "asn", ["a"]).collect()}
+    assert math.isclose(got[1], 0.4 * 0.9 + 0.6 * 0.5) and math.isclose(got[2], 0.6)
+
+
+def test_tags_of_many_kinds(spark):
+    """Each row's own tag, of 150 kinds."""
+    rows = spark.range(300).select("id", F.array(F.concat(F.lit("kind"), F.col("id") % 150, F.lit("_"))).alias("tags"), F.array(F.struct(F.concat(F.lit("KIND"), F.col("id") % 150, F.lit("_x")).alias("token"), F.lit(-0.5).alias("logprob")), F.struct(F.lit("kind").alias("token"), F.lit(0.0).alias("logprob"))).alias("tokens"))
+    got = chat.token_probabilities(rows, "id", "tokens", "tags").collect()
+    assert len(got) == 300 and all(math.isclose(r["probability"], math.exp(-0.5)) for r in got)
+    starts = chat.start_probabilities(spark.createDataFrame([(1, [("a", -1.0), ("ba", -2.0), ("", -9.0), ("b", -3.0)])], "k int, t array<struct<token:string,logprob:double>>"), "k", "t", ["ab", "b", "zz"]).collect()
+    assert {(r["tag"], r["at"], round(math.log(r["probability"]))) for r in starts} == {("ab", 0, -1), ("ab", 2, -2), ("b", 1, -2), ("b", 3, -3)}
+
+
+class _Rule:
+    """A model for the searches: how well it does is its parameter."""
+
+    def __init__(self, key, columns, labels, right=True):
+        self.key, self.labels, self.right = key, labels, right
+
+    def fit(self, df):
+        return self
+
+    def predict(self, df):
+        return df.select(self.key, *[(F.col("x") if self.right else 1 - F.col("x")).alias(y) for y in self.labels])
+
+
+def test_nested_search(spark):
+    rows = spark.range(60).select(F.col("id").alias("asn"), (F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("a"), (F.col("id") % 2).cast("int").alias("b"))
+    out, counts, found = models.nested(rows, "asn", ["a", "b"], ["x"], [{"right": False}, {"right": True}], outer=3, inner=2, make=_Rule)
+    got = out.collect()
+    assert found == [{"right": True}] * 3 and len(got) == 60 and all(r["t_a"] == r["s_a"] and r["t_b"] == r["s_b"] for r in got)
+    assert sum(r["n"] for r in counts.filter("part = 'test' and label = 'a'").collect()) == 30
+    best, scores = models.searched(rows, "asn", "a", ["x"], [{"right": False}, {"right": True}], folds=2, make=_Rule)
+    assert best == {"right": True} and [s for _, s in scores] == [0.0, 1.0]
+
+
+def test_multilabel_folds_are_even(spark):
+    """Each label combination is spread over the folds, against plain counts."""
+    rows = spark.range(997).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("a"), (F.col("id") % 5 == 0).cast("int").alias("b"), (F.col("id") % 97 == 0).cast("int").alias("c"))
+    got = split.multilabel_kfold(rows, "k", ["a", "b", "c"], 4).collect()
+    assert len({r["k"] for r in got}) == 997
+    for combo in {(k % 3 == 0, k % 5 == 0, k % 97 == 0) for k in range(997)}:
+        n = [sum(r["fold"] == f and (r["k"] % 3 == 0, r["k"] % 5 == 0, r["k"] % 97 == 0) == combo for r in got) for f in range(4)]
+        assert max(n) - min(n) <= 1
+
+
+def test_estimators(spark):
+    from pyspark.ml import Pipeline
+
+    from netquarry.operators import estimators
+
+    rows = spark.range(80).select(F.col("id").alias("asn"), (F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("a"))
+    model = Pipeline(stages=[estimators.TableFunction(lambda d: d.withColumn("y", -F.col("x"))), estimators.LabelClassifier(["a"], size=32)]).fit(rows)
+    out = model.transform(rows).collect()
+    assert all((r["tags"] == ["a"]) == (r["a"] == 1) for r in out) and model.stages[1].score(rows.withColumn("y", -F.col("x"))) == 1.0
+    with pytest.raises(ValueError, match="no columns"):
+        estimators.LabelClassifier(["zz"]).fit(rows)
+    ents = spark.createDataFrame([(1, "Net One", None, None), (2, None, "US", None)], "asn long, organization_name string, country string, website string")
+    ents = ents.withColumns({"asrank": F.when(F.col("asn") == 1, F.struct(F.lit(5).alias("rank"))), "peeringdb": F.when(F.col("asn") == 2, F.struct(F.lit("NSP").alias("info_type"), F.lit("Global").alias("info_scope"), F.lit("Open").alias("policy_general"))), "aspop": F.lit(None).cast("struct<rir:string>"), "ipinfo": F.lit(None).cast("struct<name:string>")})
+    got = {r["asn"]: r for r in estimators.EntityFeatures(scaled=False).fit(ents).transform(ents).collect()}
+    assert got[1]["asrank_rank"] == 5 and got[2]["peeringdb_type_nsp"] == 1 and got[1]["org_name_network"] == 0
+
+
+def test_requests_side_by_side(spark, tmp_path):
+    """Requests of a task overlap, begin apart, and are asked for once when saved."""
+
+    def slow(prompts):
+        time.sleep(0.3)
+        return [p.upper() for p in prompts]
+
+    rows = spark.range(12).select("id", F.col("id").cast("string").alias("prompt")).coalesce(1)
+    start = time.perf_counter()
+    assert chat.responses(rows, slow, concurrency=12).filter("response is null").count() == 0
+    assert time.perf_counter() - start < 3
+    start = time.perf_counter()
+    chat.responses(rows, lambda p: p, concurrency=12, delay=0.1).collect()
+    assert time.perf_counter() - start >= 1.1
+    path = str(tmp_path / "saved")
+
+    def some(prompts):
+        if int(prompts[0]) % 2:
+            raise OSError("down")
+        return ["first"]
+
+    assert chat.responses_saved(rows, some, path, "id", rounds=2, sleep=lambda s: None).count() == 6
+    got = {r["id"]: r["response"] for r in chat.responses_saved(rows, lambda p: ["second"], path, "id", rounds=2).collect()}
+    assert got == {i: "second" if i % 2 else "first" for i in range(12)}
+
+
+def test_error_log(spark, tmp_path):
+    log = monitor.ErrorLog(most=3)
+
+    def broken(asn=None):
+        raise TimeoutError("api timeout")
+
+    assert log.guarded(broken, "stage1", lambda asn=None: "rest", tries=2, sleep=lambda s: None)(asn=7) == "rest"
+    with pytest.raises(TimeoutError):
+        log.guarded(broken, "stage2")()
+    assert [r[-1] for r in log.rows] == ["retry", "fallback", "raised"]
+    log.export(spark, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log/errors")).filter("category = 'api_error' and asn = 7").count() == 2
+    table = log.guarded(lambda: spark.range(3).select(F.raise_error(F.lit("model broke"))), "plan", lambda: spark.range(1))
+    assert table().count() == 1
+
+
+def test_remote(spark, tmp_path):
+    nodes = [record(a) for a in range(1, 26)]
+
+    def ranked(url, body):
+        text = json.loads(body)["query"]
+        first, offset = (int(text.split(f"{x}:")[1].split(",")[0].split(")")[0]) for x in ("first", "offset"))
+        return 200, json.dumps({"data": {"asns": {"totalCount": 25, "edges": [{"node": n} for n in nodes[offset : offset + first]]}}})
+
+    assert {r["asn"] for r in remote.ranking(spark, "u", ranked, page=10).collect()} == set(range(1, 26))
+    day, text = remote.dated("x/{date}", datetime.date(2024, 5, 10), lambda u, b: (200, "data") if u in ("x/2024-05-08", "x/2024-05-12") else (404, ""))
+    assert day == datetime.date(2024, 5, 8) and text == "data"
+    assert remote.dated("x/{compact}", datetime.date(2024, 5, 10), lambda u, b: (200, u), today=datetime.date(2024, 5, 9))[0] == datetime.date(2024, 5, 9)
+    with pytest.raises(RuntimeError):
+        remote.dated("x/{date}", datetime.date(2024, 5, 10), lambda u, b: (404, ""))
+    tries = []
+    with pytest.raises(RuntimeError, match="503"):
+        remote.asked(lambda u, b: tries.append(u) or (503, ""), "u", sleep=lambda s: None)
+    assert len(tries) == 3 and remote.http("http://127.0.0.1:9/none", timeout=1)[0] == 0
+    assert remote.info(spark.createDataFrame([(5,)], "asn long"), "asn", "u/{key}", lambda u, b: (200, u)).first()["body"] == "u/5"
