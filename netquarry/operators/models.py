@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -164,20 +165,25 @@ def with_subcategories(stage1: DataFrame, predicted: DataFrame, key: str, valid:
     return ok.unionByName(rest)
 
 
-def stacked(df: DataFrame, key: str, labels: list[str], bases: dict[str, Callable[[DataFrame], object]], folds: int = 3) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+def stacked(df: DataFrame, key: str, labels: list[str], bases: dict[str, Callable[[DataFrame], object]], folds: int = 3, parallelism: int = 4) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """(out-of-fold scores, predict): base models are fitted without each fold by key, their scores of it are the meta model's features; the bases are then fitted on all rows."""
     fold = split.group_kfold(df, key, folds)
     with_fold = df.join(fold, key).persist()
-    parts = []
+
+    def fitted(job: tuple[str, int | None]):
+        m, k = job
+        return bases[m](df if k is None else with_fold.filter(F.col("fold") != k))
+
     try:
-        for k in range(folds):
-            train, test = with_fold.filter(F.col("fold") != k), with_fold.filter(F.col("fold") == k)
-            parts.append(_scores({m: make(train).predict(test) for m, make in bases.items()}, key, labels))
+        with ThreadPoolExecutor(parallelism) as pool:  # fits are many small jobs, which leave room for each other
+            jobs = [(m, k) for m in bases for k in (*range(folds), None)]
+            done = dict(zip(jobs, pool.map(fitted, jobs), strict=True))
+        parts = [_scores({m: done[m, k].predict(with_fold.filter(F.col("fold") == k)) for m in bases}, key, labels) for k in range(folds)]
         oof = reduce(DataFrame.unionByName, parts).join(df.select(F.col(key).alias("_key"), *labels), F.col(key) == F.col("_key")).drop("_key")
         oof.persist()  # released with what it is read from
         names = {y: [f"{m}__{y}" for m in bases] for y in labels}
         metas = {y: LabelModelsLinear(key, names[y], y).fit(oof) for y in labels}
-        full = {m: make(df) for m, make in bases.items()}
+        full = {m: done[m, None] for m in bases}
     finally:
         with_fold.unpersist()
 
