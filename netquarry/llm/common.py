@@ -10,8 +10,8 @@ from pyspark.sql.types import BinaryType, StringType
 
 from netquarry.session import shared_dir
 
-#: Rows of a table that may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows of a table that may be broadcast, and bytes of their texts; larger ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: Longest key, in bytes, of those that `join_hot` broadcasts.
 KEY_BYTES = 1 << 16
 #: Largest Arrow batch handed to Python, in rows and bytes.
@@ -64,8 +64,10 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """df with a broadcast hint if a count shows at most `most` rows, and whether it has one; df should be written already."""
-    few = df.limit(most + 1).count() <= most
+    """df with a broadcast hint if a count shows at most `most` rows, with BROADCAST_BYTES of texts and bytes at most, and whether it has one; df should be written already."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, BinaryType | StringType)]
+    one = df.limit(most + 1).agg(F.count("*").alias("n"), F.sum(sum(texts, F.lit(0)).cast("long")).alias("bytes")).first()
+    few = one["n"] <= most and (one["bytes"] or 0) <= BROADCAST_BYTES
     return (F.broadcast(df) if few else df), few
 
 

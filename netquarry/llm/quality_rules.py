@@ -6,8 +6,10 @@ prior whose weight comes from how far the hosts' rates spread beyond chance
 (moments of the beta-binomial). Hosts whose shrunk rate reaches the limit are
 rejected with all their documents; verdicts are joined back.
 
-Defined cases: a null text has no words; documents of a null host are judged by
-the base rules alone; rows that occur more than once count each time; without
+Defined cases: a null or empty text has no words and fails; a very long text is
+measured whole; documents of a null host are judged by the base rules alone; a
+rate that equals the limit is rejected; if all hosts' rates are equal, all are
+shrunk to the common one; rows that occur more than once count each time; without
 documents there is no prior and no row; extra columns are left alone.
 """
 

@@ -10,13 +10,18 @@ The model is fitted on a bounded sample of labelled rows, `max_docs` rows of at
 most `max_chars` characters; all documents are scored, as whole texts.
 
 Defined cases: a null or empty text has one empty sentence, scored by the bias;
-a null label or doc_id is not learnt from; without any labelled row, or with
-one class only, the model is the prior alone; doc_ids that occur more than once
-are scored row by row; extra columns are left alone.
+a very long text is scored whole, sentence by sentence, but not learnt from; a
+null label or doc_id is not learnt from; of several labels of a doc_id the
+greater counts, of several texts the least; without any labelled row, or with
+one class only, the score is the prior alone, however many sentences there are; of equally bad sentences the first
+is the worst one; a score that equals the threshold reaches it; doc_ids that
+occur more than once are scored row by row; an empty table gives no rows; extra
+columns are left alone.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -55,12 +60,15 @@ def sentences(text: str | None) -> list[str]:
 class Model:
     weights: np.ndarray
     bias: float
+    prior: float | None = None  # the score of any document, where nothing could be learnt
 
     def word(self, word: str) -> float:
         return float(self.weights[features(word)].sum())
 
     def score(self, logits: np.ndarray) -> float:
         """Noisy-or; log(1 - p) of a logit is -log(1 + exp(logit))."""
+        if self.prior is not None:
+            return self.prior
         return float(-np.expm1(-np.logaddexp(0, logits).sum()))
 
 
@@ -68,7 +76,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 40, rate: float = 0.2
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         rate_of = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(np.zeros(SIZE), float(np.log(rate_of / (1 - rate_of))))
+        return Model(np.zeros(SIZE), float(np.log(rate_of / (1 - rate_of))), float(rate_of))
     vocabulary: dict[str, int] = {}
     flat, per_sentence, per_doc, places = array("i"), array("i"), array("i"), []
     # Documents of each label that have a feature: the smoothed log odds tell telling words from those that just stand beside them.
@@ -125,15 +133,15 @@ def _scorer(model: Model):
         memo: dict[str, float] = {}
 
         def of(sentence: str) -> float:
-            total = model.bias
+            parts = [model.bias]
             for w in set(WORD.findall(sentence)):
                 x = memo.get(w)
                 if x is None:
                     if len(memo) >= MEMO:
                         memo.clear()
                     x = memo[w] = model.word(w)
-                total += x
-            return total
+                parts.append(x)
+            return math.fsum(parts)  # the same whatever the order, so that equal sentences are equally bad
 
         for b in batches:
             scores, worst = [], []
@@ -184,7 +192,7 @@ def offending(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for k, s in enumerate(sentences(t)):
-                    p = model.score(np.array([model.bias + sum(model.word(w) for w in set(WORD.findall(s.lower())))]))
+                    p = model.score(np.array([math.fsum([model.bias, *map(model.word, set(WORD.findall(s.lower())))])]))
                     if p >= threshold:
                         out.append({"doc_id": i, "sentence": k, "words": s, "score": p})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("sentence", pa.int32()), ("words", pa.string()), ("score", pa.float64())]))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -118,7 +119,8 @@ def test_toxicity_held_out(spark):
 def test_toxicity_awkward(spark):
     docs = H.awkward_docs(spark)
     none = toxicity.trained(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert toxicity.scored(docs, none).count() == len(H.awkward())
+    assert [r.score for r in toxicity.scored(docs, none).collect()] == [0.5] * len(H.awkward())
+    assert toxicity.keep(docs, toxicity.fit(["fine. words", "more"], [0, 0])).count() == len(H.awkward())
     texts = [f"fine words here. more {k}" for k in range(40)] + [f"fine words here. you gluzzbo{k}" for k in range(40)]
     model = toxicity.fit(texts, [0] * 40 + [1] * 40)
     rows = [(1, "fine words. a gluzzbat. end"), (2, "fine words here"), (3, None), (None, "gluzzbip")]
@@ -131,6 +133,68 @@ def test_toxicity_awkward(spark):
     assert toxicity.scored(frame.limit(0), model).count() == 0
 
 
+def plain_fit(texts, labels, epochs, rate=0.25, ridge=2e-4):
+    """The training written out: sentence by sentence, one feature after the other."""
+    n, y = len(texts), np.array(labels)
+    bags = [[sorted(set(re.findall(r"\w+", s))) for s in toxicity.sentences(t.lower())] for t in texts]
+    counts = np.zeros((2, toxicity.SIZE))
+    for bag, label in zip(bags, y, strict=True):
+        for p in {p for s in bag for w in s for p in toxicity.features(w)}:
+            counts[label, p] += 1
+    odds = np.log((counts[1] + 0.5) / (y.sum() + 1)) - np.log((counts[0] + 0.5) / (n - y.sum() + 1))
+    sure = odds - 2 * np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5))
+    w, bias, seen, seen_bias = np.where(sure > 1, np.minimum(odds, 6), 0.0), -8.0, np.full(toxicity.SIZE, 1e-8), 1e-8
+    for _ in range(epochs):
+        grad, total = np.zeros(toxicity.SIZE), 0.0
+        for bag, label in zip(bags, y, strict=True):
+            p = [1 / (1 + np.exp(-np.clip(bias + sum(w[f] for x in s for f in toxicity.features(x)), -30, 30))) for s in bag]
+            whole = np.clip(1 - np.prod([1 - x for x in p]), 1e-9, 1)
+            for s, x in zip(bag, p, strict=True):
+                g = x * (-(1 - whole) / whole if label else 1.0)
+                total += g
+                for word in s:
+                    np.add.at(grad, toxicity.features(word), g)
+        grad, total = grad / n + ridge * w / n, total / n
+        seen += grad * grad
+        w = np.maximum(w - rate * grad / np.sqrt(seen), -0.3)
+        seen_bias += total * total
+        bias -= rate * total / np.sqrt(seen_bias)
+    return w, bias
+
+
+def test_toxicity_fit():
+    """The flat arrays learn what the plain version learns."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"{a}{b}" for a in ("mild", "gross", "plain", "vile") for b in ("", "ly", "ness", "er")]
+    texts = [". ".join(" ".join(rng.choice(vocabulary, 4)) for _ in range(int(rng.integers(1, 4)))) for _ in range(60)]
+    labels = [int("vile" in t) for t in texts]
+    model = toxicity.fit(texts, labels, epochs=4)
+    w, bias = plain_fit(texts, labels, 4)
+    assert np.allclose(model.weights, w, atol=1e-6) and np.isclose(model.bias, bias, atol=1e-6)
+
+
+def test_toxicity_scores(spark):
+    """Scores and worst sentences of a whole table, against each sentence scored by itself."""
+    docs, labels = (spark.read.parquet(f"{H.SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.trained(docs, labels)
+    got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    place = lambda x: zlib.crc32(x.encode()) % toxicity.SIZE
+    weight = lambda w: float(model.weights[[place(f"w{w}"), *(place(f"{k}{w[:k]}") for k in (3, 4, 5, 6) if len(w) >= k)]].sum())
+    for r in docs.collect():
+        z = [math.fsum([model.bias, *map(weight, set(re.findall(r"\w+", s)))]) for s in ([x for x in re.split(r"[.!?\n]+", (r.text or "").lower()) if x.strip()] or [""])]
+        assert np.isclose(got[r.doc_id].score, 1 - np.prod([1 - 1 / (1 + np.exp(-x)) for x in z]), atol=1e-9) and got[r.doc_id].worst_sentence == int(np.argmax(z))
+
+
+def test_toxicity_awkward_labels(spark):
+    """Null, repeated and unknown labels and doc_ids; long texts are left out of the fit."""
+    docs = H.awkward_docs(spark)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (3, None), (None, 1), (10, 0), (11, 0), (12, 1), (13, 0), (99, 1), (15, 7)], "doc_id long, toxic int")
+    texts, marks = toxicity.sample(docs, labels, max_chars=50_000)
+    assert marks == [1, 0, 0] and len(texts[0]) < 50_000
+    assert toxicity.scored(docs, toxicity.trained(docs, labels)).count() == len(H.awkward())
+    assert toxicity.sample(docs.limit(0), labels) == ([], [])
+
+
 def test_noisy_or():
     model = toxicity.Model(np.zeros(toxicity.SIZE), 0.0)
     z = np.array([-1.0, 0.5, 2.0])
@@ -409,3 +473,39 @@ def test_pipeline(spark):
             assert sorted(r.doc_id for r in docs.collect()) == sorted(kept.values())
     assert seen[0] >= seen[1] >= seen[2] and seen[3] == seen[4] >= seen[2]
     assert P.run(spark, d).count() == seen[-1]
+
+
+def test_pipeline_awkward(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns: every stage against a plain version; then an empty table."""
+    import corpus_pipeline as P
+
+    docs = H.awkward_docs(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0) for i in (1, 2, 3, 11)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    own = docs.columns
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    enc = plain_encoding()
+    for name, stage in P.STAGES:
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        docs = common.written(stage(spark, docs, str(tmp_path)), "test-stage")
+        rows = docs.collect()
+        if name != "bpe":
+            assert docs.columns == own
+            after = [(r.doc_id, r.text) for r in rows]
+        if name == "toxicity":
+            assert Counter(after) == Counter(before)
+        if name == "exact_dedup":
+            assert Counter(map(str, (i for i, _ in after))) == Counter(map(str, expected_groups(before)[1].values()))
+        if name == "ngram_jaccard":
+            stay = set(H.components(before, 5, 80).values())
+            assert Counter(after) == Counter(x for x in before if x[0] is None or x[0] in stay)
+        if name == "mixing":
+            n = Counter(after)
+            assert n.keys() == set(before) and max(n.values()) <= 3
+        if name == "bpe":
+            want = Counter((i, len(ids := enc.encode_ordinary(t or "")), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()) for i, t in before)
+            assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in rows) == want
+    docs = H.awkward_docs(spark).limit(0)
+    for name, stage in P.STAGES:
+        docs = common.written(stage(spark, docs, str(tmp_path)), "test-stage")
+        assert docs.count() == 0 and (name == "bpe" or docs.columns == own)
