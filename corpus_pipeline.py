@@ -3,6 +3,15 @@
 Toxic documents go; of equal texts one stays, then one of each group of near
 copies; sources are mixed to less uneven weights; and the mixture is encoded.
 Each stage's rows are written as Parquet and read again as the next one's docs.
+
+Defined cases: a null or empty text is scored by the model's bias; equal ones are
+copies of each other, and the one that stays is encoded to no ids; a very long
+text goes through every stage whole; rows with a null doc_id come after all others
+among copies, are never near copies, and are mixed and encoded like any others; of
+repeated rows one stays; a null source is a source of its own; without labels, or
+with labels of one kind, no text is told toxic but by their share; an empty table
+gives no rows; columns beside text, source and doc_id pass through all stages but
+the last, whatever their names.
 """
 
 from __future__ import annotations
