@@ -245,7 +245,7 @@ class Encoder:
             self.memo.clear()
         parts = [[] if k in whole else self.split(x) for k, x in enumerate(texts)]
         memo = self.memo
-        new = list({w for p in parts for w in p if w not in memo})
+        new = list(set().union(*parts).difference(memo))
         for k in range(0, len(new), 4096):
             self._learn(new[k : k + 4096])
         of = memo.__getitem__
