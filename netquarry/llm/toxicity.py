@@ -119,15 +119,30 @@ def fit(texts: list[str], labels: list[int], epochs: int = 40, rate: float = 0.2
     return Model(w, float(bias))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> tuple[list[str], list[int]]:
-    """At most max_docs labelled texts, by the hash of doc_id."""
+def _sampled(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(t, y) of at most max_docs labelled texts, by the hash of doc_id, in one sorted partition."""
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).filter("_id is not null and y in (0, 1)")
     chosen = known.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
     rows = docs.select(F.col(doc_id).alias("_own"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter(F.length("t") <= max_chars)
-    got = rows.join(F.broadcast(chosen), F.col("_own") == F.col("_id")).groupBy("_id").agg(F.min("t").alias("t"), F.max("y").alias("y")).toArrow().sort_by("_id")
+    got = rows.join(F.broadcast(chosen), F.col("_own") == F.col("_id")).groupBy("_id").agg(F.min("t").alias("t"), F.max("y").alias("y"))
+    return got.repartition(1).sortWithinPartitions("_id").select("t", "y")
+
+
+def sample(docs: DataFrame, labels: DataFrame, **options) -> tuple[list[str], list[int]]:
+    """The texts and labels that the model is fitted on."""
+    got = _sampled(docs, labels, **options).toArrow()
     return got["t"].to_pylist(), got["y"].to_pylist()
 
 
+def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, labels = [], []
+    for b in batches:
+        texts += b.column(0).to_pylist()
+        labels += b.column(1).to_pylist()
+    model = fit(texts, labels)
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f8").tobytes()]), pa.array([model.bias]), pa.array([model.prior], pa.float64())], ["weights", "bias", "prior"])
+
+
 def _scorer(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
@@ -155,9 +170,10 @@ def _scorer(model: Model):
 
 
 def trained(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    """The model of a bounded sample of labelled rows."""
+    """The model of a bounded sample of labelled rows, fitted in one task; the driver gets its weights alone."""
     common.tune(docs.sparkSession)
-    return fit(*sample(docs, labels, **options))
+    got = _sampled(docs, labels, **options).mapInArrow(_fitter, "weights binary, bias double, prior double").first()
+    return fit([], []) if got is None else Model(np.frombuffer(bytes(got["weights"]), "<f8"), got["bias"], got["prior"])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
