@@ -60,6 +60,8 @@ PART_TOKENS = 1 << 19
 MEMO = 150_000
 #: Tokens that a worker gathers before it packs them, of a share, about, and digests that it remembers to have signed.
 HELD, SHARE_TOKENS, SEEN = 1 << 20, 1 << 21, 200_000
+#: Classes with a token, of those a worker gathers, that are posted to its share; more of them go apart, and the share is told their number, as a size from NOTICE.
+OFTEN, NOTICE = 16, 1 << 40
 #: Parts of a token that meet in one square, and pairs of members below which a token is counted pair by pair.
 SQUARE, LIGHT = 256, 64
 CHUNK = 1 << 12
@@ -182,7 +184,7 @@ def _signer(k: int, percent: int, counts):
 
 
 def _dealer(shares: int):
-    """Rows (rep, size, firsts) of classes to first tokens packed by share of the token."""
+    """Rows (rep, size, firsts) of classes to first tokens packed by share of the token, or apart."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, reps, sizes, held = [], [], [], 0
@@ -202,8 +204,16 @@ def _dealer(shares: int):
 
 
 def _packed_rows(tokens: list, reps: list, sizes: list, shares: int) -> pa.RecordBatch:
+    """Packed by share, but tokens of more than OFTEN classes here: these are known to be shared and go apart, so that no token makes a share large."""
     token, rep, size = (np.concatenate(x) for x in (tokens, reps, sizes))
+    distinct, at, n = np.unique(token, return_inverse=True, return_counts=True)
+    frequent = n > OFTEN
+    apart = frequent[at]
     share = (token % np.uint64(shares)).astype(np.int32)
+    share[apart] = -1 - xxhash.xxh3_64_intdigest(rep.tobytes()) % (1 << 30)
+    told = distinct[frequent]
+    token, rep = np.concatenate([token, told]), np.concatenate([rep, np.full(len(told), rep.min())])
+    size, share = np.concatenate([size, NOTICE + n[frequent]]), np.concatenate([share, (told % np.uint64(shares)).astype(np.int32)])
     order = np.lexsort((token, share))
     token, rep, size, share = token[order], rep[order], size[order], share[order]
     names, starts = np.unique(share, return_index=True)
@@ -222,7 +232,7 @@ def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, rep, size, n) of the tokens that several classes have, n of them; rows come sorted by share."""
+    """(token, rep, size, n) of the tokens that several classes have, n of them (of those that went apart, n there); rows come sorted by share."""
     share, lists = None, []
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -231,9 +241,11 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         token, rep, size = (np.concatenate(x) for x in zip(*lists, strict=True))
         order = np.argsort(token, kind="stable")
         token, rep, size = token[order], rep[order], size[order]
-        _, at, n = np.unique(token, return_inverse=True, return_counts=True)
-        several = n[at] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (token.astype(np.int64), rep, size, n[at].astype(np.int64))], ["token", "rep", "size", "n"])
+        told = size >= NOTICE
+        _, at = np.unique(token, return_inverse=True)
+        n = np.bincount(at, np.where(told, size - NOTICE, 1)).astype(np.int64)
+        several = ~told & (n[at] > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (token.astype(np.int64), rep, size, n[at])], ["token", "rep", "size", "n"])
 
     for b in batches:
         for s, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -537,12 +549,14 @@ def _meetings(tokens: DataFrame, homes: DataFrame, enough, percent: int) -> Data
     by_rep = W.partitionBy("rep")
     asking = F.row_number().over(by_rep.orderBy("n", "token")) <= F.count("*").over(by_rep) - enough + 1
     matrix = entries_.withColumn("asking", asking).groupBy("token", "home").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("asking").alias("asking"))
-    matrix = common.written(matrix.withColumn("squares", F.ceil(F.count("*").over(W.partitionBy("token")) / F.lit(SQUARE)).cast("int")), "tgm-matrix")
-    own = matrix.filter("asking").select("token", F.col("home").alias("a"), F.col("least").alias("least_a"), F.col("most").alias("most_a"), F.pmod(F.xxhash64("home"), F.col("squares")).cast("int").alias("square"))
-    other = matrix.select("token", F.col("home").alias("b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"), F.explode(F.sequence(F.lit(0), F.col("squares") - 1)).alias("square"))
+    matrix = common.written(matrix, "tgm-matrix")
+    many = common.written(matrix.groupBy("token").agg(F.count("*").alias("parts")).filter(F.col("parts") > SQUARE), "tgm-many")
+    matrix_ = common.join_hot(matrix, many, "token", "parts", "home").withColumn("squares", F.ceil(F.coalesce("parts", F.lit(1)) / F.lit(SQUARE)).cast("int"))
+    own = matrix_.filter("asking").select("token", F.col("home").alias("a"), F.col("least").alias("least_a"), F.col("most").alias("most_a"), F.pmod(F.xxhash64("home"), F.col("squares")).cast("int").alias("square"))
+    other = matrix_.select("token", F.col("home").alias("b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"), F.explode(F.sequence(F.lit(0), F.col("squares") - 1)).alias("square"))
     reach = (F.col("most_a") * 100 >= F.col("least_b") * percent) & (F.col("most_b") * 100 >= F.col("least_a") * percent)
     met = common.written(own.join(other, ["token", "square"]).filter((F.col("a") < F.col("b")) & reach).select("a", "b").distinct(), "tgm-met")
-    common.dropped(entries, mixed, entries_, matrix)
+    common.dropped(entries, mixed, entries_, matrix, many)
     return met
 
 

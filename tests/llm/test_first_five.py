@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +260,51 @@ def test_jaccard_links(spark, part):
         assert Counter((r.doc_id, r.n_links) for r in got) == want
 
 
+def test_jaccard_hot_group(spark, monkeypatch):
+    """Near copies that share most of their tokens, more than a worker posts of a token, in parts that meet in several squares."""
+    monkeypatch.setattr(jaccard_join, "SQUARE", 2)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(90):
+        w = [f"t{x}" for x in range(80)]
+        w[int(rng.integers(0, 80))] = f"u{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, f"alone {i} " + " ".join(f"v{i}w{x}" for x in range(20))) for i in range(20)]
+    own = [(i, H.shingles(t, 2)) for i, t in rows]
+    want = {i: sum(100 * len(a & b) >= 90 * len(a | b) for j, b in own if j != i) for i, a in own}
+    got = jaccard_join.jaccard_links(docs_of(spark, rows).coalesce(2), k=2, percent=90, part=8).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    assert {r.doc_id: r.component_id for r in got} == H.components(rows, 2, 90)
+
+
+def test_jaccard_shares():
+    """No class of a shared token is lost, and a token's share doesn't grow with its classes."""
+    rng = np.random.default_rng(9)
+    shares, want, dealt = 4, defaultdict(set), defaultdict(list)
+    for chunk in range(6):
+        tokens, reps, sizes = [], [], []
+        for rep in range(chunk * 300, chunk * 300 + (300 if chunk else 5)):
+            own = np.unique(np.concatenate([[77, 2**48 - 1], rng.integers(1000, 9000, 3)]).astype(np.uint64))
+            tokens.append(own)
+            reps.append(np.full(len(own), rep, np.int64))
+            sizes.append(np.full(len(own), len(own) + 5, np.int64))
+            for t in own.tolist():
+                want[t].add((rep, len(own) + 5))
+        made = jaccard_join._packed_rows(tokens, reps, sizes, shares)
+        for s, x in zip(*(c.to_pylist() for c in made.columns), strict=True):
+            dealt[s].append(x)
+    lengths = {s: sum(len(jaccard_join._unpacked(x)[0]) for x in xs) for s, xs in dealt.items()}
+    assert max(n for s, n in lengths.items() if s >= 0) < 1800 * 3 / shares * 1.5
+    assert max(len(xs) for s, xs in dealt.items() if s < 0) == 1
+    batches = [pa.record_batch([pa.array([s] * len(xs), pa.int32()), pa.array(xs, pa.binary())], ["share", "packed"]) for s, xs in sorted(dealt.items())]
+    got = defaultdict(set)
+    for b in jaccard_join._shared_tokens(iter(batches)):
+        for t, rep, size, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            assert n > 1 and (rep, size) not in got[t]
+            got[t].add((rep, size))
+    assert got == {t: x for t, x in want.items() if len(x) > 1}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(50)] + [(201, 200), (7, 7)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
