@@ -3,7 +3,8 @@
 The token shares p of the sources are raised to an exponent a and normalised:
 w = p^a / sum(p^a). a is bisected: 1 keeps the shares, 0 makes them equal. The
 target is an entropy (as a share of the greatest one) or a limit on how often
-any source is repeated, relative to the source repeated least. The weights are
+any source is repeated, relative to the source repeated least; with both, the
+entropy is sought as far as the limit lets it. The weights are
 then realised: each source gets a budget of tokens, and spends it on passes over
 its documents. Each pass takes the source's blocks, and the documents of each in
 a permutation of that pass; the last pass of a source takes its blocks in a
@@ -11,6 +12,10 @@ permutation of their own until the budget is spent. The mixture is one seeded
 permutation of the blocks of all sources and passes: `passes` gives each copy of
 a document its pass and its position, and `keep` writes the documents in that order.
 
+A source far smaller than its weight takes its rows millions of times; such rows
+are split into runs of passes that are dealt out before the copies are made, so
+that no task makes all copies of a row.
+
 Tokens are those of a byte-level BPE vocabulary, `tokenizer`; callers that have
 none count words. Defined cases: a null source is a source of its own; null and
 empty texts, and others without tokens, cost one token, so that they are placed
@@ -42,10 +47,14 @@ BLOCK_TOKENS = 1 << 16
 MEMO = 200_000
 #: Exponents measured at once, and how often: 42 steps of bisection in seven.
 POINTS, ROUNDS = 63, 7
+#: Copies of a row that one task makes; a row with more of them is dealt out in runs.
+RUN = 4096
 
 
 def _bisected(measure: Callable[[list[float]], list[tuple[float, float]]], entropy: float | None, repeats: float | None) -> float:
-    """The greatest exponent in [0, 1] that reaches the entropy, or the least that keeps the limit of repeats. measure: of exponents, the entropy as a share of the greatest one, and the ratio of the greatest and the least rate."""
+    """The greatest exponent in [0, 1] that reaches the entropy, or the least that keeps the limit of repeats; with both, the greater of the two. measure: of exponents, the entropy as a share of the greatest one, and the ratio of the greatest and the least rate."""
+    if entropy is not None and repeats is not None:
+        return max(_bisected(measure, entropy, None), _bisected(measure, None, repeats))
 
     def enough(m: tuple[float, float]) -> bool:
         return m[0] >= entropy if entropy is not None else m[1] <= repeats * (1 + 1e-12)
@@ -176,7 +185,7 @@ def block_of(place: Column, blocks: Column) -> Column:
 def cuts(sized: DataFrame, drawn: Plan, seed: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """A row for each source: full passes, number of blocks, and the block and place at which its broken pass ends."""
     spend = drawn.sources.select(
-        F.col("source").alias("own"), F.xxhash64("source").alias("key"), "rows", "weight", F.expr("budget div tokens").cast("int").alias("full"), F.expr("budget % tokens").alias("left"),
+        F.col("source").alias("own"), F.xxhash64("source").alias("key"), "rows", "weight", F.expr("budget div tokens").alias("full"), F.expr("budget % tokens").alias("left"),
         F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens))).cast("int").alias("blocks"),
     )
     spend = common.written(spend, "mix-spend")
@@ -205,30 +214,52 @@ def mixed(docs: DataFrame, source: str = "source", text: str = "text", doc_id: s
     drawn = plan(sized, "source", "tokens", entropy, repeats, budget)
     met = common.join_hot(sized.withColumn("key", F.xxhash64("source")), cuts(sized, drawn, seed, block_tokens), "key", "rows", "place").filter("source <=> own")
     block = block_of(F.col("place"), F.col("blocks"))
-    return met.select("doc_id", "source", "tokens", "weight", block.alias("block"), "place", _copies(F.col("full"), block, F.col("place"), seed).cast("int").alias("copies"))
+    return met.select("doc_id", "source", "tokens", "weight", block.alias("block"), "place", _copies(F.col("full"), block, F.col("place"), seed).alias("copies"))
 
 
 def order(epoch: Column, seed: int = 0) -> list[Column]:
     """Sort keys of the rows of a pass: that of the block among those of all sources and passes, and that of the row in its block."""
-    return [deal_of(F.xxhash64("source"), epoch, F.col("block"), seed), F.xxhash64("place", epoch, F.lit(seed))]
+    return [deal_of(F.xxhash64("source"), epoch, F.col("block"), seed), F.xxhash64("place", _seeding(epoch), F.lit(seed))]
 
 
 def deal_of(key: Column, epoch: Column, block: Column, seed: int) -> Column:
     """What the blocks of all sources and passes are ordered by."""
-    return F.xxhash64(key, epoch, block, F.lit(seed))
+    return F.xxhash64(key, _seeding(epoch), block, F.lit(seed))
+
+
+def _seeding(epoch: Column) -> Column:
+    """What a pass gives to a hash: passes that are a multiple of 2^31 apart have the same permutation."""
+    return epoch.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
+def _each_copy(rows: DataFrame, seed: int, most: int, run: int = RUN) -> DataFrame:
+    """A row for each copy, with pass_no from 0, deal and inner; one row, where these are null, for rows without copies. most: the greatest number of copies.
+
+    Runs of more than `run` copies are cut into that many shorter ones and dealt out before they are cut further.
+    """
 
+    def cut(df: DataFrame, step: int) -> DataFrame:
+        starts = F.when(F.col("until") > F.col("pass_no"), F.sequence("pass_no", F.col("until") - 1, F.lit(step).cast("long")))
+        return df.withColumn("from", F.explode_outer(starts)).withColumn("until", F.least("until", F.col("from") + step)).withColumn("pass_no", F.col("from")).drop("from")
 
-def _each_copy(rows: DataFrame, seed: int) -> DataFrame:
-    """A row for each copy, with pass_no from 0, deal and inner; one row, where these are null, for rows without copies."""
-    each = rows.withColumn("pass_no", F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1))))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = []  # from the shortest run to the longest
+    while run ** (len(steps) + 1) < most:
+        steps.append(run ** (len(steps) + 1))
+    each = rows.withColumn("pass_no", F.lit(0).cast("long")).withColumn("until", F.col("copies").cast("long"))
+    for step in reversed(steps):
+        each = cut(each, step).repartition(parts, F.xxhash64("place", "pass_no"))
+    each = cut(each, 1).drop("until")
     some = F.col("pass_no").isNotNull()
-    return each.withColumn("deal", F.when(some, deal_of(F.col("key"), F.col("pass_no"), F.col("block"), seed))).withColumn("inner", F.when(some, F.xxhash64("place", "pass_no", F.lit(seed))))
+    return each.withColumn("deal", F.when(some, deal_of(F.col("key"), F.col("pass_no"), F.col("block"), seed))).withColumn("inner", F.when(some, F.xxhash64("place", _seeding(F.col("pass_no")), F.lit(seed))))
 
 
 def passes(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", entropy: float | None = None, repeats: float | None = None, budget: float | None = None, seed: int = 0, block_tokens: int = BLOCK_TOKENS, tokenizer: tuple[str, str] | None = None) -> DataFrame:
     """The realised mixture: doc_id, source, tokens, weight, block, copies, and for each copy pass_no (from 0) and position (gapless, from 0); a document that the mixture leaves out has one row without these two."""
-    rows = mixed(docs, source, text, doc_id, entropy, repeats, budget, seed, block_tokens, tokenizer).withColumn("key", F.xxhash64("source"))
-    each = common.written(_each_copy(rows, seed), "mix-copies")
+    rows = common.written(mixed(docs, source, text, doc_id, entropy, repeats, budget, seed, block_tokens, tokenizer).withColumn("key", F.xxhash64("source")), "mix-rows")
+    most = rows.agg(F.max("copies").alias("m")).first()["m"] or 0
+    each = common.written(_each_copy(rows, seed, most), "mix-copies")
+    common.dropped(rows)
     taken = each.filter("pass_no is not null")
     own = ("key", "pass_no", "block")
     blocks = common.written(taken.groupBy(*own, "deal").agg(F.count("*").alias("n")).withColumn("part", F.shiftright("deal", 54)), "mix-dealt")
@@ -251,9 +282,10 @@ def keep(docs: DataFrame, source: str = "source", text: str = "text", doc_id: st
     held = cuts(sized, plan(sized, "source", "tokens", entropy, repeats, budget), seed, block_tokens)
     common.dropped(sized)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(F.col(source).cast("string")).alias("key"), F.col(source).cast("string").alias("_source"), place_of(F.col(doc_id), F.col(text), seed).alias("place"))
+    most = 1 + (held.agg(F.max("full").alias("m")).first()["m"] or 0)
     few, small = common.bounded(held)
     met = (whole.join(few, "key") if small else common.join_hot(whole, held, "key", "rows", "place")).filter("_source <=> own").withColumn("block", block_of(F.col("place"), F.col("blocks")))
-    each = _each_copy(met.select("doc", "key", "place", "block", _copies(F.col("full"), F.col("block"), F.col("place"), seed).cast("int").alias("copies")), seed).filter("pass_no is not null")
+    each = _each_copy(met.select("doc", "key", "place", "block", _copies(F.col("full"), F.col("block"), F.col("place"), seed).alias("copies")), seed, most).filter("pass_no is not null")
     # Blocks are dealt by ranges of their hash, so that partitions follow each other in the mixture's order.
     parts = min(1 << 16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     part = F.shiftright((F.shiftright("deal", 48) + F.lit(1 << 15)) * parts, 16).cast("int")

@@ -9,15 +9,16 @@ and a tie number, both big-endian, so that bytes sort as numbers and nulls come
 last. A block is compressed and holds
 entries (bytes shared with the key before, length of the rest, length of the
 value, rest, value), numbers as varints; its first entry shares nothing. Values
-are ids as little-endian numbers of two bytes, or four for vocabularies over
-65,536. The index has each block's first key, place, length and number of
+are ids as little-endian numbers of two bytes, or four where an id of the
+vocabulary or the end id is over 65,535. The index has each block's first key, place, length and number of
 entries and ids; the filter is a Bloom filter of the doc_ids. The footer has a
 fixed length and says where index and filter are. A lookup reads the footer, asks
 the filter, searches the index by halves and reads one block.
 
 Rows are dealt by exact splitters of (doc_id, hash of the text, salt), so that a
-doc_id with many rows spreads over shards. A task writes its file under a name
-of its own; only files in the manifest that Spark has kept count, so tasks that
+doc_id with many rows spreads over shards. There are as many parts as hold
+SHARD_BYTES of text each, MOST_PARTS at most; a task writes the files of its part
+one after the other, each up to SHARD_BYTES of ids, under names of their own; only files in the manifest that Spark has kept count, so tasks that
 are run again do no harm.
 
 Encoding is the library's. Texts that hold the string of one of its added tokens
@@ -48,12 +49,15 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from netquarry.llm import common, histogram_sort
 from netquarry.llm.pretokens import splitter
 
 #: Bytes of entries in a block before compression, about, and of text in a shard.
 BLOCK_BYTES, SHARD_BYTES = 256 << 10, 48 << 20
+#: Parts that rows are dealt to, each sorted and written by one task.
+MOST_PARTS = 1 << 14
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 #: Pre-tokens whose ids a worker remembers.
 MEMO = 1_200_000
@@ -205,7 +209,7 @@ class Reader:
 class Encoder:
     """Whole texts to packed ids by the tokenizers library. Where the pre-tokenizer is byte-level, each distinct pre-token of texts without added tokens is given to the library once and remembered."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, end_id: int = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -216,7 +220,7 @@ class Encoder:
         self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
         vocabulary = self.tokenizer.get_vocab()
-        self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        self.kind = np.dtype("<u2" if max(end_id, *vocabulary.values()) < 1 << 16 else "<u4")
         self.bytes_of = np.zeros(1 + max(vocabulary.values()), np.int64)  # a byte-level token has a character for each byte
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
@@ -253,13 +257,15 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def _encoder(path: str, pattern: str, end_id: int) -> Encoder:
+    return Encoder(path, pattern, end_id)
 
 
-def _encode(path: str, pattern: str, end_id: int, cuts: list[tuple]):
+def _encode(path: str, pattern: str, end_id: int, cuts):
+    """cuts: a broadcast list of where the parts begin."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _encoder(path, pattern)
+        of = _encoder(path, pattern, end_id)
         end = np.array([end_id], of.kind).tobytes()
         for b in batches:
             keys = zip(*(b.column(k).to_pylist() for k in ("absent", "id", "tie", "salt")), strict=True)
@@ -272,37 +278,40 @@ def _encode(path: str, pattern: str, end_id: int, cuts: list[tuple]):
                     to += 1
                 values += [x + end for x in of(texts[at:to])]
                 at = to
-            shard = [bisect.bisect_right(cuts, k) for k in keys]
+            shard = [bisect.bisect_right(cuts.value, k) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column("absent"), b.column("id"), b.column("tie"), pa.array(values, pa.binary())], ["shard", "absent", "id", "tie", "value"])
 
     return encode
 
 
-def _write(folder: str, width: int):
+def _write(folder: str, width: int, shard_bytes: int):
+    """Files of one part each, a new one where the last has shard_bytes of ids."""
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         files, path = fs.FileSystem.from_uri(folder)
-        names = ["shard", "file", "n_docs", "n_ids"]
-        out = None
+        names = ["part", "nth", "file", "n_docs", "n_ids"]
+        out, nth = None, 0
         done: list[tuple] = []
 
         def close() -> None:
             if out:
                 out[1].close()
                 out[2].close()
-                done.append((out[0], out[3], out[1].docs, out[1].ids))
+                done.append((out[0], nth, out[3], out[1].docs, out[1].ids))
 
         for b in batches:
             for s, absent, i, tie, value in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if out is None or out[0] != s:
+                if out is None or out[0] != s or out[1].ids * width >= shard_bytes:
                     close()
-                    name = f"{s:06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.sst"
+                    nth = nth + 1 if out and out[0] == s else 0
+                    name = f"{s:06d}-{nth:06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.sst"
                     sink = files.open_output_stream(f"{path}/{name}")
                     out = (s, Writer(sink, width), sink, name)
                 out[1].add(key_of(None if absent else i, tie), np.frombuffer(value, "<u2" if width == 2 else "<u4"))
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 4, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 5, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names)
 
     return write
 
@@ -312,8 +321,8 @@ def open_shard(folder: str, name: str) -> Reader:
     return Reader(files.open_input_file(f"{path}/{name}"))
 
 
-def write_shards(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, folder: str | None = None, text: str = "text", doc_id: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> tuple[str, DataFrame]:
-    """(folder, manifest): a row (shard, file, n_docs, n_ids, start) for each file, in the order of keys."""
+def write_shards(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, folder: str | None = None, text: str = "text", doc_id: str = "doc_id", shard_bytes: int = SHARD_BYTES, most_parts: int = MOST_PARTS) -> tuple[str, DataFrame]:
+    """(folder, manifest): a row (shard, file, n_docs, n_ids, start) for each file; shard counts the files in the order of keys, from 0."""
     spark = common.tune(docs.sparkSession)
     folder = folder or common.scratch(spark, "sst")
     files, path = fs.FileSystem.from_uri(folder)
@@ -328,20 +337,22 @@ def write_shards(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, fol
     s = light.agg(F.sum("size").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).first()
     cuts = []
     if s["size"]:
-        n = -(-s["size"] // shard_bytes)
+        n = min(most_parts, -(-s["size"] // shard_bytes))
         levels = [("absent", 0, 2), ("id", s["low"], s["high"] + 1), ("tie", 0, 1 << 63), ("salt", 0, SALTS)]
         found = histogram_sort.splitters(light, levels, "size", [(s["size"] * k // n, shard_bytes // 8) for k in range(1, n)])
         cuts = sorted({(*c, *(low for _, low, _ in levels[len(c) :])) for c in found})
     common.dropped(light)
-    width = _encoder(tokenizer, pattern).kind.itemsize
-    dealt = keys.mapInArrow(_encode(tokenizer, pattern, end_id, cuts), "shard int, absent int, id long, tie long, value binary")
+    width = _encoder(tokenizer, pattern, end_id).kind.itemsize
+    dealt = keys.mapInArrow(_encode(tokenizer, pattern, end_id, spark.sparkContext.broadcast(cuts)), "shard int, absent int, id long, tie long, value binary")
     dealt = dealt.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "absent", "id", "tie")
-    manifest = common.written(dealt.mapInArrow(_write(folder, width), "shard int, file string, n_docs long, n_ids long"), "sst-manifest")
-    rows, start = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r["shard"]):  # a row for each file
-        rows.append((len(rows), r["file"], r["n_docs"], r["n_ids"], start))
-        start += r["n_ids"]
-    return folder, spark.createDataFrame(rows, "shard int, file string, n_docs long, n_ids long, start long")
+    kept = common.written(dealt.mapInArrow(_write(folder, width, shard_bytes), "part int, nth int, file string, n_docs long, n_ids long"), "sst-files")
+    # What stands before a file: that of the parts before its own, MOST_PARTS of them, and of the files before it in its part.
+    before = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = kept.groupBy("part").agg(F.count("*").alias("files"), F.sum("n_ids").alias("ids"))
+    parts = parts.select("part", before("files", W.orderBy("part")).alias("files_before"), before("ids", W.orderBy("part")).alias("ids_before"))
+    start = F.col("ids_before") + before("n_ids", W.partitionBy("part").orderBy("nth"))
+    manifest = kept.join(F.broadcast(parts), "part").select((F.col("files_before") + F.col("nth")).alias("shard"), "file", "n_docs", "n_ids", start.alias("start"))
+    return folder, common.written(manifest, "sst-manifest")
 
 
 def _lookup(folder: str):
@@ -366,8 +377,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_back(folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
-    n = max(1, manifest.count())
-    return manifest.repartitionById(n, F.col("shard")).select("file", "start").mapInArrow(_lookup(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = min(MOST_PARTS, max(1, manifest.count()))
+    return manifest.repartitionById(n, (F.col("shard") % n).cast("int")).select("file", "start").mapInArrow(_lookup(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def in_memory(docs: list[tuple[int, list[int]]], width: int = 4, block_bytes: int = BLOCK_BYTES) -> Reader:

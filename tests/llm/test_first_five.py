@@ -555,3 +555,28 @@ def test_pipeline_awkward(spark, tmp_path):
     for name, stage in P.STAGES:
         docs = common.written(stage(spark, docs, str(tmp_path)), "test-stage")
         assert docs.count() == 0 and (name == "bpe" or docs.columns == own)
+
+
+def test_mixing_tiny_source(spark):
+    """One short document beside two thousand others is taken many thousand times; its runs of passes are dealt out before they are made."""
+    rows = [(i, "word " * 100, "big") for i in range(2000)] + [(2000, "tiny", "small"), (None, "", "small"), (2001, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"entropy": 0.95, "budget": 1.0}
+    want = {r.doc_id: r.copies for r in mixing.mixed(docs, **options).collect()}
+    assert want[2000] > 6 * mixing.RUN
+    got = mixing.passes(docs, **options)
+    each = got.filter("pass_no is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("pass_no").alias("passes"), F.max("pass_no").alias("last")).collect()
+    assert {r.doc_id: r.n for r in each} == {i: n for i, n in want.items() if n} and all(r.n == r.passes == r.last + 1 for r in each)
+    n = sum(want.values())
+    assert got.agg(F.countDistinct("position"), F.min("position"), F.max("position")).first() == (n, 0, n - 1)
+    assert mixing.keep(docs, **options).groupBy("doc_id").count().filter("count > 0").count() == sum(x > 0 for x in want.values())
+    held = {r.doc_id: r.copies for r in mixing.mixed(docs, repeats=3.0, **options).collect()}
+    assert held[2000] <= 4 and mixing.exponent([0.9, 0.1], entropy=0.99, repeats=1.0) == 1.0
+    rows = spark.createDataFrame([(1, 5, "a"), (2, 0, "a"), (3, 17, "a")], "place long, copies long, source string").selectExpr("*", "1L as key", "0 as block")
+    plain = sorted([(p, k) for p, n in ((1, 5), (3, 17)) for k in range(n)] + [(2, None)], key=str)
+    assert sorted([(r.place, r.pass_no) for r in mixing._each_copy(rows, 0, 17, run=2).collect()], key=str) == plain
+    huge = spark.createDataFrame([(1, 3 << 40, "a")], "place long, copies long, source string").selectExpr("*", "1L as key", "0 as block")
+    assert [r.pass_no for r in mixing._each_copy(huge.withColumn("copies", F.lit(5).cast("long")), 0, 3 << 20, run=1 << 10).collect()] == list(range(5))
+    sized = spark.createDataFrame([("t", 1, 1), ("b", 5 << 40, 1)], "source string, tokens long, place long")
+    drawn = mixing.plan(sized, "source", "tokens", entropy=0.95, budget=1.0)
+    assert mixing.cuts(sized, drawn, block_tokens=1 << 45).agg(F.max("full")).first()[0] > 1 << 32

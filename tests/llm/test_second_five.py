@@ -340,6 +340,32 @@ def test_sst(spark, shard_bytes):
     assert sst.read_back(*sst.write_shards(docs.limit(0), queries.tokenizer("byte_bpe_50k.json"), queries.pre_tokens(), 2)).count() == 0
 
 
+def test_sst_parts_and_files(spark):
+    """Few parts write several files each, in the order of keys; starts run on through all of them."""
+    docs = small(spark)
+    folder, manifest = sst.write_shards(docs, queries.tokenizer("byte_bpe_50k.json"), queries.pre_tokens(), 2, shard_bytes=4_000, most_parts=3)
+    files = manifest.orderBy("shard").collect()
+    assert [r.shard for r in files] == list(range(len(files))) and len(files) > 12 and len({r.file.split("-")[0] for r in files}) <= 3
+    assert [r.start for r in files] == [sum(x.n_ids for x in files[:k]) for k in range(len(files))]
+    got = [r.doc_id for r in sst.read_back(folder, manifest).orderBy("start").collect()]
+    assert got == sorted(got) and len(got) == docs.count()
+    assert [sst.doc_of(k)[0] for r in files for k, _ in sst.open_shard(folder, r.file)] == got
+
+
+def test_sst_sparse_vocabulary(tmp_path):
+    """The width of an id goes by the greatest one, and by the end id, not by their number."""
+    import json
+
+    from tokenizers import Tokenizer, models
+
+    Tokenizer(models.WordLevel({"a": 0, "b": 70_000}, unk_token="a")).save(str(tmp_path / "sparse.json"))
+    Tokenizer(models.WordLevel({"a": 0, "b": 7}, unk_token="a")).save(str(tmp_path / "small.json"))
+    assert len(json.loads((tmp_path / "sparse.json").read_text())["model"]["vocab"]) == 2
+    kinds = [sst.Encoder(str(tmp_path / f), queries.pre_tokens(), end).kind.itemsize for f, end in (("sparse.json", 2), ("small.json", 2), ("small.json", 65_535), ("small.json", 65_536))]
+    assert kinds == [4, 2, 2, 4]
+    assert np.frombuffer(sst.Encoder(str(tmp_path / "sparse.json"), queries.pre_tokens(), 2)(["b"])[0], "<u4").tolist() == [70_000]
+
+
 def test_sst_special_tokens(spark):
     """A special token's string is its id, as the library has it, wherever it stands."""
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y it's", "<|endoftext| >", "plain text <|", " <|endoftext|>\n\n z"]
