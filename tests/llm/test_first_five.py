@@ -571,7 +571,7 @@ def test_mixing_tiny_source(spark):
     assert got.agg(F.countDistinct("position"), F.min("position"), F.max("position")).first() == (n, 0, n - 1)
     assert mixing.keep(docs, **options).groupBy("doc_id").count().filter("count > 0").count() == sum(x > 0 for x in want.values())
     held = {r.doc_id: r.copies for r in mixing.mixed(docs, repeats=3.0, **options).collect()}
-    assert held[2000] <= 4 and mixing.exponent([0.9, 0.1], entropy=0.99, repeats=1.0) == 1.0
+    assert held[2000] <= 4 and mixing.exponent([0.9, 0.1], entropy=0.99, repeats=1.0) > 0.999999
     rows = spark.createDataFrame([(1, 5, "a"), (2, 0, "a"), (3, 17, "a")], "place long, copies long, source string").selectExpr("*", "1L as key", "0 as block")
     plain = sorted([(p, k) for p, n in ((1, 5), (3, 17)) for k in range(n)] + [(2, None)], key=str)
     assert sorted([(r.place, r.pass_no) for r in mixing._each_copy(rows, 0, 17, run=2).collect()], key=str) == plain
