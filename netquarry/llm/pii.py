@@ -4,19 +4,27 @@ Base spans are found by pattern. Each found value is a protected entity. Over th
 whole corpus it is counted in how many documents an entity, a term, and the two
 together occur, wherever they stand in these. How much of an entity c a term t tells is
 PMI(c; t) = log2(N n(c,t) / (n(c) n(t))), at most what the entity itself tells,
-IC(c) = log2(N / n(c)). Terms that tell DISCLOSES of any entity or more are
-generalised wherever they occur, also in documents without the entity; those that
-tell REVEALS of it or more are removed. An entity of a single document is judged
-like any other: a term of that document alone tells all of it.
-
-A term of one document tells all of each entity there, n(c,t) = n(t) = 1, so that
-only terms of several documents need to be counted in pairs with entities.
+IC(c) = log2(N / n(c)). A few documents prove little: for n(c,t) / n(t) stands its
+lower confidence bound, the least share p of which n(c,t) out of n(t) documents
+aren't rarer than CHANCE has it (n(t) KL(n(c,t)/n(t) | p) <= ln(1 / CHANCE)). So a rare
+word that only one document has tells nothing, and a nickname that many documents
+with an address have, and no others, tells it. Terms that tell DISCLOSES of any entity
+or more are generalised wherever they occur, also in documents without the entity;
+those that tell REVEALS of it or more are removed. Copies of a text with entities
+count as one document; near copies are documents of their own.
+
+The bound also says how many documents a pair needs (`least_together`): entities and
+terms of fewer are left out before pairs are made. Entities that have the same
+documents are one class, and so are terms with the same documents and count, so that
+a text of many entities and terms gives pairs of classes; those of a text with many
+classes are dealt to several tasks.
 
 Defined cases: a null or empty text has no spans; a very long text is scanned
 whole, in time that grows with its length; spans of different kinds may overlap,
 and where they do the text is replaced up to where the last of them ends; of
 terms that tell several entities the most they tell of any counts; rows that
-occur more than once count, and are sanitised, each by itself; null and repeated
+occur more than once are sanitised each by itself; an entity of all documents is told
+by no term; null and repeated
 doc_ids are rows like any others; an empty table gives no rows; extra columns are
 left alone.
 """
@@ -29,17 +37,24 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from math import ceil, inf, log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from netquarry.llm import common
 
 #: Shares of an entity's information from which a term is generalised or removed.
 DISCLOSES, REVEALS = 0.8, 0.95
+#: Chance that a share of documents is as high as counted though its bound is the true one.
+CHANCE = 0.001
+#: Pairs of classes of a document that one task makes.
+PAIRS = 4 << 20
 #: Terms that a worker counts before it passes the counts on.
 HELD = 400_000
 #: The kinds in their order; patterns are the contract's, written so that no run of characters is scanned twice.
@@ -124,31 +139,56 @@ def places(text: str, words: list[str], spans: list[tuple[int, int, str]]) -> li
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entities, terms) of each text with entities, and (terms, counts) of the documents that have a term, summed as far as a worker's memory goes."""
+    """(digest, entities, terms, others) of each text with entities, others being words that it has within spans alone; and (terms, counts) of the other documents that have a term, summed as far as a worker's memory goes."""
     held: Counter[str] = Counter()
-    names, kind = ["entities", "terms", "counts"], pa.list_(pa.int64())
+    names, kind = ["digest", "entities", "terms", "others", "counts"], pa.list_(pa.int64())
+    kinds = [pa.binary(), kind, kind, kind, kind]
 
     def out() -> pa.RecordBatch:
-        columns = [[None], [list(map(_hash, held))], [list(held.values())]]
+        columns = [[None], [None], [list(map(_hash, held))], [None], [list(held.values())]]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     for b in batches:
         rows = []
         for t in b.column(0).to_pylist():
             if not t:
                 continue
-            held.update({w.lower() for w in set(WORD.findall(t))})
+            words = {w.lower() for w in set(WORD.findall(t))}
             if spans := base_spans(t):
-                rows.append(([*{_hash(f"{kind}:{t[x:y].lower()}") for x, y, kind in spans}], [*map(_hash, {t[x:y].lower() for x, y in outside(t, spans)})], None))
+                terms = {t[x:y].lower() for x, y in outside(t, spans)}
+                digest = xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))
+                rows.append((digest, [*{_hash(f"{kind}:{t[x:y].lower()}") for x, y, kind in spans}], [*map(_hash, terms)], [*map(_hash, words - terms)], None))
+                continue
+            held.update(words)
             if len(held) >= HELD:
                 yield out()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*rows, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     if held:
         yield out()
 
 
+def lower_bound(both: np.ndarray, docs: np.ndarray, chance: float = CHANCE) -> np.ndarray:
+    """Logarithms of the least p with docs KL(both / docs | p) <= ln(1 / chance)."""
+    x, n, level = both.astype(float), docs.astype(float), -log(chance)
+    q = x / n
+    rest = np.where(q < 1, 1 - q, 1.0)
+    own = np.where(q < 1, (n - x) * np.log(rest), 0.0)
+    high = np.log(q)
+    low = high - (level - own) / x
+    for _ in range(60):
+        mid = (low + high) / 2
+        apart = x * (np.log(q) - mid) + own - np.where(q < 1, (n - x) * np.log1p(-np.exp(np.minimum(mid, -1e-300))), 0.0)
+        low, high = np.where(apart > level, mid, low), np.where(apart > level, high, mid)
+    return high
+
+
+def least_together(own: float, total: float, discloses: float = DISCLOSES, chance: float = CHANCE) -> float:
+    """Documents that an entity of `own` documents and a term need to have in common, at least, for the term to tell `discloses` of it."""
+    return max(2, ceil(-log(chance) / ((1 - discloses) * log(total / own)) - 1e-9)) if own < total and discloses < 1 else inf
+
+
 BASE = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, found array<struct<term:bigint,start:int,stop:int,shape:string>>"
 _FOUND = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("shape", pa.string())]))
 
@@ -198,40 +238,64 @@ def _marker(bits):
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
+@F.pandas_udf(DoubleType())
+def _bound(both: pd.Series, docs: pd.Series) -> pd.Series:
+    return pd.Series(lower_bound(both.to_numpy(), docs.to_numpy()))
+
+
+def _classes(rows: DataFrame, items: str, by: str, least: float) -> DataFrame:
+    """(by, k, class) of what `items` of the documents hold: k documents, and a class for those that have the same ones."""
+    each = rows.select("uid", F.explode(items).alias(by)).groupBy(by).agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("uid")).alias("_a"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("_b"))
+    return each.filter(F.col("k") >= least).withColumn("class", F.struct("_a", "_b")).drop("_a", "_b")
+
+
 def telling(docs: DataFrame, text: str = "text", discloses: float = DISCLOSES) -> DataFrame:
     """(term, share) of the terms that tell `discloses` of an entity or more: the most that they tell of any. Written."""
-    common.tune(docs.sparkSession)
+    spark = common.tune(docs.sparkSession)
     texts = docs.select(F.col(text).alias("text"))
-    total = float(texts.count())
-    found = common.written(texts.mapInArrow(_told, "entities array<long>, terms array<long>, counts array<long>").withColumn("uid", F.monotonically_increasing_id()), "pii-base")
-    base = found.filter("entities is not null")
-    entities = common.written(base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("own")), "pii-entities")
-    wanted = base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("k"))
-    counts = found.filter("counts is not null").select(F.inline(F.arrays_zip("terms", "counts"))).groupBy(F.col("terms").alias("term")).agg(F.sum("counts").alias("docs"))
-    # share >= discloses is both / docs >= (own / N)^(1 - discloses), and both <= own: too frequent terms tell too little of any entity
+    found = common.written(texts.mapInArrow(_told, "digest binary, entities array<long>, terms array<long>, others array<long>, counts array<long>"), "pii-found")
+    with_entities = found.filter("digest is not null")
+    base = common.written(with_entities.dropDuplicates(["digest"]).withColumn("uid", F.monotonically_increasing_id()), "pii-base")
+    total = float(texts.count() - with_entities.count() + base.count())
+    entities = _classes(base, "entities", "entity", 2).withColumn("own", F.col("k")).filter(F.col("k") < F.lit(total)).filter(F.col("k") >= need_of(total, discloses))
+    entities = common.written(entities, "pii-entities")
+    # share >= discloses takes own / docs >= (own / N)^(1 - discloses) at least: too frequent terms tell too little of any entity
     bound = F.pow("own", F.lit(discloses)) * F.lit(total ** (1 - discloses) * (1 + 1e-9))
-    top = entities.agg(F.max(bound).alias("bound"), F.max("own").alias("own")).first()
-    most = top["bound"] or 0.0
-    counts = common.written(wanted.join(counts.filter(F.col("docs") <= F.lit(most)), "term"), "pii-term-counts")
-    several = counts.filter("docs > 1")
-    rare = common.join_hot(base.select("uid", F.explode("terms").alias("term")), several, "term", "k", "uid").filter("docs is not null").select("uid", "term", "docs")
-    named = common.join_hot(base.select("uid", F.explode("entities").alias("entity")), entities, "entity", "own", "uid").select("uid", "entity", "own")
-    pairs = named.join(rare, "uid").filter(F.col("docs") <= bound).groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("own").alias("own"), F.first("docs").alias("docs"))
-    tells = F.log2(F.lit(total) * F.col("both") / (F.col("own") * F.col("docs").cast("double")))
-    own = F.log2(F.lit(total) / F.col("own"))
-    share = F.when(own > 0, tells / own).otherwise(0.0)
-    # What a term of one document tells is all, of entities that aren't in every document.
-    single = counts.filter("docs = 1").select("term")
-    if (top["own"] or 0) >= total:
-        telltale = named.filter(F.col("own") < F.lit(total)).select("uid").distinct()
-        single = base.select("uid", F.explode("terms").alias("term")).join(single, "term").join(telltale, "uid", "left_semi").select("term")
-    single = single.withColumn("share", F.lit(1.0))
-    shared = pairs.withColumn("share", share).groupBy("term").agg(F.max("share").alias("share"))
-    out = common.written(shared.unionByName(single).filter(F.col("share") >= discloses), "pii-telling")
-    common.dropped(found, entities, counts)
+    top = entities.agg(F.max(bound).alias("bound"), F.min("k").alias("least")).first()
+    least = least_together(top["least"], total, discloses) if top["least"] else inf
+    wanted = common.written(_classes(base, "terms", "term", least), "pii-wanted")
+    more = found.filter("counts is not null").select(F.inline(F.arrays_zip("terms", "counts"))).select(F.col("terms").alias("term"), "counts")
+    more = more.unionByName(base.select(F.explode("others").alias("term"), F.lit(1).cast("long").alias("counts"))).groupBy("term").agg(F.sum("counts").alias("more"))
+    n = F.col("k") + F.coalesce("more", F.lit(0))
+    terms = common.written(wanted.join(more, "term", "left").withColumn("docs", n).drop("more").filter(F.col("docs") <= F.lit(top["bound"] or 0.0)), "pii-terms")
+    named = common.join_hot(base.select("uid", F.explode("entities").alias("entity")), entities, "entity", "k", "uid").filter("k is not null").select("uid", "class", "own").distinct()
+    rare = common.join_hot(base.select("uid", F.explode("terms").alias("term")), terms, "term", "k", "uid").filter("k is not null").select("uid", F.struct("class", "docs").alias("term"), "docs", "k").distinct()
+    named, rare = common.written(named, "pii-named"), common.written(rare, "pii-rare")
+    pairs = _dealt(named, rare).filter((F.col("docs") <= bound) & (F.col("k") >= need_of(total, discloses))).groupBy("class", "term").agg(F.count("*").alias("both"), F.first("own").alias("own"), F.first("docs").alias("docs"))
+    own = F.log(F.lit(max(total, 1.0)) / F.col("own"))
+    share = (_bound("both", "docs") + own) / own
+    shares = pairs.select(F.col("term.class").alias("class"), "docs", share.alias("share")).groupBy("class", "docs").agg(F.max("share").alias("share")).filter(F.col("share") >= discloses)
+    out = common.written(terms.join(shares, ["class", "docs"]).select("term", "share"), "pii-telling")
+    common.dropped(found, base, entities, wanted, terms, named, rare)
     return out
 
 
+def need_of(total: float, discloses: float):
+    """`least_together` of the column `own`."""
+    return F.greatest(F.lit(2.0), F.ceil(F.lit(-log(CHANCE) / (1 - discloses)) / F.log(F.lit(max(total, 1.0)) / F.col("own")) - F.lit(1e-9)))
+
+
+def _dealt(named: DataFrame, rare: DataFrame) -> DataFrame:
+    """named and rare joined by uid; the terms of a document with more than PAIRS pairs are dealt to several tasks, and its entities go to each."""
+    sizes = named.groupBy("uid").agg(F.count("*").alias("e")).join(rare.groupBy("uid").agg(F.count("*").alias("t")), "uid")
+    large = common.written(sizes.select("uid", F.ceil(F.col("e") * F.col("t") / PAIRS).cast("int").alias("parts")).filter("parts > 1"), "pii-large")
+    few, _ = common.bounded(large)
+    parts = F.coalesce("parts", F.lit(1))
+    left = named.join(few, "uid", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    right = rare.join(few, "uid", "left").withColumn("part", F.pmod(F.xxhash64("term"), parts).cast("int")).drop("parts")
+    return left.join(right, ["uid", "part"])
+
+
 def _bits(told: DataFrame) -> np.ndarray:
     """A bit for each term's hash, in a table of fixed size."""
     at = F.pmod("term", F.lit(BITS))
