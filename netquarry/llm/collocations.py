@@ -47,7 +47,7 @@ ROWS, LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, BLOCK = 2, 1 << 18, 1 << 24, 32, 1
 #: Sketches for each core of the cluster in the first pass: their size doesn't depend on that of the text.
 SKETCHES = 2
 #: Phrases that a worker counts before it passes the counts on; words that it remembers; bytes of a chunk.
-HELD, MEMO, CHUNK = 400_000, 1_000_000, 4 << 20
+HELD, MEMO, CHUNK = 400_000, 1_000_000, 2 << 20
 #: Marks that end a piece become line feeds, tabs become spaces.
 MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 #: Odd multipliers that spread hashes over the rows, and the one of the chain.
@@ -56,7 +56,7 @@ CHAIN = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Words(dict):
-    """Numbers of words, by first use; `hashes` and `names` are by number. Empty strings and line feeds have numbers below 0."""
+    """Numbers of words, by first use; `hashes` and `names` are by number, `raw` are the hashes of the last ones. Empty strings and line feeds have numbers below 0."""
 
     def __init__(self):
         super().__init__({b"": -2, b"\n": -1})
@@ -71,8 +71,9 @@ class Words(dict):
         return n
 
     def hashed(self) -> np.ndarray:
-        if len(self.hashes) < len(self.raw):
-            self.hashes = np.array(self.raw, np.uint64)
+        if self.raw:
+            self.hashes = np.concatenate([self.hashes, np.array(self.raw, np.uint64)])
+            self.raw.clear()
         return self.hashes
 
 
@@ -112,16 +113,21 @@ def _cells(h: np.ndarray, row: int, cells: int) -> np.ndarray:
     return ((h * np.uint64(SPREAD[row])) >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
-def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
-    """(language, its texts): texts joined by line feeds, as far as a chunk goes."""
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """(language, its texts): texts joined by line feeds, a chunk of a language or so at a time."""
     held: dict[str, list[bytes]] = {}
     size: Counter[str] = Counter()
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        held.setdefault(lang, []).append(text or b"")
-        size[lang] += len(text or b"")
-        if size[lang] > CHUNK:
-            yield lang, b"\n".join(held.pop(lang))
-            del size[lang]
+    for b in batches:
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            held.setdefault(lang, []).append(text or b"")
+            size[lang] += len(text or b"") + 1
+            if size[lang] > CHUNK:
+                del size[lang]
+                yield lang, b"\n".join(held.pop(lang))
+        if size.total() > 4 * CHUNK:  # many languages
+            size.clear()
+            while held:
+                yield (one := held.popitem())[0], b"\n".join(one[1])
     for lang, texts in held.items():
         yield lang, b"\n".join(texts)
 
@@ -131,24 +137,23 @@ def _sketcher(longest: int, least: int, cells: int):
     kind = np.uint8 if least < 256 else np.uint16 if least < 1 << 16 else np.uint32
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, words = np.zeros((ROWS, cells), np.uint32), Words()
-        for b in batches:
-            for lang, text in _by_lang(b):
-                if len(words) > MEMO:
-                    words = Words()
-                seed = _seed(lang)
-                for w, piece, seen in chunks(text, words, longest):
-                    of = words.hashed()[w]
-                    h = _mixed(of ^ seed)
-                    for m in range(1, longest + 1):
-                        if m > 1:
-                            h = _mixed(h[:-1] * CHAIN + of[m - 1 :])
-                        if not len(h):
-                            break
-                        start = max(0, seen - m + 1)  # what ends within the carried words was counted before
-                        whole = h[start:][piece[start : len(h)] == piece[start + m - 1 :]]
-                        for row in range(ROWS):
-                            np.add.at(table[row], _cells(whole, row, cells), 1)
+        table, words, one = np.zeros((ROWS, cells), np.uint32), Words(), np.uint32(1)  # a number of the table's own kind is added much faster
+        for lang, text in _by_lang(batches):
+            if len(words) > MEMO:
+                words = Words()
+            seed = _seed(lang)
+            for w, piece, seen in chunks(text, words, longest):
+                of = words.hashed()[w]
+                h = _mixed(of ^ seed)
+                for m in range(1, longest + 1):
+                    if m > 1:
+                        h = _mixed(h[:-1] * CHAIN + of[m - 1 :])
+                    if not len(h):
+                        break
+                    start = max(0, seen - m + 1)  # what ends within the carried words was counted before
+                    whole = h[start:][piece[start : len(h)] == piece[start + m - 1 :]]
+                    for row in range(ROWS):
+                        np.add.at(table[row], _cells(whole, row, cells), one)
         flat = np.minimum(table.reshape(-1), least).astype(kind)
         del table
         for k in range(0, len(flat), BLOCK):
@@ -210,40 +215,39 @@ def _counter(longest: int, cells: int, bits):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        for b in batches:
-            for lang, text in _by_lang(b):
-                if len(words) > MEMO:
-                    words = Words()
-                seed = _seed(lang)
-                for w, piece, seen in chunks(text, words, longest):
-                    of, name = words.hashed()[w], words.names
-                    held[lang, None, 0] += len(w) - seen
-                    pos, h = np.arange(len(w)), _mixed(of ^ seed)  # surviving phrases of m words: where they begin, their hash, their number
+        for lang, text in _by_lang(batches):
+            if len(words) > MEMO:
+                words = Words()
+            seed = _seed(lang)
+            for w, piece, seen in chunks(text, words, longest):
+                of, name = words.hashed()[w], words.names
+                held[lang, None, 0] += len(w) - seen
+                pos, h = np.arange(len(w)), _mixed(of ^ seed)  # surviving phrases of m words: where they begin, their hash, their number
+                known = np.full(len(w), -1)
+                for m in range(1, longest + 1):
+                    if m > 1:
+                        inside = np.flatnonzero(pos + m - 1 < len(w))
+                        inside = inside[(known[pos[inside] + 1] >= 0) & (piece[pos[inside]] == piece[pos[inside] + m - 1])]
+                        key = known[pos[inside]] * np.int64(len(name)) + w[pos[inside] + m - 1]
+                        pos, h = pos[inside], _mixed(h[inside] * CHAIN + of[pos[inside] + m - 1])
+                    else:
+                        key = w
+                    some = np.ones(len(pos), bool)
+                    for row in range(ROWS):
+                        some &= kept[row][_cells(h, row, cells)]
+                    pos, h, key = pos[some], h[some], key[some]
+                    if not len(pos):
+                        break
+                    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+                    fresh = pos + m - 1 >= seen
+                    times = np.bincount(number[fresh], minlength=len(first))
+                    for x, n in zip(pos[first].tolist(), times.tolist(), strict=True):
+                        if n:
+                            held[lang, b" ".join([name[k] for k in w[x : x + m].tolist()]), m] += n
                     known = np.full(len(w), -1)
-                    for m in range(1, longest + 1):
-                        if m > 1:
-                            inside = np.flatnonzero(pos + m - 1 < len(w))
-                            inside = inside[(known[pos[inside] + 1] >= 0) & (piece[pos[inside]] == piece[pos[inside] + m - 1])]
-                            key = known[pos[inside]] * np.int64(len(name)) + w[pos[inside] + m - 1]
-                            pos, h = pos[inside], _mixed(h[inside] * CHAIN + of[pos[inside] + m - 1])
-                        else:
-                            key = w
-                        some = np.ones(len(pos), bool)
-                        for row in range(ROWS):
-                            some &= kept[row][_cells(h, row, cells)]
-                        pos, h, key = pos[some], h[some], key[some]
-                        if not len(pos):
-                            break
-                        _, first, number = np.unique(key, return_index=True, return_inverse=True)
-                        fresh = pos + m - 1 >= seen
-                        times = np.bincount(number[fresh], minlength=len(first))
-                        for x, n in zip(pos[first].tolist(), times.tolist(), strict=True):
-                            if n:
-                                held[lang, b" ".join([name[k] for k in w[x : x + m].tolist()]), m] += n
-                        known = np.full(len(w), -1)
-                        known[pos] = number
-                if len(held) >= HELD:
-                    yield out()
+                    known[pos] = number
+            if len(held) >= HELD:
+                yield out()
         if held:
             yield out()
 
