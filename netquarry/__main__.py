@@ -224,7 +224,11 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    return a.run(a, session())
+    try:
+        return a.run(a, session())
+    except FileNotFoundError as e:
+        print(e, file=sys.stderr)
+        return 2
 
 
 if __name__ == "__main__":

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from netquarry import schemas
 from netquarry.functions import exprs as X
 from netquarry.operators import chat, evaluate, labels, models, quality, split
-from netquarry.session import write_text
+from netquarry.session import listed, write_text
 from netquarry.sources import readers, sinks
 
 #: Where each source's newest file is looked for, below the input folder.
@@ -20,12 +19,11 @@ READ = {"asrank": readers.read_ranking, "peeringdb": readers.read_network_dump,
 
 
 def newest_sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Each source that has a file, read from its newest one."""
-    out = {}
-    for name, pattern in PATTERNS.items():
-        if list(Path(folder).glob(pattern)):
-            out[name] = READ[name](spark, readers.newest_file(spark, f"{folder}/{pattern}"))
-    return out
+    """Each source that has a file, read from its newest one; FileNotFoundError if none has."""
+    found = {name: f"{folder.rstrip('/')}/{pattern}" for name, pattern in PATTERNS.items() if listed(spark, f"{folder.rstrip('/')}/{pattern}")}
+    if not found:
+        raise FileNotFoundError(f"no source in {folder}")
+    return {name: READ[name](spark, readers.newest_file(spark, pattern)) for name, pattern in found.items()}
 
 
 def report_of(name: str, df: DataFrame, countries: DataFrame) -> DataFrame:

@@ -37,6 +37,17 @@ def _place(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of a pattern, or of one path, on any file system that Spark knows; nothing if there are none."""
+    files, place = _place(spark, pattern)
+    return sorted(str(f.getPath()) for f in files.globStatus(place) or [])
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place) and files.getFileStatus(place).isDirectory()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file on any file system that Spark knows."""
     files, place = _place(spark, path)
@@ -49,3 +60,18 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     """The text of a small file, None if it isn't there."""
     files, place = _place(spark, path)
     return spark.read.option("wholetext", True).text(path).first()["value"] if files.exists(place) else None
+
+
+def lease(spark: SparkSession, path: str, take_over: bool = False) -> str:
+    """Take the lease at a path, which one job holds at a time; RuntimeError if another one has it. take_over: set aside what a job that died has left."""
+    files, place = _place(spark, path)
+    if take_over:
+        files.delete(place, False)
+    if not files.createNewFile(place):
+        raise RuntimeError(f"another job holds {path}")
+    return path
+
+
+def released(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, False)

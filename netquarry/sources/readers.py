@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry import schemas
 from netquarry.functions import exprs as X
 from netquarry.operators import integrate, labels, split
+from netquarry.session import is_folder, listed
+from netquarry.sources import json_split
 
 
 def flat_ranking(df: DataFrame) -> DataFrame:
@@ -46,16 +46,22 @@ def read_keyed_csv(spark: SparkSession, path: str, key: str = "asn", kinds: dict
 
 
 def read_keyed_json(spark: SparkSession, path: str, record: str, key: str = "asn") -> DataFrame:
-    """A JSON object of key to record; the key column is that of the object. A missing file is an empty table."""
-    empty = spark.createDataFrame([], f"{key} bigint, {record}" if not record.startswith(f"{key} ") else record)
-    if not path.startswith(("hdfs:", "s3", "viewfs:", "abfs", "gs:")) and not Path(path.removeprefix("file://")).exists():
-        return empty
-    text = spark.read.option("wholetext", True).text(path)
-    entries = text.select(F.explode(F.from_json("value", f"map<string,struct<{_struct_body(record)}>>")).alias("_key", "_row"))
+    """A JSON object of key to record, however large; the key column is that of the object. A missing file is an empty table."""
     names = [f.name for f in spark.createDataFrame([], record).schema if f.name != key]
+    entries = json_split.records(spark, path).filter("key is not null").select(F.col("key").alias("_key"), _record("value", record).alias("_row"))
     return entries.select(X.normalized_key(F.col("_key")).alias(key), *[F.col(f"_row.{n}") for n in names])
 
 
+def read_countries(spark: SparkSession, path: str) -> DataFrame:
+    """(code, name, rir, continent) of the countries of a registry file; keys that are no code of two upper-case letters are left out."""
+    rows = json_split.records(spark, path, "countries").select(F.col("key").alias("code"), _record("value", "name string, rir string, continent string").alias("r"))
+    return rows.filter(F.col("code").rlike("^[A-Z]{2}$")).select("code", "r.*")
+
+
+def _record(text: str, record: str) -> Column:
+    return F.from_json(text, f"struct<{_struct_body(record)}>")
+
+
 def _struct_body(ddl: str) -> str:
     """A column list as the inside of a struct type: the first blank of each top-level column becomes a colon."""
     out, depth, new, part = [], 0, True, ""
@@ -74,8 +80,7 @@ def _struct_body(ddl: str) -> str:
 
 def read_network_dump(spark: SparkSession, path: str) -> DataFrame:
     """A dump {net: {data: [...]}}; the last record of each key counts."""
-    raw = spark.read.option("wholetext", True).text(path)
-    rows = raw.select(F.posexplode(F.from_json("value", f"net struct<data:array<struct<{_struct_body(schemas.PEERINGDB)}>>>")["net"]["data"]).alias("_at", "r")).select("_at", "r.*")
+    rows = json_split.records(spark, path, "net", "data").select(F.col("at").alias("_at"), _record("value", schemas.PEERINGDB).alias("r")).select("_at", "r.*")
     return split.newest(rows.filter(F.col("asn").isNotNull() & (F.col("asn") != 0)), "asn", [F.col("_at")]).drop("_at")
 
 
@@ -98,10 +103,9 @@ def clean_info(rows: DataFrame, key: str = "_key") -> DataFrame:
 
 def read_info(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object {metadata, data: key to record}, or key to record itself."""
-    raw = spark.read.option("wholetext", True).text(path)
-    kind = f"map<string,struct<{_struct_body(schemas.IPINFO)}>>"
-    inner = F.from_json(F.get_json_object("value", "$.data"), kind)
-    return clean_info(raw.select(F.explode(F.coalesce(inner, F.from_json("value", kind))).alias("_key", "r")).select("_key", "r.*"))
+    rows = json_split.records(spark, path, "data")
+    rows = rows if not rows.isEmpty() else json_split.records(spark, path)
+    return clean_info(rows.filter("key is not null").select(F.col("key").alias("_key"), _record("value", schemas.IPINFO).alias("r")).select("_key", "r.*"))
 
 
 def read_labels(spark: SparkSession, path: str, key: str = "asn", text: tuple[str, ...] = ("ASName / Org.", "organization_name", "name")) -> DataFrame:
@@ -113,10 +117,10 @@ def read_labels(spark: SparkSession, path: str, key: str = "asn", text: tuple[st
 
 def read_predictions_json(spark: SparkSession, path: str) -> DataFrame:
     """Predictions, a list or {classifications: list}: asn, organization_name, tags, confidence_scores, model_used."""
-    raw = spark.read.option("wholetext", True).text(path)
-    one = "asn:bigint,organization_name:string,tags:array<string>,confidence_scores:map<string,double>,model_used:string"
-    inner = F.from_json("value", f"classifications array<struct<{one}>>")["classifications"]
-    return raw.select(F.inline(F.coalesce(inner, F.from_json("value", f"array<struct<{one}>>"))))
+    one = "asn bigint, organization_name string, tags array<string>, confidence_scores map<string,double>, model_used string"
+    rows = json_split.records(spark, path, "classifications")
+    rows = rows if not rows.isEmpty() else json_split.records(spark, path).filter("key is null")
+    return rows.select(_record("value", one).alias("r")).select("r.*")
 
 
 def read_predictions_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -159,10 +163,9 @@ class Release:
 
     def _read(self, name: str) -> DataFrame:
         for ext in ("parquet", "csv"):
-            path = Path(f"{self.root}/{name}.{ext}")
-            if path.exists():
+            if listed(self.spark, path := f"{self.root}/{name}.{ext}"):
                 reader = self.spark.read.option("header", True)
-                return reader.parquet(str(path)) if ext == "parquet" else reader.option("inferSchema", True).csv(str(path))
+                return reader.parquet(path) if ext == "parquet" else reader.option("inferSchema", True).csv(path)
         raise FileNotFoundError(f"{self.root}/{name}")
 
     def labels(self, level: str = "toplevel") -> DataFrame:
@@ -178,7 +181,7 @@ class Release:
         """One source's, or all in the order of their names, outer-joined with the leftmost column of a name kept."""
         if source != "all":
             return self._read(f"features/{source}")
-        names = sorted({p.stem for p in Path(f"{self.root}/features").glob("*.*") if p.suffix in (".parquet", ".csv")})
+        names = sorted({p.rsplit("/", 1)[1].rsplit(".", 1)[0] for ext in ("parquet", "csv") for p in listed(self.spark, f"{self.root}/features/*.{ext}")})
         return integrate.joined_left_first([self._read(f"features/{n}") for n in names], "asn")
 
     def split(self, name: str, level: str = "toplevel") -> DataFrame:
@@ -186,7 +189,7 @@ class Release:
 
     def problems(self) -> list[str]:
         """What the folder lacks."""
-        out = [f"no {d}" for d in ("labels", "features", "predictions", "splits") if not Path(f"{self.root}/{d}").is_dir()]
+        out = [f"no {d}" for d in ("labels", "features", "predictions", "splits") if not is_folder(self.spark, f"{self.root}/{d}")]
         if out:
             return out
         top = self.labels()
