@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from netquarry.plans import queries_a, queries_b, queries_c, queries_d
+from netquarry.plans import queries_a, queries_b, queries_c, queries_d, queries_e
 
 FLAGSHIP = "eval_label_metrics"
-QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES, **queries_c.QUERIES, **queries_d.QUERIES}
-ORACLE = {**queries_a.ORACLE, **queries_b.ORACLE, **queries_c.ORACLE, **queries_d.ORACLE}
+QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES, **queries_c.QUERIES, **queries_d.QUERIES, **queries_e.QUERIES}
+ORACLE = {**queries_a.ORACLE, **queries_b.ORACLE, **queries_c.ORACLE, **queries_d.ORACLE, **queries_e.ORACLE}

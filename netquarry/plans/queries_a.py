@@ -296,14 +296,6 @@ def stratified_kfold(t):
     return split.stratified_kfold(t("orders"), "o_custkey", "o_orderpriority", 5)
 
 
-@query()
-def multilabel_kfold(t):
-    """Keys and labels' counts of each fold."""
-    l = t("labels")  # noqa: E741
-    folds = split.multilabel_kfold(l, "doc_id", ["quality", "toxic"], 5)
-    return folds.join(l, "doc_id").groupBy("fold").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic"))
-
-
 @query("select doc_id, (row_number() over (order by md5('23-' || doc_id)) - 1) // 64 as batch, cast((row_number() over (order by md5('23-' || doc_id)) - 1) % 64 as int) as in_batch from documents")
 def batches(t):
     return split.batches(t("documents").select("doc_id"), "doc_id", 64)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from netquarry import schemas
-from netquarry.operators import chat, evaluate, features, integrate, labels, models, monitor, quality, split
+from netquarry.operators import chat, evaluate, features, integrate, labels, models, quality, split
 from netquarry.plans import jobs, two_stage
 from netquarry.plans.registry import Registry
 from netquarry.session import scratch
@@ -22,13 +20,6 @@ def _spark(t):
     return t("region").sparkSession
 
 
-def _one_text(df, spark, name):
-    """A table of one text as a file in a folder of its own."""
-    path = scratch(spark, name)
-    df.coalesce(1).write.text(path)
-    return path
-
-
 # sources
 
 
@@ -65,34 +56,6 @@ def fetch_summary(t):
     return paged.batch_metadata(_fetched(t)).withColumn("success_rate", F.round("success_rate", 6))
 
 
-@query("select r_name as source, case when r_regionkey % 2 = 0 then r_name || ' data' end as body, case when r_regionkey % 2 = 1 then 'OSError: no ' || r_name end as error from region")
-def download_all(t):
-    """All sources at once; one that fails doesn't stop the others."""
-    spark = _spark(t)
-
-    def job(k, name):
-        def run():
-            if k % 2:
-                raise OSError(f"no {name}")
-            return f"{name} data"
-
-        return run
-
-    names = [(r["r_regionkey"], r["r_name"]) for r in t("region").collect()]
-    got = paged.downloaded(spark, {n: job(k, n) for k, n in names}, [n for _, n in names])
-    rows = [(n, None, json.loads(x)["error"]) if x.startswith("{") else (n, x, None) for n, x in got.items()]
-    return spark.createDataFrame(rows, "source string, body string, error string")
-
-
-@query("select n_nationkey as asn, n_name as name, n_regionkey % 2 = 0 as info_ipv6 from nation")
-def keyed_json(t):
-    """A JSON object of key to record, written and read."""
-    spark = _spark(t)
-    pairs = t("nation").select(F.struct(F.concat(F.lit("AS"), "n_nationkey").alias("k"), F.struct(F.col("n_name").alias("name"), (F.col("n_regionkey") % 2 == 0).alias("info_ipv6")).alias("v")).alias("p"))
-    whole = pairs.agg(F.to_json(F.map_from_entries(F.collect_list("p"))).alias("value"))
-    return readers.read_keyed_json(spark, _one_text(whole, spark, "keyed-json"), "name string, info_ipv6 boolean")
-
-
 @query("""select doc_id as asn, 'Org ' || doc_id as organization_name, case when doc_id % 5 = 0 then 0 else quality end as "Access", toxic as "IXP" from labels""")
 def labels_csv(t):
     """A wide file of labels with blanks around headers, blank cells and cells that are no number."""
@@ -116,15 +79,6 @@ def _marked(t):
     return t("labels").select(F.col("doc_id").alias("asn"), F.concat(F.lit("Org "), "doc_id").alias("organization_name"), tags.alias("tags"), "quality")
 
 
-@query(_MARKED)
-def predictions_json(t):
-    spark = _spark(t)
-    conf = F.when(F.col("quality") == 1, F.create_map(F.lit("Access"), F.lit(0.75))).otherwise(F.create_map().cast("map<string,double>"))
-    rows = _marked(t).select(F.struct("asn", "organization_name", "tags", conf.alias("confidence_scores"), F.lit("m").alias("model_used")).alias("r"))
-    whole = rows.agg(F.to_json(F.struct(F.collect_list("r").alias("classifications"))).alias("value"))
-    return _flat(readers.read_predictions_json(spark, _one_text(whole, spark, "predictions")))
-
-
 @query(_MARKED)
 def predictions_csv(t):
     spark = _spark(t)
@@ -144,14 +98,6 @@ def metrics_text_read(t):
     return readers.read_metrics(spark, path)
 
 
-@query("select chr(cast(65 + n_nationkey as int)) || 'X' as code, n_name as name, r_name as rir from nation join region on n_regionkey = r_regionkey")
-def registry_file(t):
-    """A registry of countries and registries, as its file has it."""
-    rows = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name").collect()  # a row for each country
-    found = {"countries": {chr(65 + r["n_nationkey"]) + "X": {"name": r["n_name"], "rir": r["r_name"], "continent": "c"} for r in rows}, "registries": {r["r_name"]: {"name": r["r_name"]} for r in rows}}
-    return schemas.registry_tables(_spark(t), found)[0].select("code", "name", "rir")
-
-
 @query("select c_custkey as asn, c_name as name, c_mktsegment as website, cast(null as varchar) as country from customer")
 def entities_csv(t):
     spark = _spark(t)
@@ -313,12 +259,6 @@ def specialised_labels(t):
     return labels.specialised(labels.canonical(_wide(t), schemas.sub_columns()), "asn", "Finance").select("asn", "Finance_Bank", "Finance_Entities")
 
 
-@query("select 'quality' as name, 1 as nth union all select 'toxic', 2")
-def common_columns(t):
-    own = labels.common_columns(t("labels"), t("labels").select("doc_id", "toxic", "quality"), ["quality", "lang", "toxic"])
-    return _spark(t).createDataFrame([(n, k) for k, n in enumerate(own, 1)], "name string, nth int")
-
-
 @query(f"""with c as ({_RATES}), s as (select sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from c), m as (select avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) as f from c)
     select round(f, 6) as macro_f1, round(2 * tp / (2 * tp + fp + fn), 6) as micro_f1 from s, m""")
 def scored_job(t):
@@ -373,17 +313,6 @@ def completeness(t):
     return quality.completeness(rows, ["c_name", "some"]).withColumn("completeness", F.round("completeness", 6))
 
 
-@query("""select 0 as records, 0 as valid, 0.0 as completeness, 0.0 as overall, false as passed, name as source from (values ('asrank'), ('aspop'), ('ipinfo'), ('peeringdb')) v(name)""", doubles=("completeness", "overall"))
-def quality_empty(t):
-    """Reports of sources without rows: all scores are 0, and none passes."""
-    spark = _spark(t)
-    none = spark.createDataFrame([], "k string, name string, rank long, org string, lat double, lon double, country string, cone long, site string, rir string, domain string, error string")
-    codes = spark.createDataFrame([("US",)], "code string")
-    reports = [quality.ranking_report(none, "k", "name", "rank", "org", "lat", "lon", "country", "cone"), quality.peering_report(none, "k", "name", "site", ["org"]), quality.population_report(none, "k", "name", "country", "rir", codes), quality.info_report(none, "k", "name", "org", "domain", "error")]
-    out = [r.select(F.col("records").cast("int").alias("records"), F.col("valid").cast("int").alias("valid"), "completeness", "overall", "passed", "source") for r in reports]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
-
-
 @query("""select count(*) as rows, round(avg(0.6 * 0.8 + 0.4 * 0.1), 6) as mean_confidence, 0.8 as mean_stage1, 0.1 as mean_stage2 from embeddings""", doubles=("mean_confidence", "mean_stage1", "mean_stage2"))
 def two_stage_summary(t):
     """Mean confidences of a batch that goes through both stages."""
@@ -433,24 +362,6 @@ def feature_projection(t):
     return features.numeric(rows, {"balance": "bal", "nation": "s_nationkey"}, "asn")
 
 
-@query("select vec_id as asn, 'b' as best, round((vec_id * 13 % 101) / 100.0, 6) as score from embeddings")
-def best_configuration(t):
-    """Of scored configurations the best one's predictions; the first of equal ones."""
-    k = F.col("vec_id")
-    found = {"a": 0.4, "b": 0.7, "c": 0.7}
-    best = max(found, key=found.get)
-    scores = {"a": k * 7 % 101, "b": k * 13 % 101, "c": k * 17 % 101}
-    return t("embeddings").select(k.alias("asn"), F.lit(best).alias("best"), F.round(scores[best] / 100.0, 6).alias("score"))
-
-
-@query("select fold, doc_id, quality from (select doc_id, quality, cast(doc_id % 3 as int) as fold from labels)")
-def out_of_fold(t):
-    """Each fold's held-out rows, put together: every key once."""
-    rows = t("labels").withColumn("fold", (F.col("doc_id") % 3).cast("int"))
-    parts = [rows.filter(F.col("fold") == k).select("fold", "doc_id", "quality") for k in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 # requests and faults
 
 
@@ -486,35 +397,6 @@ def parse_spellings(t):
     return chat.parsed(t("supplier").select(F.array(k).alias("keys"), text.alias("response")), "s_suppkey", "keys", "response", ["Large_ISP", "Cloud"])
 
 
-def _failing(k):
-    if k % 4 == 0:
-        raise ValueError(f"validation of {k}")
-    if k % 3 == 0:
-        raise TimeoutError(f"api timeout {k}")
-    return [("IXP", 0.9)]
-
-
-def _guarded(t):
-    log = monitor.ErrorLog()
-    run = log.guarded(_failing, "stage1", lambda k: monitor.fallback("default", 1))
-    got = [(r["n_nationkey"], *run(r["n_nationkey"])[0]) for r in t("nation").select("n_nationkey").collect()]
-    return log, got
-
-
-@query("select n_nationkey, case when n_nationkey % 4 = 0 or n_nationkey % 3 = 0 then 'Enterprise' else 'IXP' end as category, case when n_nationkey % 4 = 0 or n_nationkey % 3 = 0 then 0.1 else 0.9 end as confidence from nation", doubles=("confidence",))
-def guarded_steps(t):
-    """Steps that fail give what stands for their result."""
-    return _spark(t).createDataFrame(_guarded(t)[1], "n_nationkey long, category string, confidence double")
-
-
-@query("""select case when n_nationkey % 4 = 0 then 'validation_error' else 'api_error' end as category, case when n_nationkey % 4 = 0 then 'low' else 'high' end as severity, 'fallback' as recovery_action, count(*) as n from nation where n_nationkey % 4 = 0 or n_nationkey % 3 = 0 group by all""")
-def error_export(t):
-    """The log of what failed, exported and read back."""
-    spark, path = _spark(t), scratch(_spark(t), "errors")
-    _guarded(t)[0].export(spark, path)
-    return spark.read.json(f"{path}/errors").groupBy("category", "severity", "recovery_action").agg(F.count("*").alias("n"))
-
-
 # orders and limits
 
 

@@ -45,6 +45,7 @@ def paged_source(name: str, schema: str, fetch: Callable[[int, int], list[tuple]
 
 def page_query(first: int, offset: int) -> dict:
     """The body of a page's request."""
+    # Fixed value: the fields of a record in the remote interface.
     fields = "asn asnName rank organization{orgId orgName} cliqueMember seen longitude latitude country{iso name} cone{numberAsns numberPrefixes numberAddresses} asnDegree{provider peer customer total transit sibling} announcing{numberPrefixes numberAddresses}"
     return {"query": f"{{asns(first:{first},offset:{offset}){{totalCount pageInfo{{first hasNextPage}} edges{{node{{{fields}}}}}}}}}"}
 
@@ -89,6 +90,22 @@ def batch_metadata(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count("error").alias("failed"), F.coalesce(F.avg(F.col("error").isNull().cast("double")), F.lit(0.0)).alias("success_rate"))
 
 
+def gathered(sources: DataFrame, get: Callable[[str, str], str]) -> DataFrame:
+    """(source, body, error) of (source, place): each source in a task of its own; one that fails is a row with its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, place in zip(b["source"], b["place"], strict=True):
+                try:
+                    body, error = get(name, place), None
+                except Exception as e:  # the other sources go on
+                    body, error = None, f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"source": [name], "body": pd.Series([body], dtype=object), "error": pd.Series([error], dtype=object)})
+
+    n = min(1000, max(1, sources.count()))
+    return sources.select("source", "place").repartition(n, "source").mapInPandas(run, "source string, body string, error string")
+
+
 def downloaded(spark: SparkSession, jobs: dict[str, Callable[[], str]], wanted: list[str]) -> dict[str, str]:
     """What each source's job gives, or its error; ValueError for unknown sources."""
     from concurrent.futures import ThreadPoolExecutor

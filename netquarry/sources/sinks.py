@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.session import read_text, write_text
+from netquarry.sources import workbook
 
 
 def write_both(df: DataFrame, base: str) -> None:
@@ -21,17 +22,30 @@ def write_both(df: DataFrame, base: str) -> None:
 
 
 def write_as(df: DataFrame, base: str, formats: list[str]) -> list[str]:
-    """The formats written; unknown ones are skipped, Excel can't be written here."""
+    """The formats written; unknown ones are skipped. Excel is a workbook with a sheet for each partition; json is lines, json_by_index one object of columns by row number for tables of a report's size."""
     done = []
     for f in formats:
         if f in ("parquet", "csv", "json", "orc"):
             df.write.mode("overwrite").options(header="true").format(f).save(f"{base}.{f}")
             done.append(f)
         elif f in ("excel", "xlsx"):
-            raise RuntimeError("Excel needs a writer that isn't installed; use csv, json or parquet")
+            workbook.write(df, f"{base}.xlsx")
+            done.append(f)
+        elif f == "json_by_index":
+            write_text(df.sparkSession, f"{base}.json", by_index(df))
+            done.append(f)
     return done
 
 
+def by_index(df: DataFrame, most: int = 100_000) -> str:
+    """An object of column to {row number: value}; RuntimeError beyond `most` rows, which belong in lines."""
+    rows = df.limit(most + 1).toJSON().collect()
+    if len(rows) > most:
+        raise RuntimeError(f"over {most} rows; write lines")
+    found = [json.loads(r) for r in rows]
+    return json.dumps({c: {str(k): r.get(c) for k, r in enumerate(found)} for c in df.columns}, ensure_ascii=False)
+
+
 def write_lines(df: DataFrame, path: str, column: str = "value") -> None:
     """One text a line, such as JSON lines."""
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
