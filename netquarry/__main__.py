@@ -11,9 +11,9 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from netquarry import schemas
-from netquarry.operators import chat, labels, models, monitor, quality
+from netquarry.operators import chat, kernel_svm, labels, models, monitor, quality
 from netquarry.operators import evaluate as measures
-from netquarry.plans import jobs, two_stage
+from netquarry.plans import approaches, jobs, two_stage
 from netquarry.session import session, write_text
 from netquarry.sources import paged, readers, remote, sinks
 
@@ -62,14 +62,34 @@ def train(a, spark) -> int:
     marks, features = readers.read_labels(spark, a.labels), spark.read.parquet(a.features)
     columns = [c for c, k in features.dtypes if c != "asn" and k in ("double", "float", "int", "bigint")]
     own = [c for c in schemas.TOP if c in marks.columns]
-    models.LabelModels("asn", columns, own, c=a.c).fit(features.join(marks.select("asn", *own), "asn")).save(a.output)
+    (kernel_svm.KernelMachines if a.machine == "kernel" else models.LabelModels)("asn", columns, own, c=a.c).fit(features.join(marks.select("asn", *own), "asn")).save(a.output)
     return 0
 
 
+def _model(path):
+    """A saved model, of whichever kind its specification tells."""
+    spec = _spec(path)
+    return (kernel_svm.KernelMachines if "part" in spec else models.LabelModels).load(path)
+
+
+def _spec(path) -> dict:
+    return json.loads(session().read.text(f"{path}/spec").first()["value"])
+
+
 def predict(a, spark) -> int:
-    """Tags and confidences of a saved model."""
-    scores = models.LabelModels.load(a.model).predict(spark.read.parquet(a.features))
-    out = jobs.unified(scores, "asn", [c for c in scores.columns if c != "asn"], models.THRESHOLD)
+    """Tags and confidences by an approach, of a saved model or of tables of scores."""
+    taxonomy = approaches.Taxonomy.of_file(a.taxonomy) if a.taxonomy else None
+    inputs = {}
+    if a.model:
+        scores = _model(a.model).predict(spark.read.parquet(a.features))
+        inputs["scores"] = lambda: scores
+        taxonomy = taxonomy or approaches.Taxonomy([c for c in scores.columns if c != "asn"])
+    for pair in (a.inputs or "").split(","):
+        if pair:
+            name, _, path = pair.partition("=")
+            inputs[name] = lambda path=path: _table(spark, path)
+    request = approaches.Request(inputs, taxonomy or approaches.Taxonomy.builtin(), threshold=a.threshold)
+    out = approaches.predicted(a.approach, request)
     sinks.write_as(out.withColumn("tags", F.array_join("tags", ",")).withColumn("confidence_scores", F.to_json("confidence_scores")), a.output, [a.format])
     return 0
 
@@ -207,8 +227,8 @@ def parser() -> argparse.ArgumentParser:
     command(status, "input")
     command(evaluate, "labels", "predictions", level={"default": "toplevel", "choices": ["toplevel", "sublevel"]}, output={})
     command(prepare, "labels", "entities", "output", prompt={"default": "Classify the organization."})
-    command(train, "labels", "features", "output", c={"type": float, "default": 1.0})
-    command(predict, "model", "features", "output", format={"default": "csv", "choices": ["csv", "json", "parquet"]})
+    command(train, "labels", "features", "output", c={"type": float, "default": 1.0}, machine={"default": "random", "choices": ["random", "kernel"]})
+    command(predict, "output", model={}, features={}, inputs={"help": "name=path,name=path"}, approach={"default": "flat", "choices": sorted(approaches.APPROACHES)}, taxonomy={}, threshold={"type": float, "default": models.THRESHOLD}, format={"default": "csv", "choices": ["csv", "json", "parquet"]})
     command(benchmark, "model", "features", sizes={"type": int, "nargs": "+", "default": [100, 1000]})
     stages = {"subs": {}, "votes": {"required": True, "help": "name=path,name=path"}}
     command(classify_single, asn={"type": int, "required": True}, organization={}, format={"default": "text", "choices": ["text", "json"]}, timing={"action": "store_true"}, **stages)
