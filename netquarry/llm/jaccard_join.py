@@ -311,8 +311,8 @@ def _overlaps(own: list[np.ndarray], others: list[np.ndarray] | None = None) ->
     each = n_b[la]
     ends = np.cumsum(each)
     at = 0
-    while at < len(la):  # some millions of pairs at a time
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (4 << 20), "right")))
+    while at < len(la):  # about a million pairs at a time, or those of one token
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
         n = each[at:to]
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         out += np.bincount(np.repeat(ra[at:to], n) * width + row_b[np.repeat(start_b[la[at:to]], n) + nth], minlength=out.size).reshape(out.shape)
