@@ -5,9 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from netquarry.operators import guarded, labels, models, quality, saved, split
+from netquarry.operators import estimators, evaluate, guarded, labels, models, quality, saved, split
 from netquarry.operators import kernel_svm as machines
-from netquarry.plans import approaches
+from netquarry.plans import approaches, jobs, queries_b
 from netquarry.plans.registry import Registry
 from netquarry.session import scratch
 from netquarry.sources import paged, readers, workbook
@@ -327,3 +327,71 @@ def registry_file(t):
     path = _document(t, "registry", '{"registries":{},"countries":{"":{}', rows.select(value.alias("value")), "}}")
     return readers.read_countries(_spark(t), path).select("code", "name", "rir")
 
+
+
+# jobs, stages and scores
+
+
+@query("select 'aspop' as source, true as passed, count(*) as rows from customer union all select 'ipinfo', true, count(*) from supplier")
+def processed_sources(t):
+    """Sources processed as a job does it: found in a folder, read, written, judged; the rows that it wrote."""
+    spark = _spark(t)
+    place, out = scratch(spark, "sources-in"), scratch(spark, "sources-out")
+    k = F.col("c_custkey").cast("string")
+    population = t("customer").select(k.alias("ASN"), F.col("c_name").alias("Name"), F.lit("US").alias("CC"), F.lit("ARIN").alias("RIR"), k.alias("Cust_cone_ASN"), k.alias("Cust_cone_pfx"), k.alias("Cust_cone_addr"))
+    population.write.option("header", True).csv(f"{place}/aspop2.csv")
+    s = F.col("s_suppkey") + 1
+    record = F.struct(F.col("s_name").alias("name"), F.concat(F.lit("AS"), s, F.lit(" {x}, y")).alias("org"), F.concat(F.lit("s"), s, F.lit(".example.com")).alias("domain"), F.lit("DE").alias("country"))
+    lines = t("supplier").select(F.concat(F.lit(',"AS'), s.cast("string"), F.lit('":'), F.to_json(record)).alias("value"))
+    one = lambda x: spark.createDataFrame([(x,)], "value string").coalesce(1)
+    one('{"data":{"none":{}').union(lines).union(one("}}")).coalesce(1).write.text(f"{place}/ipinfo1.json")
+    passed = jobs.process_all(spark, place, out, spark.createDataFrame([("US",)], "code string"))
+    found = [spark.read.parquet(f"{out}/{name}.parquet").agg(F.count("*").alias("rows")).select(F.lit(name).alias("source"), F.lit(ok).alias("passed"), "rows") for name, ok in sorted(passed.items())]
+    return found[0].unionByName(found[1])
+
+
+@query(queries_b.ORACLE["feature_numeric"])
+def stage_features(t):
+    """The features of a pipeline's stage, with the vocabulary that it has fitted."""
+    rows = queries_b._suppliers(t)
+    out = estimators.EntityFeatures(scaled=False).fit(rows).transform(rows)
+    names = ["asn", "asrank_rank", "asrank_degree_total", "asrank_cone_density", "asrank_peer_customer_ratio", "asrank_cone_size_log", "aspop_customer_cone_asns", "aspop_rir_ripe"]
+    return queries_b._rounded(out.select(*names), "asrank_cone_density", "asrank_peer_customer_ratio", "asrank_cone_size_log")
+
+
+_SCORED = f"select vec_id, vec_id % 2 as ta, case when vec_id % 3 = 0 then 1 else 0 end as tb, a, b, ax, ay, 0.4 * a + 0.6 * ax as va, 0.4 * b + 0.6 * ay as vb from (select {_S} from embeddings)"
+
+
+@query(" union all ".join(f"""select '{m}' as model, '{y}' as label, count(*) filter ({p} > 0.5 and {y2} = 1) as tp, count(*) filter ({p} > 0.5 and {y2} = 0) as fp, count(*) filter ({p} <= 0.5 and {y2} = 1) as fn,
+    round(coalesce(2.0 * count(*) filter ({p} > 0.5 and {y2} = 1) / nullif(count(*) filter ({p} > 0.5) + count(*) filter ({y2} = 1), 0), 0), 6) as f1 from ({_SCORED})"""
+    for m, pa, pb in (("svm", "a", "b"), ("llm", "ax", "ay"), ("both", "va", "vb")) for y, p, y2 in (("A", pa, "ta"), ("B", pb, "tb"))))
+def vote_scores(t):
+    """Metrics of each model alone and of their vote, by label."""
+    vec = F.col("vec_id")
+    truth = t("embeddings").select("vec_id", (vec % 2).cast("int").alias("A"), (vec % 3 == 0).cast("int").alias("B"))
+    frames = {"svm": _part(t, "AB", (7, 13))(), "llm": _part(t, "AB", (31, 37))()}
+    out = None
+    for name, own in (("svm", {"svm": frames["svm"]}), ("llm", {"llm": frames["llm"]}), ("both", frames)):
+        marks = models.vote(own, "vec_id", ["A", "B"]).select("vec_id", *[(F.col(c) > models.THRESHOLD).cast("int").alias(c) for c in "AB"])
+        one = evaluate.label_metrics(truth, marks, "vec_id", ["A", "B"]).select(F.lit(name).alias("model"), "label", "tp", "fp", "fn", F.round("f1", 6).alias("f1"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select o_orderkey, case when o_totalprice > 150000 or o_orderkey % 7 = 0 then 1 else 0 end as t_y, case when o_totalprice > 150000 then 1.0 else 0.0 end as s_y from orders", doubles=("s_y",))
+def nested_search(t):
+    """Nested search: each key's score by the configuration that was found best without its fold."""
+    rows = t("orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), ((F.col("o_totalprice") > 150_000) | (F.col("o_orderkey") % 7 == 0)).cast("int").alias("y"))
+    out, _, _ = models.nested(rows, "o_orderkey", "y", ["price"], [{"over": v} for v in (100_000.0, 150_000.0)], outer=2, inner=2, make=Above)
+    return out.select("o_orderkey", "t_y", "s_y")
+
+
+@query("""select l.doc_id, true as same, true as between from labels l join documents d on l.doc_id = d.doc_id""")
+def loaded_machine(t):
+    """Probabilities of a saved and loaded kernel machine beside those of the fitted one."""
+    rows = _margin_rows(t).select("doc_id", "a", "b", "goal")
+    own, path = machines.KernelMachines("doc_id", ["a", "b"], ["goal"], c=1.0, gamma=2.0).fit(rows), scratch(_spark(t), "svm-saved")
+    own.save(path)
+    again = machines.KernelMachines.load(path).predict(rows).select(F.col("doc_id").alias("_id"), F.col("goal").alias("_goal"))
+    met = own.predict(rows).join(again, F.col("doc_id") == F.col("_id"))
+    return met.select("doc_id", (F.abs(F.col("goal") - F.col("_goal")) < 1e-9).alias("same"), F.col("goal").between(0.0, 1.0).alias("between"))
