@@ -268,18 +268,28 @@ def telling(docs: DataFrame, text: str = "text", discloses: float = DISCLOSES) -
     more = more.unionByName(base.select(F.explode("others").alias("term"), F.lit(1).cast("long").alias("counts"))).groupBy("term").agg(F.sum("counts").alias("more"))
     n = F.col("k") + F.coalesce("more", F.lit(0))
     terms = common.written(wanted.join(more, "term", "left").withColumn("docs", n).drop("more").filter(F.col("docs") <= F.lit(top["bound"] or 0.0)), "pii-terms")
-    named = common.join_hot(base.select("uid", F.explode("entities").alias("entity")), entities, "entity", "k", "uid").filter("k is not null").select("uid", "class", "own").distinct()
-    rare = common.join_hot(base.select("uid", F.explode("terms").alias("term")), terms, "term", "k", "uid").filter("k is not null").select("uid", F.struct("class", "docs").alias("term"), "docs", "k").distinct()
+    # One of each class stands for it: the others have the same documents.
+    of_entities = common.written(entities.groupBy("class", "own", "k").agg(F.min("entity").alias("entity")), "pii-entity-classes")
+    of_terms = common.written(terms.groupBy("class", "docs", "k").agg(F.min("term").alias("term")), "pii-term-classes")
+    named = _standing(base, "entities", "entity", of_entities).select("uid", "class", "own")
+    rare = _standing(base, "terms", "term", of_terms).select("uid", F.struct("class", "docs").alias("term"), "docs", "k")
     named, rare = common.written(named, "pii-named"), common.written(rare, "pii-rare")
     pairs = _dealt(named, rare).filter((F.col("docs") <= bound) & (F.col("k") >= need_of(total, discloses))).groupBy("class", "term").agg(F.count("*").alias("both"), F.first("own").alias("own"), F.first("docs").alias("docs"))
     own = F.log(F.lit(max(total, 1.0)) / F.col("own"))
     share = (_bound("both", "docs") + own) / own
     shares = pairs.select(F.col("term.class").alias("class"), "docs", share.alias("share")).groupBy("class", "docs").agg(F.max("share").alias("share")).filter(F.col("share") >= discloses)
     out = common.written(terms.join(shares, ["class", "docs"]).select("term", "share"), "pii-telling")
-    common.dropped(found, base, entities, wanted, terms, named, rare)
+    common.dropped(found, base, entities, wanted, terms, of_entities, of_terms, named, rare)
     return out
 
 
+def _standing(base: DataFrame, items: str, by: str, few: DataFrame) -> DataFrame:
+    """(uid, and the columns of few) of each document that holds an item of few; few: `by` once each, in `k` documents, written already."""
+    each = base.select("uid", F.explode(items).alias(by))
+    right, small = common.bounded(few)
+    return each.join(right, by) if small else common.join_hot(each, few, by, "k", "uid").filter("k is not null")
+
+
 def need_of(total: float, discloses: float):
     """`least_together` of the column `own`."""
     return F.greatest(F.lit(2.0), F.ceil(F.lit(-log(CHANCE) / (1 - discloses)) / F.log(F.lit(max(total, 1.0)) / F.col("own")) - F.lit(1e-9)))
