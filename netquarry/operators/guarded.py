@@ -1,15 +1,15 @@
 """Steps over rows whose errors become rows too, gathered where the rows are.
 
-A step is given a batch of rows. If it raises, its rows are given to it one by one, so
-that only those that fail by themselves are errors; these are tried again, and then
-replaced by the fallback's result, if there is one. Results and errors come from one
-pass and are written as one table, of which Spark keeps the files of one attempt of
-each task: a task that runs again counts no error twice. Reading them apart is cheap,
-as they are columns of that table.
+A step is given a row. One that works on batches may be given beside it: a batch that
+it raises for is gone through row by row, so that only rows that fail by themselves are
+errors; these are tried again, and then replaced by the fallback's result, if there is
+one. Results and errors come from one pass and are written as one table, of which Spark
+keeps the files of one attempt of each task: a task that runs again counts no error
+twice. Reading them apart is cheap, as they are columns of that table.
 
 Defined cases: an error that isn't an Exception (a worker that dies, an interrupt)
-ends the task, as without a guard; a step that returns other than a row for each row
-is an error of these rows; a fallback that raises leaves the row without a result;
+ends the task, as without a guard; a batch step that returns other than a row for each
+row has them gone through one by one; a result that its columns can't hold is an error; a fallback that raises leaves the row without a result;
 rows keep all their columns, and nulls and repeated rows are rows like any others.
 """
 
@@ -19,9 +19,10 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from netquarry.operators import monitor
@@ -60,42 +61,46 @@ class Outcome:
         monitor.error_summary(self.errors()).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
-def guarded(df: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame], schema: str, component: str, tries: int = 1, fallback: Callable[[pd.DataFrame], pd.DataFrame] | None = None, wait: Callable[[int], float] = lambda n: 0.0, sleep: Callable[[float], None] = time.sleep) -> Outcome:
-    """What `step` makes of the rows, and its errors. step and fallback: a batch to a row of `schema` for each of its rows; tries: of each failing row, beyond the batch's own."""
+def guarded(df: DataFrame, step: Callable[[dict], dict], schema: str, component: str, batch: Callable[[list[dict]], list[dict]] | None = None, tries: int = 1, fallback: Callable[[dict], dict] | None = None, wait: Callable[[int], float] = lambda n: 0.0, sleep: Callable[[float], None] = time.sleep) -> Outcome:
+    """What `step` makes of the rows, and its errors. step and fallback: a row to a dict of `schema`; batch: rows to such dicts, tried first; tries: of each row by itself."""
     spark = df.sparkSession
     kind = spark.createDataFrame([], schema).schema
-    whole = StructType([*df.schema.fields]).add("result", kind).add("error", spark.createDataFrame([], f"e {ERROR}").schema["e"].dataType)
-    names = kind.names
+    error_kind = spark.createDataFrame([], f"e {ERROR}").schema["e"].dataType
+    whole = StructType([*df.schema.fields]).add("result", kind).add("error", error_kind)
+    names, of_result, of_error = kind.names, to_arrow_type(kind), to_arrow_type(error_kind)
+    result_kinds = [to_arrow_type(f.dataType) for f in kind]
 
-    def rows_of(f: Callable[[pd.DataFrame], pd.DataFrame], b: pd.DataFrame) -> list[dict]:
-        out = f(b)
-        if len(out) != len(b):
-            raise ValueError(f"{len(out)} results of {len(b)} rows")
-        return [{c: (None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v) for c, v in zip(names, r, strict=True)} for r in out[names].itertuples(index=False, name=None)]
+    def made(r: dict) -> dict:
+        """The result as its columns hold it, so that one that they can't hold is an error of its row."""
+        return {c: pa.scalar(r[c], t).as_py() for c, t in zip(names, result_kinds, strict=True)}
 
-    def one(b: pd.DataFrame) -> tuple[dict | None, dict | None]:
+    def one(row: dict) -> tuple[dict | None, dict | None]:
         for n in range(tries):
             try:
-                return rows_of(step, b)[0], None
+                return made(step(row)), None
             except Exception as e:  # every error is a row
                 error = {"kind": type(e).__name__, "message": str(e), "tries": n + 1, "recovery_action": "dropped"}
                 if n + 1 < tries:
                     sleep(wait(n))
         if fallback is not None:
             try:
-                return rows_of(fallback, b)[0], {**error, "recovery_action": "fallback"}
+                return made(fallback(row)), {**error, "recovery_action": "fallback"}
             except Exception as e:
                 error["message"] += f"; fallback: {type(e).__name__}: {e}"
         return None, error
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            try:
-                found = [(r, None) for r in rows_of(step, b)] if len(b) else []
-            except Exception:
-                found = [one(b.iloc[k : k + 1].reset_index(drop=True)) for k in range(len(b))]
-            yield b.assign(result=pd.Series([r for r, _ in found], index=b.index, dtype=object), error=pd.Series([e for _, e in found], index=b.index, dtype=object))
+            rows, found = b.to_pylist(), None
+            if batch is not None and rows:
+                try:
+                    out = batch(rows)
+                    found = [(made(r), None) for r in out] if len(out) == len(rows) else None
+                except Exception:  # noqa: S110
+                    pass  # its rows tell which of them fail
+            found = [one(r) for r in rows] if found is None else found
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r for r, _ in found], of_result), pa.array([e for _, e in found], of_error)], [*b.schema.names, "result", "error"])
 
     path = scratch(spark, "guarded")
-    df.mapInPandas(run, whole).write.parquet(path)
+    df.mapInArrow(run, whole).write.parquet(path)
     return Outcome(spark.read.schema(whole).parquet(path), component)

@@ -7,7 +7,6 @@ import os
 import zipfile
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -93,18 +92,19 @@ def test_guarded(spark, tmp_path):
     df = spark.createDataFrame(rows, "asn long, x long").repartition(4)
     log = tmp_path / "tries"
 
-    def step(b):
-        for k, x in zip(b["asn"], b["x"], strict=True):
-            if k == 13:
-                with open(log, "a") as f:
-                    f.write("x")
-            if k % 10 == 3:
-                raise ValueError(f"bad column {k}")
-            if k % 50 == 1:
-                raise TimeoutError(f"slow {k}")
-        return pd.DataFrame({"twice": b["x"] * 2, "name": [f"n{k}" for k in b["asn"]]})
-
-    out = guarded.guarded(df, step, "twice double, name string", "step", tries=3, fallback=lambda b: pd.DataFrame({"twice": [-1.0], "name": ["f"]}) if b["asn"][0] % 50 == 1 else b / 0)
+    def step(r):
+        k, x = r["asn"], r["x"]
+        if k == 13:
+            with open(log, "a") as f:
+                f.write("x")
+        if k % 10 == 3:
+            raise ValueError(f"bad column {k}")
+        if k % 50 == 1:
+            raise TimeoutError(f"slow {k}")
+        return {"twice": None if x is None else 2.0 * x, "name": f"n{k}"}
+
+    schema = "twice double, name string"
+    out = guarded.guarded(df, step, schema, "step", batch=lambda rows: [step(r) for r in rows], tries=3, fallback=lambda r: {"twice": -1.0, "name": "f"} if r["asn"] % 50 == 1 else r["none"])
     errors = out.errors().collect()
     assert sorted(r.asn for r in errors) == sorted(k for k, _ in rows if k % 10 == 3 or k % 50 == 1)
     assert {(r.kind, r.category, r.recovery_action, r.tries) for r in errors} == {("ValueError", "data_error", "dropped", 3), ("TimeoutError", "system_error", "fallback", 3)}
@@ -114,9 +114,11 @@ def test_guarded(spark, tmp_path):
     assert out.counts().first().asDict() == {"rows": 202, "results": 182, "errors": 24, "replaced": 4, "lost": 20}
     out.export(f"{tmp_path}/log")
     assert spark.read.json(f"{tmp_path}/log/errors").count() == 24 and {r.n for r in spark.read.json(f"{tmp_path}/log/summary").filter("by = 'component'").collect()} == {24}
-    short = guarded.guarded(df.limit(3), lambda b: pd.DataFrame({"twice": [1.0] * (len(b) + 1)}), "twice double", "short")
-    assert short.counts().first()["errors"] == 3
-    assert guarded.guarded(df.limit(0), step, "twice double, name string", "step").counts().first()["rows"] == 0
+    short = guarded.guarded(df, lambda r: {"twice": "no number"} if r["asn"] == 5 else step(r), schema, "short", batch=lambda rows: rows[1:])
+    assert short.counts().first()["errors"] == 27 and {r.kind for r in short.errors().filter("asn = 5").collect()} <= {"ArrowInvalid", "KeyError"}
+    quick = guarded.guarded(df, lambda r: {"twice": 0.0, "name": "slow"}, schema, "quick", batch=lambda rows: [{"twice": 1.0, "name": "fast"} for _ in rows])
+    assert quick.results().select("name").distinct().collect()[0].name == "fast" and quick.errors().count() == 0
+    assert guarded.guarded(df.limit(0), step, schema, "step").counts().first()["rows"] == 0
 
 
 # answers, saved once
