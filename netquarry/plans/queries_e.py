@@ -10,6 +10,7 @@ from netquarry.plans import approaches, jobs, queries_b
 from netquarry.plans.registry import Registry
 from netquarry.session import scratch
 from netquarry.sources import paged, readers, workbook
+from netquarry.streaming import monitoring, scoring
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -394,3 +395,16 @@ def loaded_machine(t):
     again = machines.KernelMachines.load(path).predict(rows).select(F.col("doc_id").alias("_id"), F.col("goal").alias("_goal"))
     met = own.predict(rows).join(again, F.col("doc_id") == F.col("_id"))
     return met.select("doc_id", (F.abs(F.col("goal") - F.col("_goal")) < 1e-9).alias("same"), F.col("goal").between(0.0, 1.0).alias("between"))
+
+
+@query("select 3 as batches, count(*) as rows, true as timed from events")
+def stream_batches(t):
+    """Batches of a stream over all events, as a listener has seen them: a file is a batch."""
+    spark = _spark(t)
+    place, out, check = (scratch(spark, n) for n in ("stream-in", "stream-out", "stream-check"))
+    t("events").select("event_id", "event_type").repartition(3).write.parquet(place)
+    with monitoring.StreamMonitor()(spark) as live:
+        one = scoring.scored_stream(scoring.stream_of(spark, place, "event_id long, event_type string"), lambda b: b, out, check)
+        one.awaitTermination()
+        live.waited(one)
+        return live.frame(spark).filter("rows > 0").agg(F.count("*").alias("batches"), F.sum("rows").alias("rows"), (F.min("seconds") > 0).alias("timed"))
