@@ -1,13 +1,14 @@
 """Phrase collocations by count-min sketches and exact counts of what survives them.
 
 Texts are cut into pieces at marks and line ends, pieces into words, and phrases
-are the runs of words of a piece. The first pass hashes every phrase of one word
-to `longest` into a sketch per task; sketches are merged cell by cell, and a cell
-that reaches `least` becomes a bit. A sketch only overestimates, so that whatever
-occurs `least` times has all its bits. The second pass counts exactly what has:
-a phrase survives if it and both phrases within it that are a word shorter do,
-since these occur at least as often. Counts of survivors are summed by phrase, and
-those below `least` go, so that the result doesn't depend on the sketch.
+are the runs of words of a piece. A pass hashes all words and pairs of words into a
+sketch per task; sketches are merged cell by cell, and a cell that reaches `least`
+becomes a bit. A sketch only overestimates, so that whatever occurs `least` times has
+all its bits. A second sketch takes the longer phrases whose pairs all have theirs:
+others can't occur often. The last pass counts exactly what survives: a phrase does
+if it and both phrases within it that are a word shorter have their bits, since these
+occur at least as often. Counts of survivors are summed by phrase, and those below
+`least` go, so that the result doesn't depend on the sketches.
 
 Each cut of a phrase in two compares its count a with those of its parts, l and r:
 floor(1000 a n / (l r)) for n words in all; the lowest one is its score. A phrase
@@ -15,7 +16,7 @@ within a longer one that occurs as often is subsumed. All this is by language.
 
 Cells grow with the text up to MOST_CELLS a row; a worker holds ROWS such rows of
 four bytes a cell, and the merged bits, an eighth of a byte a cell, are broadcast.
-For texts of more than about 100 x MOST_CELLS phrases the sketch lets ever more
+For texts of more than about 50 x MOST_CELLS words the sketch lets ever more
 through: the result stays exact, and the second pass comes to be a count of all
 phrases, combined in each task before the exchange.
 
@@ -132,26 +133,37 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
         yield lang, b"\n".join(texts)
 
 
-def _sketcher(longest: int, least: int, cells: int):
-    """Sketches of a task, in blocks whose counts stop at `least`."""
+def _sketcher(lengths: range, longest: int, least: int, cells: int, pairs=None):
+    """Sketches of a task for phrases of these lengths, in blocks whose counts stop at `least`. pairs: the bits of words and pairs, a broadcast; phrases need those of all their pairs."""
     kind = np.uint8 if least < 256 else np.uint16 if least < 1 << 16 else np.uint32
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, words, one = np.zeros((ROWS, cells), np.uint32), Words(), np.uint32(1)  # a number of the table's own kind is added much faster
+        kept = None if pairs is None else _unpacked(pairs.value)
         for lang, text in _by_lang(batches):
             if len(words) > MEMO:
                 words = Words()
             seed = _seed(lang)
             for w, piece, seen in chunks(text, words, longest):
                 of = words.hashed()[w]
-                h = _mixed(of ^ seed)
-                for m in range(1, longest + 1):
+                h, some = _mixed(of ^ seed), np.ones(len(w), bool)  # of the phrases that begin at each word, and whether their pairs are often enough
+                often = some
+                for m in range(1, lengths.stop):
                     if m > 1:
                         h = _mixed(h[:-1] * CHAIN + of[m - 1 :])
                     if not len(h):
                         break
+                    if m == 2 and kept is not None:
+                        often = _has(kept, h)
+                    some = some[: len(h)]
+                    if m > 1:
+                        some = some & (piece[: len(h)] == piece[m - 1 :])
+                        if kept is not None:
+                            some &= often[m - 2 :]
+                    if m not in lengths:
+                        continue
                     start = max(0, seen - m + 1)  # what ends within the carried words was counted before
-                    whole = h[start:][piece[start : len(h)] == piece[start + m - 1 :]]
+                    whole = h[start:][some[start:]]
                     for row in range(ROWS):
                         np.add.at(table[row], _cells(whole, row, cells), one)
         flat = np.minimum(table.reshape(-1), least).astype(kind)
@@ -164,6 +176,19 @@ def _sketcher(longest: int, least: int, cells: int):
     return sketch
 
 
+def _unpacked(bits: bytes) -> np.ndarray:
+    """(row, cell) of a sketch's bits."""
+    return np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool).reshape(ROWS, -1)
+
+
+def _has(kept: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether hashes have all their bits."""
+    out = np.ones(len(h), bool)
+    for row in range(ROWS):
+        out &= kept[row][_cells(h, row, kept.shape[1])]
+    return out
+
+
 def _merger(least: int):
     """Blocks in order to the bits of their sums."""
     kind = np.uint8 if least < 256 else np.uint16 if least < 1 << 16 else np.uint32
@@ -187,26 +212,26 @@ def _merger(least: int):
     return merge
 
 
-def sketched(texts: DataFrame, longest: int, least: int, cells: int) -> np.ndarray:
-    """The merged sketch of (lang, text): for each cell of each row, whether it reaches `least`."""
+def sketched(texts: DataFrame, lengths: range, longest: int, least: int, cells: int, pairs=None) -> bytes:
+    """The merged sketch of (lang, text) for phrases of these lengths: a bit for each cell of each row, whether it reaches `least`."""
     spark = texts.sparkSession
     few = texts.coalesce(SKETCHES * spark.sparkContext.defaultParallelism)
-    blocks = few.mapInArrow(_sketcher(longest, least, cells), "block int, cells binary")
+    blocks = few.mapInArrow(_sketcher(lengths, longest, least, cells, pairs), "block int, cells binary")
     bits = np.zeros(ROWS * cells, bool)
     # A bit for each cell: MOST_CELLS of them a row at most, whatever the texts.
     for r in blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_merger(least), "block int, bits binary").collect():
         found = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).view(bool)
         start = r["block"] * BLOCK
         bits[start : start + min(BLOCK, len(bits) - start)] = found[: len(bits) - start]
-    return bits.reshape(ROWS, cells)
+    return np.packbits(bits).tobytes()
 
 
-def _counter(longest: int, cells: int, bits):
-    """(lang, phrase, words, count) of surviving phrases, summed as far as a worker's memory goes; a row without phrase has the words of a language."""
+def _counter(longest: int, bits):
+    """bits: of the sketch of words and pairs and of that of longer phrases, a broadcast. (lang, phrase, words, count) of surviving phrases, summed as far as a worker's memory goes; a row without phrase has the words of a language."""
     names, kinds = ["lang", "phrase", "words", "n"], [pa.string(), pa.binary(), pa.int32(), pa.int64()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.unpackbits(np.frombuffer(bits.value, np.uint8)).view(bool).reshape(ROWS, -1)[:, :cells]
+        short, long = map(_unpacked, bits.value)
         held: Counter[tuple] = Counter()
         words = Words()
 
@@ -232,9 +257,7 @@ def _counter(longest: int, cells: int, bits):
                         pos, h = pos[inside], _mixed(h[inside] * CHAIN + of[pos[inside] + m - 1])
                     else:
                         key = w
-                    some = np.ones(len(pos), bool)
-                    for row in range(ROWS):
-                        some &= kept[row][_cells(h, row, cells)]
+                    some = _has(short if m <= 2 else long, h)
                     pos, h, key = pos[some], h[some], key[some]
                     if not len(pos):
                         break
@@ -262,8 +285,9 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", longest: in
     cells = LEAST_CELLS
     while cells < most_cells and cells * BYTES_A_CELL < size:
         cells *= 2
-    bits = spark.sparkContext.broadcast(np.packbits(sketched(texts, longest, least, cells)).tobytes())
-    each = texts.mapInArrow(_counter(longest, cells, bits), "lang string, phrase binary, words int, n long")
+    pairs = sketched(texts, range(1, min(longest, 2) + 1), longest, least, cells)
+    more = sketched(texts, range(3, longest + 1), longest, least, cells, spark.sparkContext.broadcast(pairs)) if longest > 2 else pairs
+    each = texts.mapInArrow(_counter(longest, spark.sparkContext.broadcast((pairs, more))), "lang string, phrase binary, words int, n long")
     return common.written(each.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("phrase").isNull() | (F.col("n") >= least)), "phrases")
 
 

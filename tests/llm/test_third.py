@@ -115,18 +115,23 @@ def test_collocations_chunks(monkeypatch, size):
     rows = talk(5, 60) + [("en", "w " * 2000), ("en", "longword" * 200 + " tail of it")]
     batch = pa.RecordBatch.from_arrays([pa.array([x or "und" for x, _ in rows]), pa.array([(t or "").encode() for _, t in rows])], ["lang", "text"])
     cells, least = 1 << 18, 3
-    bits = np.zeros(collocations.ROWS * cells, bool)
-    merged = list(collocations._merger(least)(sorted(collocations._sketcher(5, least, cells)([batch]), key=lambda b: b.column(0)[0].as_py())))
-    for b in merged:
-        for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            bits[k * collocations.BLOCK : (k + 1) * collocations.BLOCK] = np.unpackbits(np.frombuffer(raw, np.uint8)).view(bool)
-
     class Held:
-        value = np.packbits(bits).tobytes()
-
+        def __init__(self, value):
+            self.value = value
+
+    def bits_of(lengths, pairs=None):
+        bits = np.zeros(collocations.ROWS * cells, bool)
+        blocks = sorted(collocations._sketcher(lengths, 5, least, cells, pairs)([batch]), key=lambda b: b.column(0)[0].as_py())
+        for b in collocations._merger(least)(blocks):
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                bits[k * collocations.BLOCK : (k + 1) * collocations.BLOCK] = np.unpackbits(np.frombuffer(raw, np.uint8)).view(bool)
+        return np.packbits(bits).tobytes()
+
+    pairs = bits_of(range(1, 3))
+    both = Held((pairs, bits_of(range(3, 6), Held(pairs))))
     n, f = plain_counts(rows, 5)
     got, words = Counter(), Counter()
-    for b in collocations._counter(5, cells, Held)([batch]):
+    for b in collocations._counter(5, both)([batch]):
         for lang, phrase, m, k in zip(*(b.column(x).to_pylist() for x in range(4)), strict=True):
             if phrase is None:
                 words[lang] += k
