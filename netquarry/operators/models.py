@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from netquarry.functions import exprs as X
 from netquarry.operators import split
+from netquarry.session import scratch
 
 #: Weights of the vote, of the stages' confidences, the vote's threshold (to be passed), and the confidences of fallbacks.
 VOTE = {"svm": 0.4, "llm": 0.6}
@@ -180,7 +181,9 @@ def stacked(df: DataFrame, key: str, labels: list[str], bases: dict[str, Callabl
             done = dict(zip(jobs, pool.map(fitted, jobs), strict=True))
         parts = [_scores({m: done[m, k].predict(with_fold.filter(F.col("fold") == k)) for m in bases}, key, labels) for k in range(folds)]
         oof = reduce(DataFrame.unionByName, parts).join(df.select(F.col(key).alias("_key"), *labels), F.col(key) == F.col("_key")).drop("_key")
-        oof.persist()  # released with what it is read from
+        path = scratch(df.sparkSession, "out-of-fold")
+        oof.write.parquet(path)
+        oof = df.sparkSession.read.schema(oof.schema).parquet(path)
         names = {y: [f"{m}__{y}" for m in bases] for y in labels}
         metas = {y: LabelModelsLinear(key, names[y], y).fit(oof) for y in labels}
         full = {m: done[m, None] for m in bases}

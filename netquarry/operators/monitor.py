@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.operators.split import last_n
+from netquarry.session import scratch
 
 # Words of a message by category, first match first; and by severity.
 CATEGORIES = {
@@ -124,8 +125,9 @@ class ErrorLog:
                 try:
                     out = f(*args, **kwargs)
                     if isinstance(out, DataFrame):
-                        out = out.persist()
-                        out.count()
+                        path = scratch(out.sparkSession, component)
+                        out.write.parquet(path)
+                        out = out.sparkSession.read.schema(out.schema).parquet(path)
                     return out
                 except Exception as e:  # every error is a row
                     last = n + 1 == tries
