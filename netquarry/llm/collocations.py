@@ -45,8 +45,8 @@ from netquarry.llm import common
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Rows of the sketch; cells of a row; bytes of text for each cell; cells of a block in the merge.
 ROWS, LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, BLOCK = 2, 1 << 18, 1 << 24, 32, 1 << 16
-#: Sketches for each core of the cluster in the first pass: their size doesn't depend on that of the text.
-SKETCHES = 2
+#: Tasks of a pass for each core of the cluster: the sizes of a sketch, and of the counts of frequent phrases, hardly depend on how much text a task has.
+TASKS = 2
 #: Phrases that a worker counts before it passes the counts on; words that it remembers; bytes of a chunk.
 HELD, MEMO, CHUNK = 400_000, 1_000_000, 2 << 20
 #: Marks that end a piece become line feeds, tabs become spaces.
@@ -214,9 +214,7 @@ def _merger(least: int):
 
 def sketched(texts: DataFrame, lengths: range, longest: int, least: int, cells: int, pairs=None) -> bytes:
     """The merged sketch of (lang, text) for phrases of these lengths: a bit for each cell of each row, whether it reaches `least`."""
-    spark = texts.sparkSession
-    few = texts.coalesce(SKETCHES * spark.sparkContext.defaultParallelism)
-    blocks = few.mapInArrow(_sketcher(lengths, longest, least, cells, pairs), "block int, cells binary")
+    blocks = texts.mapInArrow(_sketcher(lengths, longest, least, cells, pairs), "block int, cells binary")
     bits = np.zeros(ROWS * cells, bool)
     # A bit for each cell: MOST_CELLS of them a row at most, whatever the texts.
     for r in blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_merger(least), "block int, bits binary").collect():
@@ -282,6 +280,7 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", longest: in
     spark = common.tune(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    texts = texts.coalesce(TASKS * spark.sparkContext.defaultParallelism)
     cells = LEAST_CELLS
     while cells < most_cells and cells * BYTES_A_CELL < size:
         cells *= 2
