@@ -7,6 +7,7 @@ take the place of a model, a remote one included.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -28,6 +29,13 @@ VOTE = {"svm": 0.4, "llm": 0.6}
 STAGES = (0.6, 0.4)
 THRESHOLD = 0.5
 SUB_CONFIDENCE, FALLBACK, LAST_FALLBACK = 0.8, 0.1, 0.05
+#: Bytes of features in a partition that a model is fitted on, where there are more partitions than cores.
+FITTED = 64 << 20
+
+
+def gathered(df: DataFrame, n: int, width: int) -> DataFrame:
+    """df, of n rows with so many numbers each, in a partition for each core, or as many as FITTED asks for: each round of a fit sends some kilobytes from each partition to the driver, however few rows are in it."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(8 * n * width / FITTED)))
 
 
 @dataclass
@@ -70,10 +78,10 @@ class LabelModels:
 
     def fit(self, df: DataFrame) -> LabelModels:
         """A label with one value only is predicted as that."""
-        data = self._features(df).select("features", *self.labels).persist()
+        n = df.count()
+        data = gathered(self._features(df).select("features", *self.labels), n, self.size).persist()
         try:
             share = data.agg(*[F.avg((F.coalesce(F.col(y), F.lit(0)) > 0).cast("double")).alias(y) for y in self.labels]).first()
-            n = data.count()
             for y in self.labels:
                 rate = share[y] or 0.0
                 fitted = data.select("features", (F.coalesce(F.col(y), F.lit(0)) > 0).cast("double").alias("label"))
@@ -215,7 +223,8 @@ class LabelModelsLinear:
         return df.withColumn("_v", array_to_vector(F.array(*self.columns)))
 
     def fit(self, df: DataFrame) -> LabelModelsLinear:
-        self.model = LogisticRegression(featuresCol="_v", labelCol="_y", maxIter=50, regParam=1e-3).fit(self._vector(df).withColumn("_y", (F.col(self.label) > 0).cast("double")))
+        rows = gathered(df, df.count(), len(self.columns))
+        self.model = LogisticRegression(featuresCol="_v", labelCol="_y", maxIter=50, regParam=1e-3).fit(self._vector(rows).withColumn("_y", (F.col(self.label) > 0).cast("double")))
         self.model.setPredictionCol("_p").setProbabilityCol("_q").setRawPredictionCol("_r")
         return self
 
