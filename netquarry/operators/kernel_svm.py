@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from netquarry.operators.models import gathered
 from netquarry.session import scratch
 
 #: Gap of the dual's conditions at which a solution counts as optimal; slack of the check over all rows.
 TOLERANCE = 1e-3
-#: Rows of a part; support vectors of a machine at most; bytes of kernel rows that a task keeps; rounds of the check over all rows.
-PART, MOST, CACHE, ROUNDS = 2000, 20_000, 256 << 20, 30
+#: Rows of a part; support vectors of a machine at most; bytes of kernel rows that a task keeps; rounds of the check over all rows; bytes of the kernel that a task computes at a time for decision values.
+PART, MOST, CACHE, ROUNDS, BLOCK = 2000, 20_000, 256 << 20, 30, 16 << 20
 SV = "at long, x array<double>, y double, alpha double"
 
 
@@ -99,12 +100,17 @@ def solve(x: np.ndarray, y: np.ndarray, c: float, gamma: float, tolerance: float
 
 
 def margins(x: np.ndarray, of: np.ndarray, weight: np.ndarray, bias: float, gamma: float) -> np.ndarray:
-    """Decision values, some thousand rows at a time."""
+    """Decision values, BLOCK bytes of the kernel at a time, which are worked on in place."""
     out, norms = np.full(len(x), bias), (of * of).sum(axis=1)
-    step = max(1, CACHE // (8 * max(1, len(of))))
+    step = max(1, BLOCK // (8 * max(1, len(of))))
     for k in range(0, len(x) if len(of) else 0, step):
         part = x[k : k + step]
-        out[k : k + step] += np.exp(-gamma * np.maximum((part * part).sum(axis=1)[:, None] + norms - 2 * part @ of.T, 0)) @ weight
+        kernel = (-2 * part) @ of.T
+        kernel += (part * part).sum(axis=1)[:, None]
+        kernel += norms
+        np.maximum(kernel, 0, out=kernel)
+        kernel *= -gamma
+        out[k : k + step] += np.exp(kernel, out=kernel) @ weight
     return out
 
 
@@ -284,9 +290,10 @@ class KernelMachines:
 def sigmoid(scored: DataFrame) -> tuple[float, float]:
     """(a, b) of 1 / (1 + exp(a margin + b)), fitted by likelihood; (-2, 0) where the rows have one sign only."""
     rows = scored.select(array_to_vector(F.array("margin")).alias("features"), (F.col("y") > 0).cast("double").alias("label"))
-    if rows.select("label").distinct().count() < 2:
+    signs = [r["count"] for r in rows.groupBy("label").count().collect()]
+    if len(signs) < 2:
         return -2.0, 0.0
-    m = LogisticRegression(maxIter=100, regParam=1e-6).fit(rows)
+    m = LogisticRegression(maxIter=100, regParam=1e-6).fit(gathered(rows, sum(signs), 1))
     return -float(m.coefficients[0]), -float(m.intercept)
 
 

@@ -1,9 +1,11 @@
 """What steps send or hold at a time, on many partitions and long blocks."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from netquarry.operators import models
+from netquarry.operators import kernel_svm, models
 
 
 def stages(spark, group, run):
@@ -26,3 +28,17 @@ def test_fit_in_few_partitions(spark):
     many, tasks = stages(spark, "fit", lambda: fit(rows.repartition(60)))
     assert len(tasks) > 20 and sum(n >= 60 for n in tasks) <= 5
     assert np.allclose(*[[r["up"] for r in m.predict(rows).orderBy("asn").collect()] for m in (many, fit(rows.coalesce(2)))], atol=1e-4)
+
+
+def test_margins_in_blocks():
+    """Decision values of many rows from many support vectors hold some tens of megabytes, and are those of the whole kernel."""
+    rng = np.random.default_rng(0)
+    x, of, weight = rng.normal(size=(6000, 2)), rng.normal(size=(12_000, 2)), rng.normal(size=12_000)
+    tracemalloc.start()
+    got = kernel_svm.margins(x, of, weight, 0.5, 0.7)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 48 << 20
+    want = [np.exp(-0.7 * ((r - of) ** 2).sum(axis=1)) @ weight + 0.5 for r in x[::500]]
+    assert np.allclose(got[::500], want) and len(got) == 6000
+    assert np.array_equal(kernel_svm.margins(x[:3], of[:0], weight[:0], 0.5, 0.7), np.full(3, 0.5))
