@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from netquarry.functions import exprs as X
 from netquarry.session import shared_dir
 
-#: Cells of a block of rows at most; what a task compares is two blocks.
-CELLS = 1 << 21
+#: Cells of a block of rows at most; what a task compares is two blocks. Distances that it has at a time.
+CELLS, DISTANCES = 1 << 21, 1 << 19
 # Fields of the sources, words looked for in names, and countries of the regions.
 ASRANK = ("rank", "clique_member", "seen", "longitude", "latitude", "cone_asns", "cone_prefixes", "cone_addresses", "degree_provider", "degree_peer", "degree_customer", "degree_total", "degree_transit", "degree_sibling", "announcing_prefixes", "announcing_addresses")
 RATIOS = {
@@ -127,15 +127,16 @@ def _nearest(x: np.ndarray, d: np.ndarray, k: int) -> Iterator[tuple[int, int, n
     """(row, column, its k nearest donors that have the column, their squared distances) of each missing cell of x; of equally far donors the first ones of d."""
     there = ~np.isnan(d)
     filled, f = np.where(there, d, 0.0), there.astype(float)
+    squares = (filled * filled).T
     most = min(len(d), 2 * k + 6)
     rows = np.flatnonzero(np.isnan(x).any(axis=1))
-    step = max(1, min(256, CELLS // max(1, len(d))))
+    step = max(1, min(256, DISTANCES // max(1, len(d))))
     for lo in range(0, len(rows) if len(d) else 0, step):
         part = rows[lo : lo + step]
         own = ~np.isnan(x[part])
         z = np.where(own, x[part], 0.0)
         both = own.astype(float) @ f.T
-        square = (z * z) @ f.T - 2 * z @ filled.T + own.astype(float) @ (filled * filled).T
+        square = (z * z) @ f.T - 2 * z @ filled.T + own.astype(float) @ squares
         with np.errstate(divide="ignore", invalid="ignore"):
             far = np.where(both > 0, np.maximum(square, 0) * d.shape[1] / both, np.inf)
         # The nearest few of all donors; those below the farthest of them are complete, and mostly enough.
@@ -154,24 +155,29 @@ def _nearest(x: np.ndarray, d: np.ndarray, k: int) -> Iterator[tuple[int, int, n
 
 
 def _cells(table: pa.Table) -> np.ndarray:
-    x = table["_x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
-    return x.reshape(table.num_rows, -1)
+    x = table["_x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(x, float).reshape(table.num_rows, -1)
 
 
 def _tile(k: int):
-    kind = pa.list_(pa.struct([("far", pa.float64()), ("place", pa.int64()), ("value", pa.float64())]))
+    """The k nearest of a block of donors for each missing cell of a block of rows, as flat arrays: there are more of them than cells in the blocks."""
 
     def tile(key: tuple[pa.Scalar, ...], queries: pa.Table, donors: pa.Table) -> pa.Table:
-        uid, col, near = [], [], []
-        if queries.num_rows and donors.num_rows:
-            place, ids = donors["_place"].to_numpy(), queries["_uid"].to_numpy()
-            order = np.argsort(place, kind="stable")
-            place, d = place[order], _cells(donors)[order]
-            for r, j, best, far in _nearest(_cells(queries), d, k):
-                uid.append(ids[r])
-                col.append(j)
-                near.append([{"far": a, "place": p, "value": v} for a, p, v in zip(far, place[best], d[best, j], strict=True)])
-        return pa.table({"_uid": pa.array(uid, pa.int64()), "_col": pa.array(col, pa.int32()), "_near": pa.array(near, kind)})
+        place, ids = donors["_place"].to_numpy(), queries["_uid"].to_numpy()
+        x, d = (_cells(t) if t.num_rows else np.zeros((0, 0)) for t in (queries, donors))
+        order = np.argsort(place, kind="stable")
+        place, d = place[order], d[order]
+        n = int(np.isnan(x).sum()) if len(d) else 0
+        row, col, size = (np.zeros(n, np.int32) for _ in range(3))
+        far, donor, done, at = np.zeros(n * k), np.zeros(n * k, np.int32), 0, 0
+        for r, j, best, away in _nearest(x, d, k) if n else ():
+            end = at + len(best)
+            row[done], col[done], size[done], far[at:end], donor[at:end] = r, j, len(best), away, best
+            done, at = done + 1, end
+        row, col, size, far, donor = row[:done], col[:done], size[:done], far[:at], donor[:at]
+        near = pa.StructArray.from_arrays([pa.array(far), pa.array(place[donor], pa.int64()), pa.array(d[donor, np.repeat(col, size)] if done else far)], ["far", "place", "value"])
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.table({"_uid": pa.array(ids[row], pa.int64()), "_col": pa.array(col), "_near": pa.ListArray.from_arrays(pa.array(ends), near)})
 
     return tile
 
